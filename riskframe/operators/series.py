@@ -296,7 +296,8 @@ def rank_strategies(metrics: DataFrame, name: str = "strategy", columns: Sequenc
 def gaps(df: DataFrame, keys: Keys = "symbol", ts: str = "ts", factor: float = 2.0) -> DataFrame:
     """Steps longer than ``factor`` times the median step of the series."""
     keys = as_list(keys)
-    step = F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(by(keys, ts)))
+    moment = F.col(ts).cast("timestamp")
+    step = F.unix_micros(moment) - F.unix_micros(F.lag(moment).over(by(keys, ts)))
     stepped = df.withColumn("step_seconds", step / 1e6).where("step_seconds IS NOT NULL")
     median = stepped.groupBy(*keys).agg(F.percentile("step_seconds", F.lit(0.5)).alias("median_seconds"))
     return stepped.join(median, keys).where(F.col("step_seconds") > factor * F.col("median_seconds"))

@@ -126,11 +126,12 @@ class Tables:
             "l_suppkey", F.date_trunc("month", "l_shipdate").alias("ts")).agg(
             F.sum("l_extendedprice").alias("v"), F.sum("l_quantity").alias("q"),
             F.sum(F.when(F.col("l_linestatus") == "F", F.col("l_extendedprice")).otherwise(0.0)).alias("vf"),
-            F.sum("l_discount").alias("d"), F.sum("l_tax").alias("t"), F.count("*").alias("n")))
+            F.sum(F.col("l_extendedprice") * F.col("l_discount")).alias("d"),
+            F.sum(F.col("l_extendedprice") * F.col("l_tax")).alias("t")))
         cells = (per_supplier.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
                  .join(self.places, F.col("s_nationkey") == F.col("_nk"))
                  .groupBy("symbol", "sector", "ts")
-                 .agg(*[F.sum(c).alias(c) for c in ("v", "q", "vf", "d", "t", "n")]))
+                 .agg(*[F.sum(c).alias(c) for c in ("v", "q", "vf", "d", "t")]))
         date, asset = whole("ts"), whole("symbol")
         return cells.select(
             "symbol", "sector", "ts",
@@ -139,7 +140,7 @@ class Tables:
             (F.col("vf") / F.sum("vf").over(date)).alias("pw"),
             (F.col("q") / F.sum("q").over(date)).alias("bw"),
             F.col("v").alias("cap"), (F.col("q") / F.col("v")).alias("bm"),
-            (F.col("d") / F.col("n")).alias("prof"), (F.col("t") / F.col("n")).alias("inv"))
+            (F.col("d") / F.col("v")).alias("prof"), (F.col("t") / F.col("v")).alias("inv"))
 
     @cached_property
     def macro(self) -> DataFrame:

@@ -1,7 +1,7 @@
 """Registry of queries and the SQL views they share.
 
 ``spec`` fixes the output of both sides: "name:type" with s text, i integer, d double (6 digits),
-m money (2 digits), t timestamp as text, b boolean.
+m money (2 digits), p price (9 digits), t timestamp as text, b boolean.
 """
 
 from __future__ import annotations
@@ -56,10 +56,10 @@ VIEWS: dict[str, str] = {
         JOIN region ON n_regionkey = r_regionkey""",
     "panel": """SELECT symbol, sector, ts, 0.01 * (vf / avg(vf) OVER (PARTITION BY symbol) - 1) AS ret,
         0.01 * (v / avg(v) OVER (PARTITION BY symbol) - 1) AS bret, vf / sum(vf) OVER (PARTITION BY ts) AS pw,
-        q / sum(q) OVER (PARTITION BY ts) AS bw, v AS cap, q / v AS bm, d / n AS prof, t / n AS inv FROM (
+        q / sum(q) OVER (PARTITION BY ts) AS bw, v AS cap, q / v AS bm, d / v AS prof, t / v AS inv FROM (
         SELECT symbol, sector, date_trunc('month', l_shipdate)::TIMESTAMP AS ts, sum(l_extendedprice) AS v,
         sum(l_quantity) AS q, sum(CASE WHEN l_linestatus = 'F' THEN l_extendedprice ELSE 0 END) AS vf,
-        sum(l_discount) AS d, sum(l_tax) AS t, count(*) AS n
+        sum(l_extendedprice * l_discount) AS d, sum(l_extendedprice * l_tax) AS t
         FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN places ON s_nationkey = nk GROUP BY 1, 2, 3)""",
     "macrow": """SELECT date_trunc('month', l_shipdate)::TIMESTAMP AS ts, 100 * avg(l_tax) AS t10,
         100 * avg(l_discount) AS t02, sum(l_quantity) AS ind FROM lineitem GROUP BY 1""",
@@ -86,9 +86,12 @@ def compose(views: str, body: str) -> str:
     return ("WITH " + ",\n".join(chosen) + "\n" if chosen else "") + body
 
 
+DIGITS = {"d": 6, "m": 2, "p": 9}
+
+
 def _sql_column(name: str, kind: str) -> str:
-    if kind in "dm":
-        digits = 6 if kind == "d" else 2
+    if kind in DIGITS:
+        digits = DIGITS[kind]
         x = f"CAST({name} AS DOUBLE)"
         return f"CASE WHEN isfinite({x}) THEN round({x}, {digits}) + 0.0 END AS {name}"
     if kind == "t":
@@ -99,10 +102,9 @@ def _sql_column(name: str, kind: str) -> str:
 
 def _spark_column(name: str, kind: str):
     c = F.col(f"`{name}`")
-    if kind in "dm":
+    if kind in DIGITS:
         x = c.cast("double")
-        return F.when(~F.isnan(x) & (F.abs(x) < float("inf")),
-                      F.round(x, 6 if kind == "d" else 2) + 0.0).alias(name)
+        return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), F.round(x, DIGITS[kind]) + 0.0).alias(name)
     if kind == "t":
         return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(name)
     kinds = {"i": "bigint", "s": "string", "b": "boolean"}

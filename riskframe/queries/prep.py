@@ -353,12 +353,12 @@ def _(t):
 SELECT event_id, (value - 50) / 50 AS z, -0.5 * (ln(2 * pi()) + ((value - 50) / 50) ** 2) AS logpdf,
   exp(-0.5 * (ln(2 * pi()) + ((value - 50) / 50) ** 2)) AS pdf, c.cdf, greatest(1, least(100, value)) AS clipped,
   round(sqrt(value), 2) AS rounded, sign(value - 50) AS sign_of, year(ts) AS year, quarter(ts) AS quarter, dayofweek(ts) + 1 AS weekday,
-  epoch_ms(ts) AS epoch_ms, upper(event_type[1]) || event_type[2:] AS title, split_part(event_type, 'i', 1) AS prefix,
+  epoch_us(ts) // 1000 AS epoch_ms, upper(event_type[1]) || event_type[2:] AS title, split_part(event_type, 'i', 1) AS prefix,
   CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE event_type WHEN 'click' THEN 1.5 WHEN 'view' THEN 2.5 ELSE 0.0 END AS looked_up,
   CASE WHEN value >= 50 AND value >= 100 - value THEN 0 ELSE 1 END AS best, CASE WHEN value > 100 THEN 1 ELSE 0 END AS flag
 FROM events JOIN (SELECT event_id, CASE WHEN y < 0 THEN 1 - u ELSE u END AS cdf FROM (
-  SELECT event_id, y, 0.5 + x * exp(-x * x / 2) / sqrt(2 * pi()) * list_reduce(list_transform(range(0, 80), k -> p[k + 1]), (a, b) -> a + b) AS u FROM (
-  SELECT event_id, y, x, list_transform(range(0, 80), k -> x ** (2 * k) / list_reduce(list_transform(range(0, k + 1), i -> (2 * i + 1)::DOUBLE), (a, b) -> a * b)) AS p
+  SELECT event_id, y, 0.5 + x * exp(-x * x / 2) / sqrt(2 * pi()) * list_reduce(list_transform(range(0, 80), lambda k: p[k + 1]), lambda a, b: a + b) AS u FROM (
+  SELECT event_id, y, x, list_transform(range(0, 80), lambda k: x ** (2 * k) / list_reduce(list_transform(range(0, k + 1), lambda i: (2 * i + 1)::DOUBLE), lambda a, b: a * b)) AS p
   FROM (SELECT event_id, (value - 50) / 50 AS y, abs(value - 50) / 50 AS x FROM events)))) c USING (event_id)""")
 def _(t):
     from riskframe.functions import stats

@@ -1 +1,319 @@
-"""To come."""
+"""Queries Q1 to Q27: data quality and model validation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from riskframe.operators import align, prep, quality as qu, validation as va
+from riskframe.queries.base import query
+from riskframe.queries.prep import HOLES, with_holes
+
+ASOF = "TIMESTAMP '2024-01-31'"
+
+
+def as_of():
+    return F.lit("2024-01-31").cast("timestamp")
+
+
+CHECK = "symbol:s check_name:s passed:b score value"
+CHECK1 = "dataset:s check_name:s passed:b score value"
+
+
+@query("missing_rates", "Q1", "column_name:s missing_rate passed:b", "bars", HOLES + """
+SELECT 'close' AS column_name, avg((close IS NULL)::INT) AS missing_rate, avg((close IS NULL)::INT) <= 0.05 AS passed FROM g UNION ALL
+SELECT 'symbol', avg((symbol IS NULL)::INT), true FROM g""")
+def _(t):
+    return qu.missing_rates(with_holes(t), ["close", "symbol"])
+
+
+@query("freshness", "Q2", "symbol:s latest:t age_days:i passed:b", "bars", f"""
+SELECT symbol, max(ts) AS latest, date_diff('day', max(ts), {ASOF}) AS age_days, date_diff('day', max(ts), {ASOF}) <= 1 AS passed FROM bars GROUP BY 1""")
+def _(t):
+    return qu.freshness(t.bars, as_of(), "symbol")
+
+
+@query("outlier_summary", "Q3", "symbol:s outliers:i share severity:s", "ticks", """
+SELECT symbol, count(*) FILTER (bad) AS outliers, avg(bad::INT) AS share, CASE WHEN avg(bad::INT) > 0.01 THEN 'error' WHEN count(*) FILTER (bad) > 0 THEN 'warning' ELSE 'ok' END AS severity
+FROM (SELECT symbol, coalesce(abs((price - m) / nullif(s, 0)) > 4, false) AS bad FROM ticks JOIN (SELECT symbol, avg(price) AS m, stddev_samp(price) AS s FROM ticks GROUP BY 1) USING (symbol)) GROUP BY 1""")
+def _(t):
+    return qu.outlier_summary(t.ticks, "price", "symbol")
+
+
+@query("return_flags", "Q4", "symbol:s skewness kurtosis extreme_returns:i high_skewness:b high_kurtosis:b has_extremes:b", "bret", """
+SELECT symbol, skewness(ret) AS skewness, kurtosis(ret) AS kurtosis, count(*) FILTER (abs(ret) > 0.2) AS extreme_returns,
+  coalesce(abs(skewness(ret)) > 2, false) AS high_skewness, coalesce(kurtosis(ret) > 10, false) AS high_kurtosis, count(*) FILTER (abs(ret) > 0.2) > 0 AS has_extremes
+FROM bret WHERE ret IS NOT NULL GROUP BY 1""")
+def _(t):
+    return qu.return_flags(prep.simple_returns(t.bars), "symbol")
+
+
+@query("validation_summary", "Q5", "total_checks:i passed_checks:i success_rate overall_score", "bars", HOLES + f""",
+  m AS (SELECT avg(close) AS m, stddev_samp(close) AS s FROM g),
+  c AS (SELECT avg((close IS NULL)::INT) AS miss, date_diff('day', max(ts), {ASOF}) AS age, avg(coalesce(abs((close - m) / s) > 4, false)::INT) AS o FROM g, m),
+  k AS (SELECT miss <= 0.05 AS passed, 1 - miss AS score FROM c UNION ALL SELECT age <= 1, CASE WHEN age <= 1 THEN 1 ELSE 0 END FROM c UNION ALL SELECT o <= 0.01, 1 - o FROM c)
+SELECT count(*) AS total_checks, count(*) FILTER (passed) AS passed_checks, avg(passed::INT) AS success_rate, avg(score) AS overall_score FROM k""")
+def _(t):
+    return qu.check_summary(qu.dataset_summary(with_holes(t), "close", as_of()))
+
+
+@query("quality_scores", "Q6 Q7", "symbol:s completeness timeliness accuracy consistency availability average_score status:s issues:s", "bars ticks", HOLES + f""",
+  d AS (SELECT symbol, date_trunc('day', ts) AS ts, max(price) FILTER (source = 'click') AS a, max(price) FILTER (source = 'view') AS b
+    FROM ticks WHERE source IN ('click', 'view') GROUP BY 1, 2),
+  ac AS (SELECT symbol, CASE WHEN count(a * b) > 3 THEN greatest(0, 100 - avg(abs((a - b) / a) * 100)) ELSE 50 END AS accuracy FROM d GROUP BY 1),
+  s AS (SELECT symbol, count(g.close) / (date_diff('day', min(g.ts), max(g.ts)) + 1) * 100 AS completeness, (epoch({ASOF}) - epoch(max(g.ts))) / 60 AS timeliness,
+    100 * (1 - avg(coalesce(b.high < greatest(b.open, g.close) OR b.low > least(b.open, g.close), false)::INT)) AS consistency FROM g JOIN bars b USING (symbol, ts) GROUP BY 1),
+  f AS (SELECT s.*, coalesce(accuracy, 50) AS accuracy, 100.0 AS availability FROM s LEFT JOIN ac USING (symbol)),
+  v AS (SELECT *, (completeness + least(100, greatest(0, 100 - timeliness)) + accuracy + consistency + 100) / 5 AS average_score FROM f)
+SELECT *, CASE WHEN average_score >= 90 THEN 'EXCELLENT' WHEN average_score >= 75 THEN 'GOOD' WHEN average_score >= 60 THEN 'FAIR' WHEN average_score >= 30 THEN 'POOR' ELSE 'UNAVAILABLE' END AS status,
+  concat_ws('|', CASE WHEN completeness < 95 THEN 'completeness' END, CASE WHEN timeliness > 60 THEN 'timeliness' END, CASE WHEN accuracy < 90 THEN 'accuracy' END) AS issues FROM v""")
+def _(t):
+    daily = t.ticks.groupBy("symbol", F.date_trunc("day", "ts").alias("day"), "source").agg(F.max("price").alias("close"))
+    agreement = align.source_agreement(daily.withColumnRenamed("day", "ts"), "click", "view", enough=3)
+    scores = qu.quality_scores(with_holes(t), as_of(), accuracy=agreement)
+    kind = F.transform("issues", lambda x: F.when(x.contains("completeness"), "completeness").when(x.contains("minutes"), "timeliness").otherwise("accuracy"))
+    return scores.withColumn("issues", F.concat_ws("|", kind))
+
+
+@query("ohlc_checks", "Q7", CHECK, "bars", """
+SELECT symbol, 'ohlc_consistency' AS check_name, 1 - 0.01 * o - 0.005 * w > 0.9 AS passed, greatest(0, 1 - 0.01 * o - 0.005 * w) AS score, o + w AS value FROM (
+  SELECT symbol, sum((high < greatest(open, close))::INT + (low > least(open, close))::INT) AS o,
+    sum((CASE WHEN close > 0 THEN (high - low) / close ELSE 0 END > 0.5)::INT) AS w FROM bars GROUP BY 1)""")
+def _(t):
+    return qu.ohlc_checks(t.bars)
+
+
+@query("structure_checks", "Q8", CHECK, "bars", HOLES + """
+SELECT symbol, 'data_structure' AS check_name, s > 0.7 AS passed, greatest(0, s) AS score, n AS value FROM (
+  SELECT symbol, n, 1 - CASE WHEN n < 30 THEN 0.3 ELSE 0 END - CASE WHEN miss > 0.05 THEN miss ELSE 0 END AS s FROM (
+  SELECT symbol, count(*) AS n, count(*) FILTER (close IS NULL) / (5.0 * count(*)) AS miss FROM g GROUP BY 1))""")
+def _(t):
+    return qu.structure_checks(with_holes(t))
+
+
+@query("price_checks", "Q9", CHECK, "bret", """
+WITH o AS (SELECT symbol, count(*) FILTER (close <= 0) AS neg, count(*) AS n, count(ret) AS m, count(*) FILTER (abs(ret) > 0.5) AS ext,
+    greatest(count(*) FILTER (ret > 0), count(*) FILTER (ret < 0)) AS same FROM bret GROUP BY 1 HAVING count(ret) > 0)
+SELECT symbol, 'price_positivity' AS check_name, neg = 0 AS passed, 1 - neg / n AS score, neg::DOUBLE AS value FROM o UNION ALL
+SELECT symbol, 'price_continuity', ext / m < 0.01, 1 - least(0.5, ext / m), ext FROM o UNION ALL
+SELECT symbol, 'price_trend_realism', same / m < 0.8, 1 - greatest(0, same / m - 0.7), same / m FROM o""")
+def _(t):
+    return qu.price_checks(t.bars)
+
+
+@query("volume_checks", "Q10", CHECK, "bret", """
+WITH o AS (SELECT symbol, count(*) FILTER (volume < 0) AS neg, coalesce(stddev_samp(volume) = 0, false) AS flat, corr(abs(ret), volume) AS c FROM bret GROUP BY 1)
+SELECT symbol, 'volume_data' AS check_name, neg = 0 AND NOT flat AND NOT coalesce(c < 0.1, false) AS passed,
+  greatest(0, 1 - 0.3 * (neg > 0)::INT - 0.5 * flat::INT - 0.2 * coalesce(c < 0.1, false)::INT) AS score, c AS value FROM o""")
+def _(t):
+    return qu.volume_checks(t.bars)
+
+
+K2 = """kk AS (SELECT symbol, count(*)::DOUBLE AS n, avg(z ** 3) AS g1, avg(z ** 4) AS b2 FROM (SELECT symbol, (ret - avg(ret) OVER w) / stddev_pop(ret) OVER w AS z FROM rets
+    WINDOW w AS (PARTITION BY symbol)) GROUP BY 1),
+  k1 AS (SELECT *, g1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS be,
+    (b2 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) * (n + 5))) AS x,
+    6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS rt FROM kk),
+  k2 AS (SELECT *, sqrt(2 * (be - 1)) - 1 AS w2, 6 + 8 / rt * (2 / rt + sqrt(1 + 4 / rt ** 2)) AS a FROM k1),
+  k3 AS (SELECT symbol, (asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2))) ** 2 + ((1 - 2 / (9 * a) - sign(1 + x * sqrt(2 / (a - 4)))
+    * ((1 - 2 / a) / abs(1 + x * sqrt(2 / (a - 4)))) ** (1.0 / 3)) / sqrt(2 / (9 * a))) ** 2 AS k2 FROM k2)"""
+
+
+@query("distribution_checks", "Q11", CHECK, "rets", f"""
+WITH {K2}, o AS (SELECT symbol, avg(ret) * 252 AS m, stddev_samp(ret) * sqrt(252.0) AS v, skewness(ret) AS s, kurtosis(ret) AS k, exp(-max(k2) / 2) AS p
+    FROM rets JOIN k3 USING (symbol) GROUP BY 1)
+SELECT symbol, 'return_mean' AS check_name, abs(m) < 0.5 AS passed, 1 - least(1, abs(m)) AS score, m AS value FROM o UNION ALL
+SELECT symbol, 'return_volatility', v BETWEEN 0.05 AND 1, CASE WHEN v BETWEEN 0.005 * sqrt(252.0) AND 0.08 * sqrt(252.0) THEN 1 ELSE 0.5 END, v FROM o UNION ALL
+SELECT symbol, 'return_skewness', abs(s) < 3, 1 - least(1, abs(s) / 5), s FROM o UNION ALL
+SELECT symbol, 'return_kurtosis', k BETWEEN 1 AND 20, CASE WHEN k BETWEEN 1 AND 20 THEN 1 ELSE 0.5 END, k FROM o UNION ALL
+SELECT symbol, 'return_non_normality', p < 0.05, CASE WHEN p < 0.05 THEN 1 ELSE 0.5 END, p FROM o""")
+def _(t):
+    return qu.distribution_checks(t.returns)
+
+
+@query("series_checks", "Q12", CHECK, "rets", """
+WITH l AS (SELECT symbol, ret, lag(ret) OVER w AS p, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS b FROM rets WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+  o AS (SELECT symbol, corr(ret, p) AS ac, corr(ret ** 2, p ** 2) AS vc, var_samp(ret) FILTER (b <= 50) / var_samp(ret) AS vr FROM l GROUP BY 1 HAVING count(*) > 100)
+SELECT symbol, 'autocorrelation' AS check_name, abs(ac) < 0.3 AS passed, 1 - least(1, abs(ac) / 0.5) AS score, ac AS value FROM o UNION ALL
+SELECT symbol, 'volatility_clustering', vc > 0.05, CASE WHEN vc > 0 THEN least(1, vc / 0.2) ELSE 0.5 END, vc FROM o UNION ALL
+SELECT symbol, 'stationarity', vr BETWEEN 0.5 AND 2, CASE WHEN vr BETWEEN 0.5 AND 2 THEN 1 ELSE 0.7 END, vr FROM o""")
+def _(t):
+    return qu.series_checks(t.returns)
+
+
+@query("cross_asset_checks", "Q13", CHECK1, "panel", """
+WITH c AS (SELECT abs(corr(a.bret, b.bret)) AS c FROM panel a JOIN panel b ON a.ts = b.ts AND a.symbol < b.symbol GROUP BY a.symbol, b.symbol HAVING count(*) >= 50),
+  o AS (SELECT count(*) AS n, count(*) FILTER (c > 0.98) AS p, avg(c) AS m FROM c)
+SELECT 'all' AS dataset, 'perfect_correlations' AS check_name, p = 0 AS passed, 1 - least(1, p / n) AS score, p::DOUBLE AS value FROM o UNION ALL
+SELECT 'all', 'correlation_distribution', m BETWEEN 0.1 AND 0.6, CASE WHEN m BETWEEN 0.1 AND 0.6 THEN 1 ELSE 0.7 END, m FROM o""")
+def _(t):
+    return qu.cross_asset_checks(t.panel, ret="bret", blocks=3)
+
+
+@query("portfolio_checks", "Q14", CHECK1, "bars", """
+WITH s AS (SELECT symbol, min(ts) AS a, max(ts) AS b FROM bars GROUP BY 1), o AS (SELECT count(*) AS n, greatest(0, date_diff('day', max(a), min(b))) AS d FROM s)
+SELECT 'all' AS dataset, 'asset_count' AS check_name, n >= 5 AS passed, least(1, n / 10) AS score, n::DOUBLE AS value FROM o UNION ALL
+SELECT 'all', 'data_coverage', d >= 365, least(1, d / 1000), d FROM o""")
+def _(t):
+    return qu.portfolio_checks(t.bars)
+
+
+@query("dataset_report", "Q15", "check_name:s checks:i passed:i score")
+def _(t):
+    report = qu.dataset_report(t.bars)
+    return report.groupBy("check_name").agg(F.count("*").alias("checks"), F.sum(F.col("passed").cast("int")).alias("passed"), F.avg("score").alias("score"))
+
+
+@query("recommendations", "Q15", "family:s failed:i advice:s", "bret", """
+WITH o AS (SELECT symbol, count(ret) AS m, count(*) FILTER (abs(ret) > 0.5) AS ext, greatest(count(*) FILTER (ret > 0), count(*) FILTER (ret < 0)) AS same FROM bret GROUP BY 1 HAVING count(ret) > 0),
+  w AS (SELECT symbol, sum((high < greatest(open, close))::INT + (low > least(open, close))::INT) * 0.01 + 0.005 * sum(((high - low) / close > 0.5)::INT) AS x FROM bars GROUP BY 1)
+SELECT 'price' AS family, count(*) FILTER (ext / m >= 0.01) + count(*) FILTER (same / m >= 0.8) AS failed,
+  'Review price generation algorithms for realism and consistency' AS advice FROM o UNION ALL
+SELECT 'ohlc', count(*), 'Fix OHLC consistency issues in data generation' FROM w WHERE 1 - x <= 0.9""")
+def _(t):
+    return qu.recommendations(qu.price_checks(t.bars).unionByName(qu.ohlc_checks(t.bars)))
+
+
+@query("feature_profile", "Q16", "feature:s n:i missing:i mean std skewness kurtosis min max", "", """
+SELECT 'l_quantity' AS feature, count(*) AS n, 0 AS missing, avg(l_quantity) AS mean, stddev_samp(l_quantity) AS std, skewness(l_quantity) AS skewness,
+  kurtosis(l_quantity) AS kurtosis, min(l_quantity) AS min, max(l_quantity) AS max FROM lineitem UNION ALL
+SELECT 'l_discount', count(*), 0, avg(l_discount), stddev_samp(l_discount), skewness(l_discount), kurtosis(l_discount), min(l_discount), max(l_discount) FROM lineitem""")
+def _(t):
+    return qu.feature_profile(t.read("lineitem"), ["l_quantity", "l_discount"])
+
+
+PERSIST = """SELECT {key}, count(*) AS periods, sum(c) AS regime_changes, count(*) / (sum(c) + 1) AS average_persistence, sum(c) / count(*) AS change_frequency,
+  count(DISTINCT regime) AS unique_regimes, CASE WHEN count(*) > 1 THEN 1 - sum(c) / (count(*) - 1) ELSE 0 END AS consistency_score FROM {table} GROUP BY {group}"""
+
+
+@query("label_persistence", "Q17", "series_id:s periods:i regime_changes:i average_persistence change_frequency unique_regimes:i consistency_score", "reg",
+       "WITH c AS (SELECT *, coalesce(regime <> lag(regime) OVER (ORDER BY ts), false)::INT AS c FROM reg) " + PERSIST.format(key="series_id", table="c", group="1"))
+def _(t):
+    return va.label_persistence(t.regimes, "series_id")
+
+
+@query("ljung_box", "Q18", "symbol:s statistic p_value significant_autocorr:b", "rets", """
+WITH c AS (SELECT symbol, ts, ret - avg(ret) OVER (PARTITION BY symbol) AS x, count(*) OVER (PARTITION BY symbol) AS n FROM rets),
+  g AS (SELECT symbol, ts, x, n, k, lag(x, k) OVER (PARTITION BY symbol, k ORDER BY ts) AS y FROM c, range(1, 11) r(k)),
+  r AS (SELECT symbol, k, n, (sum(x * y) / sum(x * x)) ** 2 / (n - k) AS t FROM g GROUP BY 1, 2, 3),
+  s AS (SELECT symbol, n * (n + 2) * sum(t) AS s FROM r GROUP BY symbol, n)
+SELECT symbol, s AS statistic, exp(-s / 2) * (1 + s / 2 + (s / 2) ** 2 / 2 + (s / 2) ** 3 / 6 + (s / 2) ** 4 / 24) AS p_value,
+  exp(-s / 2) * (1 + s / 2 + (s / 2) ** 2 / 2 + (s / 2) ** 3 / 6 + (s / 2) ** 4 / 24) < 0.05 AS significant_autocorr FROM s""".replace("lag(x, k) OVER (PARTITION BY symbol, k ORDER BY ts)", "lag(x, k::INT) OVER (PARTITION BY symbol, k ORDER BY ts)"))
+def _(t):
+    return va.ljung_box(t.returns, "symbol")
+
+
+@query("jarque_bera", "Q19", "symbol:s n:i statistic p_value is_normal:b", "rets", """
+WITH z AS (SELECT symbol, (ret - avg(ret) OVER w) / stddev_pop(ret) OVER w AS z FROM rets WINDOW w AS (PARTITION BY symbol)),
+  m AS (SELECT symbol, count(*) AS n, count(*) / 6 * (avg(z ** 3) ** 2 + (avg(z ** 4) - 3) ** 2 / 4) AS s FROM z GROUP BY 1 HAVING count(*) > 20)
+SELECT symbol, n, s AS statistic, exp(-s / 2) AS p_value, exp(-s / 2) > 0.05 AS is_normal FROM m""")
+def _(t):
+    return va.jarque_bera(t.returns, "symbol")
+
+
+@query("kolmogorov_smirnov", "Q19", "symbol:s n:i statistic p_value")
+def _(t):
+    return va.kolmogorov_smirnov(t.returns, "symbol")
+
+
+FOLDS = """f AS (SELECT r.*, fold, n - (5 - fold) * (n // 6) AS st, n // 6 AS size FROM (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS rn, count(*) OVER () AS n FROM reg) r, range(0, 5) x(fold)),
+  p AS (SELECT * FROM f WHERE rn >= st AND rn < st + size),
+  c AS (SELECT *, coalesce(regime <> lag(regime) OVER (PARTITION BY fold ORDER BY ts), false)::INT AS c FROM p)"""
+
+
+@query("fold_scores", "Q20", "series_id:s fold:i score", "reg", f"WITH {FOLDS} SELECT series_id, fold, 1 - sum(c) / (count(*) - 1) AS score FROM c GROUP BY 1, 2")
+def _(t):
+    return va.cross_validate(t.regimes, "series_id", va.consistency_scorer())
+
+
+@query("fold_summary", "Q20 Q26", "series_id:s mean_cv_score std_cv_score n_successful_folds:i", "reg", f"""
+WITH {FOLDS}, s AS (SELECT series_id, fold, 1 - sum(c) / (count(*) - 1) AS score FROM c GROUP BY 1, 2)
+SELECT series_id, avg(score) AS mean_cv_score, stddev_pop(score) AS std_cv_score, count(*) AS n_successful_folds FROM s GROUP BY 1""")
+def _(t):
+    return va.fold_summary(va.validate_labels(t.regimes, "series_id")["folds"], "series_id")
+
+
+PRED = """pr AS (SELECT event_id, event_type AS truth, CASE WHEN value < 20 THEN 'click' WHEN value < 60 THEN 'view' ELSE 'error' END AS predicted FROM events),
+  cm AS (SELECT truth, predicted, count(*) AS n FROM pr GROUP BY 1, 2)"""
+
+
+def predictions(t):
+    v = F.col("value")
+    return t.read("events").select(F.col("event_type").alias("truth"), F.when(v < 20, "click").when(v < 60, "view").otherwise("error").alias("predicted"))
+
+
+@query("confusion_matrix", "Q21", "truth:s predicted:s n:i", "", f"WITH {PRED} SELECT * FROM cm")
+def _(t):
+    return va.confusion(predictions(t))
+
+
+@query("class_metrics", "Q21", "label:s support:i precision recall f1", "", f"""
+WITH {PRED}, l AS (SELECT DISTINCT truth AS label FROM cm), s AS (SELECT label, (SELECT coalesce(sum(n), 0) FROM cm WHERE truth = label) AS support,
+    (SELECT coalesce(sum(n), 0) FROM cm WHERE predicted = label) AS p, (SELECT coalesce(sum(n), 0) FROM cm WHERE truth = label AND predicted = label) AS h FROM l)
+SELECT label, support, coalesce(h / nullif(p, 0), 0) AS precision, coalesce(h / nullif(support, 0), 0) AS recall, coalesce(2 * h / nullif(p + support, 0), 0) AS f1 FROM s""")
+def _(t):
+    return va.class_metrics(va.confusion(predictions(t)))
+
+
+@query("label_accuracy", "Q21", "accuracy n:i", "", f"WITH {PRED} SELECT sum(n) FILTER (truth = predicted) / sum(n) AS accuracy, sum(n) AS n FROM cm")
+def _(t):
+    return va.accuracy(va.confusion(predictions(t)))
+
+
+@query("label_stability", "Q22", "series_id:s mean std min max", "reg", """
+WITH p AS (SELECT *, least(3, rn // (n // 4)) AS period FROM (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS rn, count(*) OVER () AS n FROM reg)),
+  c AS (SELECT *, coalesce(regime <> lag(regime) OVER (PARTITION BY period ORDER BY ts), false)::INT AS c FROM p),
+  s AS (SELECT series_id, period, 1 - sum(c) / (count(*) - 1) AS s FROM c GROUP BY 1, 2)
+SELECT series_id, avg(s) AS mean, stddev_pop(s) AS std, min(s) AS min, max(s) AS max FROM s GROUP BY 1""")
+def _(t):
+    return va.stability(t.regimes, "series_id")
+
+
+@query("label_distribution", "Q22 Q26", "series_id:s part:s regime:i n:i share", "reg", """
+WITH p AS (SELECT series_id, regime, CASE WHEN row_number() OVER (ORDER BY ts) - 1 < floor(count(*) OVER () * 0.7) THEN 'train' ELSE 'test' END AS part FROM reg)
+SELECT series_id, part, regime, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY series_id, part) AS share FROM p GROUP BY 1, 2, 3""")
+def _(t):
+    return va.label_distribution(va.positional_split(t.regimes, "series_id"), ["series_id", "part"])
+
+
+@query("prediction_confidence", "Q23", "series_id:s mean std min max", "reg", """
+SELECT series_id, avg(m) AS mean, stddev_pop(m) AS std, min(m) AS min, max(m) AS max FROM (
+  SELECT series_id, greatest(0.5 + ret * 10, 0.5 - ret * 10) AS m FROM reg) GROUP BY 1""")
+def _(t):
+    probs = F.array(0.5 + F.col("ret") * 10, 0.5 - F.col("ret") * 10)
+    return va.prediction_confidence(t.regimes.withColumn("probs", probs), "series_id")
+
+
+FORECAST = """fc AS (SELECT ts, 'naive' AS model, lag(ret) OVER (ORDER BY ts) AS value FROM bench UNION ALL
+  SELECT ts, 'mean', avg(ret) OVER (ORDER BY ts ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) FROM bench)"""
+
+
+def forecasts(t):
+    from riskframe.plans.windows import by
+    w = by("series_id")
+    naive = t.benchmark.select("ts", F.lit("naive").alias("model"), F.lag("ret").over(w).alias("value"))
+    return naive.unionByName(t.benchmark.select("ts", F.lit("mean").alias("model"), F.avg("ret").over(w.rowsBetween(-4, -1)).alias("value")))
+
+
+@query("forecast_accuracy", "Q25", "model:s mse mae mape:m n_observations:i", "bench", f"""
+WITH {FORECAST} SELECT model, avg((value - ret) ** 2) AS mse, avg(abs(value - ret)) AS mae, avg(abs((value - ret) / ret)) * 100 AS mape, count(*) AS n_observations
+FROM fc JOIN bench USING (ts) WHERE value IS NOT NULL GROUP BY 1""")
+def _(t):
+    return va.forecast_accuracy(forecasts(t), t.benchmark.select("ts", F.col("ret").alias("actual")))
+
+
+@query("ensemble_forecast", "Q25", "ts:t ensemble", "bench", f"""
+WITH {FORECAST} SELECT ts, sum(CASE model WHEN 'naive' THEN 0.3 ELSE 0.7 END * coalesce(value, 0)) AS ensemble FROM fc GROUP BY 1""")
+def _(t):
+    return va.ensemble_forecast(forecasts(t), {"naive": 0.3, "mean": 0.7})
+
+
+@query("validation_findings", "Q27", "portfolio_id:s metric:s value finding:s", "prets", """
+WITH m AS (SELECT portfolio_id, 'sharpe_ratio' AS metric, avg(ret) / stddev_samp(ret) * sqrt(252.0) AS value FROM prets GROUP BY 1 UNION ALL
+  SELECT portfolio_id, 'stability_std', stddev_samp(ret) FROM prets GROUP BY 1)
+SELECT *, CASE WHEN metric = 'stability_std' THEN CASE WHEN value < 0.1 THEN 'Model shows good stability across time periods' ELSE 'Model shows instability across time periods - consider adaptive approaches' END
+  WHEN value > 1 THEN 'Portfolio shows strong risk-adjusted returns' WHEN value > 0.5 THEN 'Portfolio shows moderate risk-adjusted returns'
+  ELSE 'Portfolio shows poor risk-adjusted returns' END AS finding FROM m""")
+def _(t):
+    from riskframe.functions import measures as m
+    wide = t.portfolio_returns.groupBy("portfolio_id").agg(m.sharpe("ret", style="mean").alias("sharpe_ratio"), F.stddev_samp("ret").alias("stability_std"))
+    return va.findings(wide.unpivot("portfolio_id", ["sharpe_ratio", "stability_std"], "metric", "value"))

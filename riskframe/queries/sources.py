@@ -11,13 +11,13 @@ from riskframe.sources import cache, readers
 S = "symbol"
 
 
-@query("transaction_lines", "A1", "portfolio_id:s ts:t symbol:s side:s quantity price commission impact", "tx", """
-SELECT portfolio_id, ts, symbol, side, quantity, round(price, 4) AS price, round(commission, 4) AS commission, round(impact, 4) AS impact FROM tx""")
+@query("transaction_lines", "A1", "portfolio_id:s ts:t symbol:s side:s quantity price:p commission:p impact:p", "tx", """
+SELECT portfolio_id, ts, symbol, side, quantity, price, commission, impact FROM tx""")
 def _(t):
     tx = t.transactions
-    four = [F.format_string("%.4f", F.col(c)) for c in ("price", "commission", "impact")]
+    numbers = [F.col(c).cast("string") for c in ("quantity", "price", "commission", "impact")]
     line = F.concat_ws(",", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.col("symbol").cast("string"), "side",
-                       F.col("quantity").cast("string"), *four, F.lit("fill"))
+                       *numbers, F.lit("fill"))
     return readers.parse_transaction_lines(tx.select("portfolio_id", line.alias("line")))
 
 

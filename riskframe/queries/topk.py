@@ -90,7 +90,7 @@ CLIENTS = """c AS (SELECT 'C' || (user_id % 40) AS client_id, list_sort(list_dis
 
 @query("subscriptions", "G4", "client_id:s added:s removed:s", "", f"""
 WITH {CLIENTS} SELECT client_id, array_to_string(list_sort(list_distinct(list_concat(coalesce(event_types, []), ['alert']))), ',') AS added,
-  array_to_string(list_filter(coalesce(event_types, []), x -> x <> 'click'), ',') AS removed FROM c""")
+  array_to_string(list_filter(coalesce(event_types, []), lambda x: x <> 'click'), ',') AS removed FROM c""")
 def _(t):
     return clients(t).select(
         "client_id", F.concat_ws(",", F.array_sort(topk.subscribe("event_types", F.array(F.lit("alert"))))).alias("added"),

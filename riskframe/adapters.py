@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.plans.windows import constant_key, whole
+from riskframe.session import cut_lineage
 
 #: Code to name of the macro series (fixed values).
 MACRO_NAMES = {"T10": "treasury_10y", "T02": "treasury_2y", "IND": "industrial_output"}
@@ -28,12 +29,19 @@ class Tables:
 
     # Weekly order aggregates: five order priorities stand for assets, three statuses for portfolios.
 
+    @cached_property
+    def order_weeks(self) -> DataFrame:
+        """(portfolio_id, symbol, ts, v, n): the one pass over the orders that all weekly views share.
+
+        It is calendar-sized, so it is written to the checkpoint folder once; otherwise every join of two
+        weekly views would read the orders again.
+        """
+        return cut_lineage(self.read("orders").groupBy(
+            F.col("o_orderstatus").alias("portfolio_id"), F.col("o_orderpriority").alias("symbol"),
+            F.date_trunc("week", "o_orderdate").alias("ts")).agg(F.sum("o_totalprice").alias("v"), F.count("*").alias("n")))
+
     def weekly(self, *keys: str) -> DataFrame:
-        names = {"symbol": "o_orderpriority", "portfolio_id": "o_orderstatus"}
-        orders = self.read("orders").select(
-            F.date_trunc("week", "o_orderdate").alias("ts"), "o_totalprice",
-            *[F.col(names[k]).alias(k) for k in keys])
-        return orders.groupBy(*keys, "ts").agg(F.sum("o_totalprice").alias("v"), F.count("*").alias("n"))
+        return self.order_weeks.groupBy(*keys, "ts").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
 
     @cached_property
     def returns(self) -> DataFrame:
@@ -58,10 +66,9 @@ class Tables:
     @cached_property
     def latest_weights(self) -> DataFrame:
         """Constant weights per portfolio: shares of all its orders."""
-        counts = self.read("orders").groupBy(
-            F.col("o_orderstatus").alias("portfolio_id"), F.col("o_orderpriority").alias("symbol")).count()
+        counts = self.order_weeks.groupBy("portfolio_id", "symbol").agg(F.sum("n").alias("n"))
         return counts.select("portfolio_id", "symbol",
-                             (F.col("count") / F.sum("count").over(whole("portfolio_id"))).alias("weight"))
+                             (F.col("n") / F.sum("n").over(whole("portfolio_id"))).alias("weight"))
 
     @cached_property
     def portfolio_returns(self) -> DataFrame:
@@ -120,7 +127,10 @@ class Tables:
 
     @cached_property
     def panel(self) -> DataFrame:
-        """(symbol, sector, ts, ret, bret, pw, bw, cap, bm, prof, inv): monthly, one asset per nation."""
+        """(symbol, sector, ts, ret, bret, pw, bw, cap, bm, prof, inv): monthly, one asset per nation.
+
+        Written once like ``order_weeks``: factor work joins the panel with itself many times.
+        """
         supplier = self.read("supplier").select("s_suppkey", "s_nationkey")
         per_supplier = (self.read("lineitem").groupBy(
             "l_suppkey", F.date_trunc("month", "l_shipdate").alias("ts")).agg(
@@ -133,14 +143,14 @@ class Tables:
                  .groupBy("symbol", "sector", "ts")
                  .agg(*[F.sum(c).alias(c) for c in ("v", "q", "vf", "d", "t")]))
         date, asset = whole("ts"), whole("symbol")
-        return cells.select(
+        return cut_lineage(cells.select(
             "symbol", "sector", "ts",
             (0.01 * (F.col("vf") / F.avg("vf").over(asset) - 1)).alias("ret"),
             (0.01 * (F.col("v") / F.avg("v").over(asset) - 1)).alias("bret"),
             (F.col("vf") / F.sum("vf").over(date)).alias("pw"),
             (F.col("q") / F.sum("q").over(date)).alias("bw"),
             F.col("v").alias("cap"), (F.col("q") / F.col("v")).alias("bm"),
-            (F.col("d") / F.col("v")).alias("prof"), (F.col("t") / F.col("v")).alias("inv"))
+            (F.col("d") / F.col("v")).alias("prof"), (F.col("t") / F.col("v")).alias("inv")))
 
     @cached_property
     def macro(self) -> DataFrame:

@@ -28,34 +28,49 @@ def market_factor(panel: DataFrame, ret: str = "ret", cap: str = "cap", ts: str
     return panel.groupBy(ts).agg(value.alias("MKT"))
 
 
-def _buckets(panel: DataFrame, characteristic: str, ret: str, cap: str, ts: str, enough: int) -> DataFrame:
-    """Cap-weighted return of the six size by characteristic buckets, one row per date.
+def _placed(panel: DataFrame, characteristics: Sequence[str], ret: str, cap: str, ts: str) -> DataFrame:
+    """Bucket of each asset per characteristic: size split at the median, level at the 30/70 quantiles.
 
-    The breakpoints of a date (median and 30/70 quantiles over the assets) are aggregated and joined back.
+    The breakpoints are windows over the date, whose partitions hold one row per asset; the aggregation per
+    date that follows keeps the same partitioning, so a factor table costs one shuffle.
     """
-    rows = panel.where(F.col(cap).isNotNull() & F.col(characteristic).isNotNull() & F.col(ret).isNotNull())
-    cuts = rows.groupBy(ts).agg(
-        F.count("*").alias("_n"), F.percentile(cap, F.lit(0.5)).alias("_m"),
-        F.percentile(characteristic, F.array(F.lit(0.3), F.lit(0.7))).alias("_q")).where(F.col("_n") > enough)
-    c = F.col(characteristic)
-    size = F.when(F.col(cap) <= F.col("_m"), "S").otherwise("B")
-    level = F.when(c <= F.col("_q")[0], "L").when(c > F.col("_q")[1], "H").otherwise("M")
-    placed = rows.join(cuts, ts).withColumn("_bucket", F.concat(size, level))
-    # An empty bucket contributes 0.
-    cells = [F.coalesce(F.sum(F.when(F.col("_bucket") == b, F.col(cap) * F.col(ret)))
-                        / F.sum(F.when(F.col("_bucket") == b, F.col(cap))), F.lit(0.0)).alias(b) for b in SIX_BUCKETS]
-    return placed.groupBy(ts).agg(*cells)
+    date = whole(ts)
+    rows = panel
+    for i, name in enumerate(characteristics):
+        c = F.when(F.col(cap).isNotNull() & F.col(ret).isNotNull(), F.col(name))
+        size = F.when(c.isNotNull(), F.col(cap))
+        rows = rows.withColumns({f"_n{i}": F.count(c).over(date), f"_m{i}": F.percentile(size, F.lit(0.5)).over(date),
+                                 f"_q{i}": F.percentile(c, F.array(F.lit(0.3), F.lit(0.7))).over(date)})
+        side = F.when(F.col(cap) <= F.col(f"_m{i}"), "S").otherwise("B")
+        level = F.when(c <= F.col(f"_q{i}")[0], "L").when(c > F.col(f"_q{i}")[1], "H").otherwise("M")
+        rows = rows.withColumn(f"_b{i}", F.when(c.isNotNull(), F.concat(side, level)))
+    return rows
+
+
+def _cell(bucket: str, i: int, ret: str, cap: str) -> Column:
+    """Cap-weighted return of a bucket; an empty one contributes 0."""
+    inside = F.col(f"_b{i}") == bucket
+    return F.coalesce(F.sum(F.when(inside, F.col(cap) * F.col(ret))) / F.sum(F.when(inside, F.col(cap))), F.lit(0.0))
+
+
+def _size_value(i: int, ret: str, cap: str, enough: int) -> dict[str, Column]:
+    c = {name: _cell(name, i, ret, cap) for name in SIX_BUCKETS}
+    many = F.max(f"_n{i}") > enough
+    return {"SMB": F.when(many, (c["SL"] + c["SM"] + c["SH"]) / 3 - (c["BL"] + c["BM"] + c["BH"]) / 3),
+            "HML": F.when(many, (c["SH"] + c["BH"]) / 2 - (c["SL"] + c["BL"]) / 2)}
+
+
+def _long_short(i: int, long: str, ret: str, cap: str, enough: int) -> Column:
+    c = {name: _cell(name, i, ret, cap) for name in ("SL", "SH", "BL", "BH")}
+    spread = (c["SH"] + c["BH"]) / 2 - (c["SL"] + c["BL"]) / 2
+    return F.when(F.max(f"_n{i}") > enough, spread if long == "high" else -spread)
 
 
 def size_value_factors(panel: DataFrame, value: str = "bm", ret: str = "ret", cap: str = "cap", ts: str = "ts",
                        enough: int = 6) -> DataFrame:
     """SMB and HML; dates with too few assets are null."""
-    b = _buckets(panel, value, ret, cap, ts, enough)
-    c = {name: F.col(name) for name in SIX_BUCKETS}
-    smb = (c["SL"] + c["SM"] + c["SH"]) / 3 - (c["BL"] + c["BM"] + c["BH"]) / 3
-    hml = (c["SH"] + c["BH"]) / 2 - (c["SL"] + c["BL"]) / 2
-    factors = b.select(ts, smb.alias("SMB"), hml.alias("HML"))
-    return panel.select(ts).distinct().join(factors, ts, "left")
+    cells = _size_value(0, ret, cap, enough)
+    return _placed(panel, [value], ret, cap, ts).groupBy(ts).agg(*[c.alias(name) for name, c in cells.items()])
 
 
 def sort_factor(panel: DataFrame, characteristic: str, name: str, long: str = "high", ret: str = "ret",
@@ -63,20 +78,18 @@ def sort_factor(panel: DataFrame, characteristic: str, name: str, long: str = "h
     """Two by two sort: high minus low (profitability, momentum) or low minus high (investment)."""
     if long not in ("high", "low"):
         raise ValueError("long is high or low")
-    b = _buckets(panel, characteristic, ret, cap, ts, enough)
-    spread = (F.col("SH") + F.col("BH")) / 2 - (F.col("SL") + F.col("BL")) / 2
-    factor = b.select(ts, (spread if long == "high" else -spread).alias(name))
-    return panel.select(ts).distinct().join(factor, ts, "left")
+    return _placed(panel, [characteristic], ret, cap, ts).groupBy(ts).agg(_long_short(0, long, ret, cap, enough).alias(name))
 
 
 def factor_table(panel: DataFrame, profitability: str | None = None, investment: str | None = None,
-                 momentum: str | None = None, ret: str = "ret", ts: str = "ts") -> DataFrame:
-    """Market, size, value and the optional factors, complete dates only."""
-    out = market_factor(panel, ret, ts=ts).join(size_value_factors(panel, ret=ret, ts=ts), ts)
-    for column, name, side in ((profitability, "RMW", "high"), (investment, "CMA", "low"), (momentum, "MOM", "high")):
-        if column is not None:
-            out = out.join(sort_factor(panel, column, name, side, ret, ts=ts), ts)
-    return out.na.drop()
+                 momentum: str | None = None, ret: str = "ret", cap: str = "cap", ts: str = "ts", value: str = "bm") -> DataFrame:
+    """Market, size, value and the optional factors in one aggregation per date, complete dates only."""
+    extra = [(c, n, s) for c, n, s in ((profitability, "RMW", "high"), (investment, "CMA", "low"), (momentum, "MOM", "high")) if c]
+    rows = _placed(panel, [value, *[c for c, _, _ in extra]], ret, cap, ts)
+    market = F.sum(F.col(cap) * F.coalesce(F.col(ret), F.lit(0.0))) / F.sum(cap)
+    cells = {"MKT": market, **_size_value(0, ret, cap, 6),
+             **{n: _long_short(i + 1, s, ret, cap, 4) for i, (_, n, s) in enumerate(extra)}}
+    return rows.groupBy(ts).agg(*[c.alias(name) for name, c in cells.items()]).na.drop()
 
 
 def macro_factors(wide: DataFrame, differences: Mapping[str, str], ts: str = "ts") -> DataFrame:

@@ -43,7 +43,7 @@ def affine_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], a: str
     keys = list(keys)
     ranked = (Chunks(keys, order, bucket).rank(df, "_rn")
               .withColumn("_chunk", F.floor((F.col("_rn") - 1) / chunk_rows)))
-    heads = [*keys, "_chunk"]
+    heads, columns = [*keys, "_chunk"], [*df.columns, out]
 
     def fold(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_rn")
@@ -56,7 +56,7 @@ def affine_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], a: str
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_rn")
         values = _run(float(pdf["_x"].iloc[0]), pdf[a].to_numpy(float), pdf[b].to_numpy(float))
-        return pdf.assign(**{out: values})[[*df.columns, out]]
+        return pdf.assign(**{out: values})[columns]
 
     maps = ranked.select(*heads, "_rn", a, b).groupBy(*heads).applyInPandas(fold, _types(ranked, heads) + ", _a double, _b double")
     begin = maps.groupBy(*keys).applyInPandas(starts, _types(ranked, heads) + ", _x double")

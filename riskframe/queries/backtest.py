@@ -49,7 +49,7 @@ def prices(t):
     return t.weekly("symbol").withColumnRenamed("v", "close")
 
 
-@query("holdings_trades", "K4 K5", "portfolio_id:s ts:t symbol:s side:s quantity:p trade_value:m commission:m market_impact:m notes:s")
+@query("holdings_trades", "K4 K5", "portfolio_id:s ts:t symbol:s side:s quantity trade_value:m commission:m market_impact:m notes:s")
 def _(t):
     return bt.holdings_trades(rebalances(t), prices(t))
 
@@ -133,7 +133,7 @@ COST = """o AS (SELECT *, 5000 + 50 * line AS volume, side = 'Buy' AS buy FROM t
   k AS (SELECT *, greatest(quantity * execution_price * {cr}, 1.0) AS commission2 FROM x)"""
 
 
-@query("order_costs", "K9 U5", "order_id:i line:i symbol:i market_impact:p execution_price commission total_cost", "tx", "WITH " + COST.format(
+@query("order_costs", "K9 U5", "order_id:i line:i symbol:i market_impact execution_price commission total_cost", "tx", "WITH " + COST.format(
     model="0.001 * sqrt(quantity / volume)", cap="0.01", sp="0.0005", cr="0.001") + """
 SELECT order_id, line, symbol, market_impact, execution_price, commission2 AS commission, commission2 + quantity * abs(execution_price - price) AS total_cost FROM k""")
 def _(t):
@@ -172,9 +172,9 @@ LEDGER = """f AS (SELECT *, row_number() OVER (PARTITION BY portfolio_id, symbol
 ORDER = ("ts", "order_id", "line")
 
 
-@query("position_ledger", "K10", "portfolio_id:s symbol:i order_id:i line:i position average_cost realised_pnl", "tx", f"WITH RECURSIVE {LEDGER} SELECT * FROM l")
+@query("position_ledger", "K10", "portfolio_id:s symbol:i order_id:i line:i position average_cost:m realised_pnl:m", "tx", f"WITH RECURSIVE {LEDGER} SELECT * FROM l")
 def _(t):
-    return bt.position_ledger(t.transactions, order=ORDER, chunk_rows=64)
+    return bt.position_ledger(t.transactions, order=ORDER)
 
 
 def marked(t):
@@ -193,7 +193,7 @@ def _(t):
     return bt.open_positions(bt.nav_and_weights(marked(t), 5e9))
 
 
-@query("fill_history", "K12", "portfolio_id:s symbol:i order_id:i line:i ts:t side:s quantity price:p commission:p", "tx", """
+@query("fill_history", "K12", "portfolio_id:s symbol:i order_id:i line:i ts:t side:s quantity price commission", "tx", """
 SELECT portfolio_id, symbol, order_id, line, ts, side, quantity, price, commission FROM tx WHERE ts >= TIMESTAMP '2001-01-01'""")
 def _(t):
     return t.transactions.where(F.col("ts") >= F.lit("2001-01-01").cast("timestamp"))

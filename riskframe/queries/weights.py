@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from riskframe.operators import align, prep, weights as wt
 from riskframe.queries.base import query
+from riskframe.session import cut_lineage
 
 LOOK = """pts AS (SELECT max(ts) AS as_of FROM rets GROUP BY date_trunc('quarter', ts)),
   lb AS (SELECT as_of, symbol, ts, ret FROM pts JOIN rets ON ts >= as_of - INTERVAL 180 DAY AND ts < as_of)"""
@@ -28,7 +29,7 @@ def rebalances(t):
     kept = rows.join(ready.select("as_of"), "as_of")
     rp = wt.inverse_volatility(kept, "as_of").withColumn("portfolio_id", F.lit("rp"))
     mo = wt.momentum_weights(kept, 2, "as_of").withColumn("portfolio_id", F.lit("mo"))
-    return rp.unionByName(mo).select("portfolio_id", F.col("as_of").alias("ts"), "symbol", "weight")
+    return cut_lineage(rp.unionByName(mo).select("portfolio_id", F.col("as_of").alias("ts"), "symbol", "weight"))
 
 
 @query("lookback_estimates", "J1 C10", "as_of:t i:s j:s mu cov", "rets", f"""
@@ -158,15 +159,16 @@ def _(t):
 
 
 @query("method_comparison", "J11 U3", "method:s expected_return volatility sharpe_ratio max_weight min_weight concentration", "rets", f"""
-WITH {COV}, {MU}, s AS (SELECT symbol, 1 / stddev_samp(ret) AS iv, row_number() OVER (ORDER BY avg(ret) DESC, symbol) AS k FROM rets GROUP BY 1),
-  w AS (SELECT 'equal_weight' AS method, symbol, 1.0 / count(*) OVER () AS weight FROM s UNION ALL SELECT 'risk_parity', symbol, iv / sum(iv) OVER () FROM s
+WITH lr AS (SELECT symbol, ts, ln(1 + ret) AS ret FROM rets), {COV.replace("rets", "lr")}, {MU.replace("rets", "lr")},
+  s AS (SELECT symbol, 1 / stddev_samp(ret) AS iv, row_number() OVER (ORDER BY avg(ret) DESC, symbol) AS k FROM lr GROUP BY 1), w AS (SELECT 'equal_weight' AS method, symbol, 1.0 / count(*) OVER () AS weight FROM s UNION ALL SELECT 'risk_parity', symbol, iv / sum(iv) OVER () FROM s
     UNION ALL SELECT 'momentum', symbol, (k <= 3)::INT / 3.0 FROM s),
   v AS (SELECT a.method, sqrt(sum(a.weight * b.weight * cov)) AS volatility FROM w a JOIN w b USING (method) JOIN cov ON i = a.symbol AND j = b.symbol GROUP BY 1),
   r AS (SELECT method, sum(weight * mu) AS expected_return, max(weight) AS max_weight, min(weight) AS min_weight, sum(weight ** 2) AS concentration FROM w JOIN mu USING (symbol) GROUP BY 1)
 SELECT *, (expected_return - 0.02) / volatility AS sharpe_ratio FROM r JOIN v USING (method)""")
 def _(t):
-    weights = wt.WeightingMethods().all(t.returns)
-    return wt.compare_methods(weights, wt.annual_means(t.returns), wt.annual_covariances(t.returns))
+    logs = t.returns.withColumn("ret", F.log1p("ret"))
+    weights = wt.WeightingMethods().all(logs)
+    return wt.compare_methods(weights, wt.annual_means(logs), wt.annual_covariances(logs))
 
 
 @query("weight_timeline", "J13", "portfolio_id:s ts:t rebalance_date:t symbol:s weight", "rets", f"""

@@ -14,8 +14,8 @@ Handler = Callable[[DataFrame, int], None]
 
 
 def tick_stream(spark: SparkSession, path: str, schema) -> DataFrame:
-    """File stream of a landed folder or file."""
-    return spark.readStream.schema(schema).parquet(path)
+    """File stream of a landed folder or of one file (a glob path serves both)."""
+    return spark.readStream.schema(schema).parquet(f"{path}*")
 
 
 def batch_writer(folder: str) -> Handler:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.plans.windows import constant_key, whole
-from riskframe.session import cut_lineage
+from riskframe.session import cut_lineage, ship_package
 
 #: Code to name of the macro series (fixed values).
 MACRO_NAMES = {"T10": "treasury_10y", "T02": "treasury_2y", "IND": "industrial_output"}
@@ -23,6 +23,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        ship_package(spark)
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

@@ -206,18 +206,20 @@ def position_ledger(fills: DataFrame, keys: Sequence[str] = ("portfolio_id", "sy
     buy = F.lower("side") == "buy"
     signed = F.when(buy, F.col("quantity")).otherwise(-F.col("quantity"))
     chunks = Chunks(keys, order, rule)
-    rows = chunks.running(fills.withColumn("_signed", signed.cast("double")), {"position": ("sum", "_signed")})
+    # One scan gives both the quantity and the row number.
+    rows = chunks.running(fills.withColumns({"_signed": signed.cast("double"), "_one": F.lit(1.0)}),
+                          {"position": ("sum", "_signed"), "_rank": ("sum", "_one")})
     before, after = F.col("position") - F.col("_signed"), F.col("position")
     blended = buy & (after > 0)
     rows = rows.withColumns({
         "_a": F.when(blended, before / after).when(~buy & (F.abs(after) < 1e-9), 0.0).otherwise(1.0),
         "_b": F.when(blended, F.col("quantity") * F.col("price") / after).otherwise(0.0)})
-    scanned = affine_scan(rows, keys, order, "_a", "_b", "_cost", rule, chunk_rows)
+    scanned = affine_scan(rows, keys, order, "_a", "_b", "_cost", rule, chunk_rows, "_rank")
     realised = F.when(~buy & (before > 0), (F.col("price") - F.col("_cost")) * F.col("quantity")).otherwise(0.0)
     fee = F.col("commission")
     cash = F.when(buy, -(F.col("quantity") * F.col("price") + fee)).otherwise(F.col("quantity") * F.col("price") - fee)
     return scanned.withColumns({"average_cost": F.col("_a") * F.col("_cost") + F.col("_b"), "realised_pnl": realised,
-                                "cash_flow": cash}).drop("_signed", "_a", "_b", "_cost")
+                                "cash_flow": cash}).drop("_signed", "_one", "_rank", "_a", "_b", "_cost")
 
 
 def positions(ledger: DataFrame, keys: Sequence[str] = ("portfolio_id", "symbol"), order: Sequence[str] = ("ts",)) -> DataFrame:

@@ -61,15 +61,15 @@ def check_summary(checks: DataFrame, keys: Keys | None = None) -> DataFrame:
         F.avg(F.col("passed").cast("int")).alias("success_rate"), F.avg("score").alias("overall_score"))
 
 
-def dataset_summary(df: DataFrame, column: str, as_of: Column, ts: str = "ts", max_days: int = 1, gap_count: DataFrame | None = None) -> DataFrame:
+def dataset_summary(df: DataFrame, column: str, as_of: Column, ts: str = "ts", max_days: int = 1) -> DataFrame:
     """Missing values, freshness, outliers as one row of check results over a whole table."""
-    moments = df.agg(F.avg(column).alias("_m"), F.stddev_samp(column).alias("_s"))
-    keyed = constant_key(df, "_k").join(constant_key(moments, "_k"), "_k")
-    z = F.abs((F.col(column) - F.col("_m")) / F.col("_s")) > 4
-    one = keyed.groupBy("_k").agg(
+    # A scalar subquery: the moments are one row, so no join moves the table.
+    moments = df.agg(F.struct(F.avg(column).alias("m"), F.stddev_samp(column).alias("s"))).scalar()
+    z = F.abs((F.col(column) - moments["m"]) / moments["s"]) > 4
+    one = df.agg(
         F.avg(F.col(column).isNull().cast("int")).alias("missing"), F.datediff(as_of, F.max(ts)).alias("age"),
         F.avg(F.coalesce(z, F.lit(False)).cast("int")).alias("outliers"))
-    return _checks(one, "_k",
+    return _checks(constant_key(one, "_k"), "_k",
                    ("missing_values", F.col("missing") <= 0.05, 1 - F.col("missing"), F.col("missing")),
                    ("data_freshness", F.col("age") <= max_days, F.when(F.col("age") <= max_days, 1.0).otherwise(0.0), F.col("age")),
                    ("outliers", F.col("outliers") <= 0.01, 1 - F.col("outliers"), F.col("outliers"))).drop("_k")
@@ -273,9 +273,11 @@ def recommendations(checks: DataFrame) -> DataFrame:
 
 def feature_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Mean, std, skewness, kurtosis, range and nulls per feature in one pass over the wide table."""
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
-    long = df.select(F.explode(cells).alias("_f")).select("_f.*")
-    return long.groupBy("feature").agg(
-        F.count("*").alias("n"), F.sum(F.col("value").isNull().cast("int")).alias("missing"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), adjusted_skewness("value").alias("skewness"),
-        adjusted_kurtosis("value").alias("kurtosis"), F.min("value").alias("min"), F.max("value").alias("max"))
+    aggs = []
+    for i, c in enumerate(columns):
+        v = F.col(c).cast("double")
+        aggs.append(F.struct(
+            F.lit(c).alias("feature"), F.count("*").alias("n"), F.sum(v.isNull().cast("int")).alias("missing"), F.avg(v).alias("mean"),
+            F.stddev_samp(v).alias("std"), adjusted_skewness(v).alias("skewness"), adjusted_kurtosis(v).alias("kurtosis"),
+            F.min(v).alias("min"), F.max(v).alias("max")).alias(f"_{i}"))
+    return df.agg(*aggs).select(F.explode(F.array(*[f"_{i}" for i in range(len(columns))])).alias("_f")).select("_f.*")

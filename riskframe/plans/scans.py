@@ -38,11 +38,14 @@ def _run(start: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def affine_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], a: str, b: str, out: str, bucket: Column,
-                chunk_rows: int = 200_000) -> DataFrame:
-    """Adds ``out`` = x[t-1], the state before each row, starting from 0."""
+                chunk_rows: int = 200_000, rank: str | None = None) -> DataFrame:
+    """Adds ``out`` = x[t-1], the state before each row, starting from 0.
+
+    ``rank`` names a column that already holds the row number in the series.
+    """
     keys = list(keys)
-    ranked = (Chunks(keys, order, bucket).rank(df, "_rn")
-              .withColumn("_chunk", F.floor((F.col("_rn") - 1) / chunk_rows)))
+    numbered = df.withColumn("_rn", F.col(rank)) if rank else Chunks(keys, order, bucket).rank(df, "_rn")
+    ranked = numbered.withColumn("_chunk", F.floor((F.col("_rn") - 1) / chunk_rows))
     heads, columns = [*keys, "_chunk"], [*df.columns, out]
 
     def fold(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -48,14 +48,14 @@ class Tables:
     def returns(self) -> DataFrame:
         """(symbol, ts, ret), one row per asset and week, with holes where there was no order."""
         return self.weekly("symbol").select(
-            "symbol", "ts", (0.01 * (F.col("v") / F.avg("v").over(whole("symbol")) - 1)).alias("ret"))
+            "symbol", "ts", (0.01 * (F.try_divide(F.col("v"), F.avg("v").over(whole("symbol"))) - 1)).alias("ret"))
 
     @cached_property
     def benchmark(self) -> DataFrame:
         """(series_id, ts, ret) over all orders."""
         total = constant_key(self.weekly())
         return total.select("series_id", "ts",
-                            (0.01 * (F.col("v") / F.avg("v").over(whole("series_id")) - 1)).alias("ret"))
+                            (0.01 * (F.try_divide(F.col("v"), F.avg("v").over(whole("series_id"))) - 1)).alias("ret"))
 
     @cached_property
     def weights(self) -> DataFrame:
@@ -114,7 +114,7 @@ class Tables:
             F.col("l_suppkey").alias("symbol"), F.col("l_orderkey").alias("order_id"),
             F.col("l_linenumber").alias("line"),
             F.when(F.col("l_returnflag") == "R", "Sell").otherwise("Buy").alias("side"),
-            F.col("l_quantity").alias("quantity"), (value / F.col("l_quantity")).alias("price"),
+            F.col("l_quantity").alias("quantity"), F.try_divide(value, F.col("l_quantity")).alias("price"),
             value.alias("value"), (value * F.col("l_discount")).alias("commission"),
             (value * F.col("l_tax")).alias("impact"))
 
@@ -146,12 +146,12 @@ class Tables:
         date, asset = whole("ts"), whole("symbol")
         return cut_lineage(cells.select(
             "symbol", "sector", "ts",
-            (0.01 * (F.col("vf") / F.avg("vf").over(asset) - 1)).alias("ret"),
-            (0.01 * (F.col("v") / F.avg("v").over(asset) - 1)).alias("bret"),
-            (F.col("vf") / F.sum("vf").over(date)).alias("pw"),
-            (F.col("q") / F.sum("q").over(date)).alias("bw"),
-            F.col("v").alias("cap"), (F.col("q") / F.col("v")).alias("bm"),
-            (F.col("d") / F.col("v")).alias("prof"), (F.col("t") / F.col("v")).alias("inv")))
+            (0.01 * (F.try_divide(F.col("vf"), F.avg("vf").over(asset)) - 1)).alias("ret"),
+            (0.01 * (F.try_divide(F.col("v"), F.avg("v").over(asset)) - 1)).alias("bret"),
+            F.try_divide(F.col("vf"), F.sum("vf").over(date)).alias("pw"),
+            F.try_divide(F.col("q"), F.sum("q").over(date)).alias("bw"),
+            F.col("v").alias("cap"), F.try_divide("q", "v").alias("bm"),
+            F.try_divide("d", "v").alias("prof"), F.try_divide("t", "v").alias("inv")))
 
     @cached_property
     def macro(self) -> DataFrame:

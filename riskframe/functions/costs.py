@@ -83,7 +83,7 @@ def impact(name: str, quantity: Column | str, volume: Column | str, is_buy: Colu
     """Signed relative impact of an order by the model's name; 0 without volume."""
     if name not in IMPACT_MODELS:
         raise ValueError(f"unknown impact model {name!r}; one of {sorted(IMPACT_MODELS)}")
-    share = col(quantity) / col(volume)
+    share = F.try_divide(col(quantity), col(volume))
     return F.when(col(volume) > 0, IMPACT_MODELS[name](share, is_buy, **kwargs)).otherwise(0.0)
 
 

@@ -51,7 +51,7 @@ def total_return(r: R) -> Column:
 
 
 def annualised_return(r: R, periods: int = TRADING_DAYS) -> Column:
-    return F.pow(F.product(1 + col(r)), periods / F.count(col(r))) - 1
+    return F.pow(F.product(1 + col(r)), F.try_divide(F.lit(float(periods)), F.count(col(r)))) - 1
 
 
 def annualised_mean_return(r: R, periods: int = TRADING_DAYS) -> Column:

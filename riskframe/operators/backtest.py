@@ -191,7 +191,7 @@ def cost_scenarios(orders: DataFrame, keys: Keys, scenarios: Mapping[str, cost_f
     cells = F.array(*[F.struct(F.lit(n).alias("scenario"), F.col(f"_c{k}").alias("commission"), F.col(f"_t{k}").alias("total_cost"))
                       for k, n in enumerate(chosen)])
     long = wide.select(*keys, "traded_value", F.explode(cells).alias("_s")).select(*keys, "traded_value", "_s.*")
-    return long.withColumn("cost_ratio", F.col("total_cost") / F.col("traded_value"))
+    return long.withColumn("cost_ratio", F.try_divide("total_cost", "traded_value"))
 
 
 def position_ledger(fills: DataFrame, keys: Sequence[str] = ("portfolio_id", "symbol"), order: Sequence[str] = ("ts",),
@@ -212,8 +212,8 @@ def position_ledger(fills: DataFrame, keys: Sequence[str] = ("portfolio_id", "sy
     before, after = F.col("position") - F.col("_signed"), F.col("position")
     blended = buy & (after > 0)
     rows = rows.withColumns({
-        "_a": F.when(blended, before / after).when(~buy & (F.abs(after) < 1e-9), 0.0).otherwise(1.0),
-        "_b": F.when(blended, F.col("quantity") * F.col("price") / after).otherwise(0.0)})
+        "_a": F.when(blended, F.try_divide(before, after)).when(~buy & (F.abs(after) < 1e-9), 0.0).otherwise(1.0),
+        "_b": F.when(blended, F.try_divide(F.col("quantity") * F.col("price"), after)).otherwise(0.0)})
     scanned = affine_scan(rows, keys, order, "_a", "_b", "_cost", rule, chunk_rows, "_rank")
     realised = F.when(~buy & (before > 0), (F.col("price") - F.col("_cost")) * F.col("quantity")).otherwise(0.0)
     fee = F.col("commission")
@@ -241,7 +241,7 @@ def nav_and_weights(marked: DataFrame, capital: float = 0.0, keys: Keys = "portf
     """NAV = capital + cash + market value, and live weights."""
     w = whole(keys)
     nav = F.lit(capital) + F.sum("cash_flow").over(w) + F.sum("market_value").over(w)
-    return marked.withColumn("nav", nav).withColumn("weight", F.col("market_value") / F.col("nav"))
+    return marked.withColumn("nav", nav).withColumn("weight", F.try_divide("market_value", "nav"))
 
 
 def open_positions(marked: DataFrame) -> DataFrame:
@@ -256,7 +256,7 @@ def drift_orders(live: DataFrame, targets: DataFrame, prices: DataFrame, thresho
     navs = live.groupBy(*group).agg(F.max("nav").alias("_nav"))
     joined = (targets.select(*keys, F.col("weight").alias("target_weight")).join(live.select(*keys, "quantity", "weight"), keys, "left")
               .na.fill(0.0, ["quantity", "weight"]).join(navs, group).join(prices, "symbol"))
-    diff = F.col("target_weight") * F.col("_nav") / F.col("price") - F.col("quantity")
+    diff = F.try_divide(F.col("target_weight") * F.col("_nav"), F.col("price")) - F.col("quantity")
     return (joined.where(F.abs(F.col("target_weight") - F.col("weight")) > threshold)
             .withColumn("quantity_difference", diff).where(F.abs("quantity_difference") > smallest)
             .withColumn("side", F.when(F.col("quantity_difference") > 0, "buy").otherwise("sell")).drop("_nav"))

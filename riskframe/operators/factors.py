@@ -22,7 +22,7 @@ SIX_BUCKETS = ("SL", "SM", "SH", "BL", "BM", "BH")
 # Factor construction from a panel of (ts, symbol, ret, cap, characteristic).
 
 def market_factor(panel: DataFrame, ret: str = "ret", cap: str = "cap", ts: str = "ts", rf: str | None = None) -> DataFrame:
-    value = F.sum(F.col(cap) * F.coalesce(F.col(ret), F.lit(0.0))) / F.sum(cap)
+    value = F.try_divide(F.sum(F.col(cap) * F.coalesce(F.col(ret), F.lit(0.0))), F.sum(cap))
     if rf is not None:
         value = value - F.coalesce(F.max(rf), F.lit(0.0)) / TRADING_DAYS
     return panel.groupBy(ts).agg(value.alias("MKT"))
@@ -50,7 +50,7 @@ def _placed(panel: DataFrame, characteristics: Sequence[str], ret: str, cap: str
 def _cell(bucket: str, i: int, ret: str, cap: str) -> Column:
     """Cap-weighted return of a bucket; an empty one contributes 0."""
     inside = F.col(f"_b{i}") == bucket
-    return F.coalesce(F.sum(F.when(inside, F.col(cap) * F.col(ret))) / F.sum(F.when(inside, F.col(cap))), F.lit(0.0))
+    return F.coalesce(F.try_divide(F.sum(F.when(inside, F.col(cap) * F.col(ret))), F.sum(F.when(inside, F.col(cap)))), F.lit(0.0))
 
 
 def _size_value(i: int, ret: str, cap: str, enough: int) -> dict[str, Column]:
@@ -86,7 +86,7 @@ def factor_table(panel: DataFrame, profitability: str | None = None, investment:
     """Market, size, value and the optional factors in one aggregation per date, complete dates only."""
     extra = [(c, n, s) for c, n, s in ((profitability, "RMW", "high"), (investment, "CMA", "low"), (momentum, "MOM", "high")) if c]
     rows = _placed(panel, [value, *[c for c, _, _ in extra]], ret, cap, ts)
-    market = F.sum(F.col(cap) * F.coalesce(F.col(ret), F.lit(0.0))) / F.sum(cap)
+    market = F.try_divide(F.sum(F.col(cap) * F.coalesce(F.col(ret), F.lit(0.0))), F.sum(cap))
     cells = {"MKT": market, **_size_value(0, ret, cap, 6),
              **{n: _long_short(i + 1, s, ret, cap, 4) for i, (_, n, s) in enumerate(extra)}}
     return rows.groupBy(ts).agg(*[c.alias(name) for name, c in cells.items()]).na.drop()
@@ -234,7 +234,7 @@ def pca_factors(df: DataFrame, k: int, symbol: str = "symbol", ts: str = "ts", v
                          columns=[symbol, "factor", "loading"])
     loadings = df.sparkSession.createDataFrame(table)
     centred = F.col(value) - F.col("_m")
-    scaled = centred / F.col("_s") if standardise else centred
+    scaled = F.try_divide(centred, F.col("_s")) if standardise else centred
     scores = (rows.join(stats, symbol).join(loadings, symbol)
               .groupBy(ts, "factor").agg(F.sum(scaled * F.col("loading")).alias("score")))
     return loadings, scores
@@ -331,4 +331,4 @@ def behavioural_impact(fit: DataFrame, sentiment: Column, volume: Column) -> Dat
 
 def standardised(column: str, keys: Keys) -> Column:
     w = whole(keys)
-    return (F.col(column) - F.avg(column).over(w)) / F.stddev_pop(column).over(w)
+    return F.try_divide(F.col(column) - F.avg(column).over(w), F.stddev_pop(column).over(w))

@@ -22,7 +22,7 @@ def minimum_variance(df: DataFrame, keys: Keys, n: int = 60, ts: str = "ts") ->
     keys = as_list(keys)
     order = Window.partitionBy(*keys).orderBy(F.col(ts).desc())
     recent = df.withColumn("_rk", F.row_number().over(order)).where(F.col("_rk") <= n)
-    ratio = -F.covar_samp(R, H) / F.var_pop(H)
+    ratio = -F.try_divide(F.covar_samp(R, H), F.var_pop(H))
     return recent.groupBy(*keys).agg(
         F.when((F.count("*") >= n) & (F.var_pop(H) != 0), ratio).otherwise(0.0).alias("hedge_ratio"))
 
@@ -57,7 +57,7 @@ def tail_risk(df: DataFrame, keys: Keys, p: float = 0.05, premium: float = 0.01,
     keys = as_list(keys)
     cut = df.groupBy(*keys).agg(F.percentile(R, F.lit(p)).alias("_v"))
     tail = df.join(cut, keys).where(F.col(R) <= F.col("_v"))
-    ratio = -F.abs(F.covar_samp(R, H) / F.var_pop(H) * (1 - premium / max_cost))
+    ratio = -F.abs(F.try_divide(F.covar_samp(R, H), F.var_pop(H)) * (1 - premium / max_cost))
     clamped = F.greatest(F.lit(-2.0), F.least(F.lit(0.0), ratio))
     return tail.groupBy(*keys).agg(
         F.when((F.count("*") > 1) & (F.var_pop(H) != 0), clamped).otherwise(0.0).alias("hedge_ratio"))
@@ -127,7 +127,7 @@ def hedge_plan(positions: DataFrame, budget: float = 0.05, keys: Keys = "portfol
                 F.concat(acc["names"], F.array(x["o"].cast("string"))).alias("names"))).otherwise(acc)))
     plan = folded.select(*keys, F.col("_taken.names").alias("_names"), F.col("_taken.spent").alias("total_hedge_cost"),
                          F.size("_taken.names").alias("number_of_hedges"),
-                         (F.col("_taken.spent") / (F.col("_nav") * budget)).alias("budget_utilisation"))
+                         F.try_divide(F.col("_taken.spent"), F.col("_nav") * budget).alias("budget_utilisation"))
     return (positions.join(plan, keys)
             .withColumn("selected", F.array_contains("_names", F.col(order).cast("string"))).drop("_names"))
 

@@ -16,12 +16,12 @@ FREQUENCIES = ("daily", "weekly", "monthly", "quarterly", "yearly")
 def simple_returns(df: DataFrame, keys: Keys = "symbol", price: str = "close", ts: str = "ts",
                    out: str = "ret") -> DataFrame:
     """price / previous price - 1; the first row of each series is dropped."""
-    return df.withColumn(out, F.col(price) / F.lag(price).over(by(keys, ts)) - 1).where(F.col(out).isNotNull())
+    return df.withColumn(out, F.try_divide(F.col(price), F.lag(price).over(by(keys, ts))) - 1).where(F.col(out).isNotNull())
 
 
 def change_over(df: DataFrame, periods: int, keys: Keys = "symbol", column: str = "close", ts: str = "ts",
                 out: str = "change") -> DataFrame:
-    return df.withColumn(out, F.col(column) / F.lag(column, periods).over(by(keys, ts)) - 1)
+    return df.withColumn(out, F.try_divide(F.col(column), F.lag(column, periods).over(by(keys, ts))) - 1)
 
 
 def cross_section_mean(df: DataFrame, columns: Mapping[str, str | Column], ts: str = "ts") -> DataFrame:
@@ -49,7 +49,7 @@ def interpolate(df: DataFrame, column: str, keys: Keys = "symbol", ts: str = "ts
         "_a": F.last(mark, ignorenulls=True).over(running(keys, ts)),
         "_b": F.first(mark, ignorenulls=True).over(following(keys, ts))})
     a, b = F.col("_a"), F.col("_b")
-    blend = a["v"] + (b["v"] - a["v"]) * (F.col("_rn") - a["p"]) / (b["p"] - a["p"])
+    blend = a["v"] + (b["v"] - a["v"]) * F.try_divide(F.col("_rn") - a["p"], b["p"] - a["p"])
     return known.withColumn(
         column, F.coalesce(F.col(column), blend, a["v"], b["v"])).drop("_rn", "_a", "_b")
 
@@ -275,7 +275,7 @@ def growth_table(df: DataFrame, keys: Keys, ret: str = "ret", ts: str = "ts") ->
 
 
 def normalised_prices(df: DataFrame, keys: Keys = "symbol", price: str = "close", ts: str = "ts") -> DataFrame:
-    return df.withColumn("normalised", F.col(price) / F.first(price).over(running(keys, ts)))
+    return df.withColumn("normalised", F.try_divide(F.col(price), F.first(price).over(running(keys, ts))))
 
 
 def demean(column: str, keys: Keys) -> Column:

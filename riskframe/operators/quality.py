@@ -65,7 +65,7 @@ def dataset_summary(df: DataFrame, column: str, as_of: Column, ts: str = "ts", m
     """Missing values, freshness, outliers as one row of check results over a whole table."""
     # A scalar subquery: the moments are one row, so no join moves the table.
     moments = df.agg(F.struct(F.avg(column).alias("m"), F.stddev_samp(column).alias("s"))).scalar()
-    z = F.abs((F.col(column) - moments["m"]) / moments["s"]) > 4
+    z = F.abs(F.try_divide(F.col(column) - moments["m"], moments["s"])) > 4
     one = df.agg(
         F.avg(F.col(column).isNull().cast("int")).alias("missing"), F.datediff(as_of, F.max(ts)).alias("age"),
         F.avg(F.coalesce(z, F.lit(False)).cast("int")).alias("outliers"))
@@ -129,7 +129,7 @@ def structure_checks(bars: DataFrame, columns: Sequence[str] = ("open", "high",
 def price_checks(bars: DataFrame, key: str = "symbol", price: str = "close", ts: str = "ts") -> DataFrame:
     """Positivity, continuity (|r| > 50 %) and trend realism (share of moves in one direction)."""
     prior = F.lag(price).over(by(key, ts))
-    moved = bars.where(F.col(price).isNotNull()).withColumns({"_r": F.col(price) / prior - 1, "_d": F.col(price) - prior})
+    moved = bars.where(F.col(price).isNotNull()).withColumns({"_r": F.try_divide(F.col(price), prior) - 1, "_d": F.col(price) - prior})
     one = moved.groupBy(key).agg(
         F.sum((F.col(price) <= 0).cast("int")).alias("neg"), F.count("*").alias("n"), F.count("_r").alias("m"),
         F.sum((F.abs("_r") > 0.5).cast("int")).alias("ext"),
@@ -143,7 +143,7 @@ def price_checks(bars: DataFrame, key: str = "symbol", price: str = "close", ts:
 
 def volume_checks(bars: DataFrame, key: str = "symbol", price: str = "close", ts: str = "ts") -> DataFrame:
     """Negative volumes, constant volume, weak relation of volume and size of move."""
-    moved = bars.withColumn("_a", F.abs(F.col(price) / F.lag(price).over(by(key, ts)) - 1))
+    moved = bars.withColumn("_a", F.abs(F.try_divide(F.col(price), F.lag(price).over(by(key, ts))) - 1))
     one = moved.groupBy(key).agg(
         F.sum((F.col("volume") < 0).cast("int")).alias("neg"), F.stddev_samp("volume").alias("sd"),
         F.corr("_a", F.col("volume").cast("double")).alias("c"))
@@ -209,7 +209,7 @@ def series_checks(returns: DataFrame, key: str = "symbol", ret: str = "ret", ts:
         "_back": F.row_number().over(Window.partitionBy(key).orderBy(F.col(ts).desc()))}).withColumn("_ql", F.lag("_q").over(w))
     one = lagged.groupBy(key).agg(
         F.count("*").alias("n"), F.corr(ret, "_l").alias("ac"), F.corr("_q", "_ql").alias("vc"),
-        (F.var_samp(F.when(F.col("_back") <= 50, F.col(ret))) / F.var_samp(ret)).alias("vr")).where(F.col("n") >= enough)
+        (F.try_divide(F.var_samp(F.when(F.col("_back") <= 50, F.col(ret))), F.var_samp(ret))).alias("vr")).where(F.col("n") >= enough)
     calm = F.when(F.col("n") > 100, F.col("vr").between(0.5, 2.0))
     return _checks(one, key,
                    ("autocorrelation", F.abs("ac") < 0.3, 1 - F.least(F.lit(1.0), F.abs("ac") / 0.5), F.col("ac")),

@@ -103,7 +103,7 @@ def ensemble_probabilities(outputs: DataFrame, weights: Mapping[str, float] | Da
         table = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
         joined = outputs.withColumn("_w", F.element_at(table, F.col("model")))
     states = joined.groupBy(*keys, ts, "state").agg((F.sum(F.col("_w") * F.col("prob"))).alias("_s"), F.sum("_w").alias("_w"))
-    scaled = states.withColumn("prob", F.col("_s") / F.col("_w"))
+    scaled = states.withColumn("prob", F.try_divide("_s", "_w"))
     best = F.max_by("state", F.struct("prob", -F.col("state")))
     return scaled.groupBy(*keys, ts).agg(
         best.alias("regime"), F.max("prob").alias("confidence"),

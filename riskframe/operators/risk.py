@@ -47,7 +47,7 @@ def drawdown_path(df: DataFrame, keys: Keys, ret: str = "ret", ts: str = "ts") -
     w = running(keys, ts)
     path = df.withColumn("wealth", F.product(1 + F.col(ret)).over(w))
     peak = F.max("wealth").over(w)
-    return path.withColumns({"dd_add": F.col("wealth") - peak, "dd_rel": F.col("wealth") / peak - 1})
+    return path.withColumns({"dd_add": F.col("wealth") - peak, "dd_rel": F.try_divide(F.col("wealth"), peak) - 1})
 
 
 def max_drawdown_dates(df: DataFrame, keys: Keys, ret: str = "ret", ts: str = "ts") -> DataFrame:
@@ -131,9 +131,9 @@ def component_contributions(weights: DataFrame, cov: DataFrame, keys: Keys = "po
     variance = F.sum(F.col("weight") * F.col("marginal")).over(whole(keys))
     unit = {"variance": F.lit(1.0), "volatility": F.sqrt(variance)}[form]
     total = {"variance": variance, "volatility": F.sqrt(variance)}[form]
-    return marginal.select(*keys, "symbol", "weight", (F.col("marginal") / unit).alias("marginal"),
-                           (F.col("weight") * F.col("marginal") / unit).alias("component"),
-                           (F.col("weight") * F.col("marginal") / unit / total).alias("percentage"))
+    return marginal.select(*keys, "symbol", "weight", F.try_divide(F.col("marginal"), unit).alias("marginal"),
+                           F.try_divide(F.col("weight") * F.col("marginal"), unit).alias("component"),
+                           F.try_divide(F.col("weight") * F.col("marginal"), unit * total).alias("percentage"))
 
 
 def contributions_from_returns(weights: DataFrame, returns: DataFrame, portfolio: Keys = "portfolio_id",
@@ -148,7 +148,7 @@ def contributions_from_returns(weights: DataFrame, returns: DataFrame, portfolio
     marginal = (joined.join(total, [*portfolio, ts]).groupBy(*portfolio, "symbol")
                 .agg(F.max("weight").alias("weight"), F.covar_samp("ret", "_rp").alias("marginal")))
     part = F.col("weight") * F.col("marginal")
-    return marginal.withColumns({"component": part, "percentage": part / F.sum(part).over(whole(portfolio))})
+    return marginal.withColumns({"component": part, "percentage": F.try_divide(part, F.sum(part).over(whole(portfolio)))})
 
 
 def risk_decomposition(weights: DataFrame, cov: DataFrame, keys: Keys = "portfolio_id") -> DataFrame:
@@ -165,7 +165,7 @@ def bets_summary(parts: DataFrame, keys: Keys = "portfolio_id", top: int = 3) ->
     ranked = parts.withColumn("_rk", F.row_number().over(order))
     square = F.sum(F.col("percentage") * F.col("percentage"))
     return ranked.groupBy(*keys).agg(
-        F.sum("component").alias("total_risk"), square.alias("herfindahl_index"), (1 / square).alias("effective_bets"),
+        F.sum("component").alias("total_risk"), square.alias("herfindahl_index"), F.try_divide(F.lit(1.0), square).alias("effective_bets"),
         F.max("percentage").alias("max_contribution"),
         F.sum(F.when(F.col("_rk") <= top, F.col("percentage"))).alias("top_3_concentration"))
 

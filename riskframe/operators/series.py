@@ -22,7 +22,7 @@ def rolling_volatility(df: DataFrame, n: int = 20, keys: Keys = "symbol", ret: s
 
 def volume_indicators(df: DataFrame, n: int = 20, keys: Keys = "symbol", ts: str = "ts") -> DataFrame:
     mean = full(F.avg("volume"), "volume", trailing(keys, n, ts), n)
-    return df.withColumns({"volume_ma": mean, "volume_ratio": F.col("volume") / mean})
+    return df.withColumns({"volume_ma": mean, "volume_ratio": F.try_divide(F.col("volume"), mean)})
 
 
 def sma(df: DataFrame, column: str, windows: Sequence[int] = (5, 20), keys: Keys = "symbol", ts: str = "ts") -> DataFrame:
@@ -115,7 +115,7 @@ def rolling_performance(df: DataFrame, n: int = 252, keys: Keys = "portfolio_id"
     if "volatility" in metrics:
         out["rolling_volatility"] = F.stddev_samp(ret).over(w) * ROOT_YEAR
     if "sharpe" in metrics:
-        out["rolling_sharpe"] = F.avg(ret).over(w) / F.stddev_samp(ret).over(w) * ROOT_YEAR
+        out["rolling_sharpe"] = F.try_divide(F.avg(ret).over(w), F.stddev_samp(ret).over(w)) * ROOT_YEAR
     if "max_drawdown" in metrics:
         out["rolling_max_drawdown"] = _fold_drawdown(F.collect_list(ret).over(w))
     if "var" in metrics:
@@ -133,8 +133,8 @@ def rolling_analysis(df: DataFrame, n: int, keys: Keys = "portfolio_id", ret: st
     vol = F.stddev_samp(ret).over(w) * ROOT_YEAR
     return valued.withColumns({
         "rolling_return": F.when(ready, total), "rolling_volatility": F.when(ready, vol),
-        "rolling_sharpe": F.when(ready, (total * TRADING_DAYS - rf) / vol),
-        "rolling_drawdown": F.when(ready, F.col("_value") / F.max("_value").over(w) - 1)}).drop("_value")
+        "rolling_sharpe": F.when(ready, F.try_divide(total * TRADING_DAYS - rf, vol)),
+        "rolling_drawdown": F.when(ready, F.try_divide(F.col("_value"), F.max("_value").over(w)) - 1)}).drop("_value")
 
 
 def regime_features(df: DataFrame, windows: Sequence[int] = (5, 10, 20, 60), keys: Keys = "series_id",
@@ -157,15 +157,15 @@ def regime_features(df: DataFrame, windows: Sequence[int] = (5, 10, 20, 60), key
         first |= {f"{p}_{name}": F.when(ready, c) for name, c in cols.items()}
         gap, v = r - F.col(f"{p}_mean_return"), f"{p}_volatility"
         second |= {f"{p}_mean_reversion": F.when(F.count(gap).over(w) == n, F.avg(gap).over(w)),
-                   f"{p}_vol_ratio": F.col(v) / full(F.avg(v), v, w, n)}
+                   f"{p}_vol_ratio": F.try_divide(F.col(v), full(F.avg(v), v, w, n))}
     shaped = base.withColumns(first).withColumns(second).drop("_prev")
     if {5, 20, 60} <= set(windows):
         year = trailing(keys, TRADING_DAYS, ts)
         short, long = F.col("rolling_5d_volatility"), F.col("rolling_60d_volatility")
         shaped = shaped.withColumns({
-            "vol_short_long_ratio": short / long,
-            "return_short_long_ratio": F.col("rolling_5d_mean_return") / F.col("rolling_60d_mean_return"),
-            "fear_index": short / full(F.avg(long), long, year, TRADING_DAYS) * 100,
+            "vol_short_long_ratio": F.try_divide(short, long),
+            "return_short_long_ratio": F.try_divide("rolling_5d_mean_return", "rolling_60d_mean_return"),
+            "fear_index": F.try_divide(short, full(F.avg(long), long, year, TRADING_DAYS)) * 100,
             "volatility_spike": F.coalesce((short > long * 2).cast("int"), F.lit(0)),
             "extreme_return": F.coalesce((F.abs(r) > F.col("rolling_20d_volatility") * 2).cast("int"), F.lit(0))})
     if not fill:
@@ -203,7 +203,7 @@ def drawdown_periods(df: DataFrame, keys: Keys, ret: str = "ret", ts: str = "ts"
     keys = as_list(keys)
     run, order = running(keys, ts), by(keys, ts)
     path = df.withColumn("_w", F.product(1 + F.col(ret)).over(run))
-    path = path.withColumn("_dd", F.col("_w") / F.max("_w").over(run) - 1)
+    path = path.withColumn("_dd", F.try_divide(F.col("_w"), F.max("_w").over(run)) - 1)
     enter = F.col("_dd") < limit if strict else F.col("_dd") <= limit
     leave = F.col("_dd") > -0.001 if exit_test == "above" else F.abs("_dd") < 0.001
     path = path.withColumn("_state", F.last(F.when(enter, 1).when(leave, 0), ignorenulls=True).over(run))
@@ -220,7 +220,7 @@ def drawdown_periods(df: DataFrame, keys: Keys, ret: str = "ret", ts: str = "ts"
         F.max((F.col("_state") == 0).cast("int")).alias("_closed"))
     closed = F.col("_closed") == 1
     shaped = periods.withColumns({
-        "max_drawdown": F.col("trough_value") / F.col("peak_value") - 1 if depth == "entry" else F.col("_deepest"),
+        "max_drawdown": F.try_divide("trough_value", "peak_value") - 1 if depth == "entry" else F.col("_deepest"),
         "duration_days": F.datediff("end_date", "start_date"),
         "recovery_days": F.when(closed, F.datediff("end_date", "trough_date")),
         "recovered": closed})
@@ -348,7 +348,7 @@ def realised_volatility(ticks: DataFrame, method: str = "standard", keys: Keys =
     keys = as_list(keys)
     chunks = Chunks(keys, [ts, *tie], F.date_trunc(bucket, ts))
     slim = ticks.select(*keys, ts, *tie, price)
-    rets = (chunks.previous(slim, {"_p": price}).withColumn("_r", F.col(price) / F.col("_p") - 1)
+    rets = (chunks.previous(slim, {"_p": price}).withColumn("_r", F.try_divide(price, "_p") - 1)
             .where("_r IS NOT NULL").withColumn("day", F.date_trunc("day", ts)))
     daily = Chunks([*keys, "day"], [ts, *tie], F.date_trunc(bucket, ts))
     total = F.sum(F.col("_r") * F.col("_r"))

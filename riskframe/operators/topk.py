@@ -72,4 +72,4 @@ def unsubscribe(column: str, removed: Column) -> Column:
 
 
 def share(column: str, keys: Keys) -> Column:
-    return F.col(column) / F.sum(column).over(whole(keys))
+    return F.try_divide(F.col(column), F.sum(column).over(whole(keys)))

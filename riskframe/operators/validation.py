@@ -40,7 +40,7 @@ def ljung_box(df: DataFrame, keys: Keys, value: str = "ret", ts: str = "ts", lag
     w = by(keys, ts)
     lagged = centred.withColumns({f"_x{k}": F.lag("_x", k).over(w) for k in range(1, lags + 1)})
     n, s0 = F.count("_x"), F.sum(F.col("_x") * F.col("_x"))
-    terms = sum(F.pow(F.sum(F.col("_x") * F.col(f"_x{k}")) / s0, 2) / (n - k) for k in range(1, lags + 1))
+    terms = sum(F.pow(F.try_divide(F.sum(F.col("_x") * F.col(f"_x{k}")), s0), 2) / F.nullif(n - k, F.lit(0)) for k in range(1, lags + 1))
     stat = lagged.groupBy(*keys).agg((n * (n + 2) * terms).alias("statistic"))
     return stat.withColumn("p_value", chi2_tail_even(F.col("statistic"), lags)).withColumn(
         "significant_autocorr", F.col("p_value") < 0.05)
@@ -61,7 +61,7 @@ def kolmogorov_smirnov(df: DataFrame, keys: Keys, value: str = "ret") -> DataFra
     keys = as_list(keys)
     stats = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"), F.count(value).alias("n"))
     ranked = df.join(stats, keys).withColumns({
-        "_c": normal_cdf((F.col(value) - F.col("_m")) / F.col("_s")), "_rk": F.row_number().over(by(keys, value))})
+        "_c": normal_cdf(F.try_divide(F.col(value) - F.col("_m"), F.col("_s"))), "_rk": F.row_number().over(by(keys, value))})
     d = F.max(F.greatest(F.col("_rk") / F.col("n") - F.col("_c"), F.col("_c") - (F.col("_rk") - 1) / F.col("n")))
     out = ranked.groupBy(*keys).agg(F.max("n").alias("n"), d.alias("statistic"))
     x = F.sqrt("n") * F.col("statistic")
@@ -128,7 +128,7 @@ def class_metrics(matrix: DataFrame, keys: Keys | None = None, truth: str = "tru
 
 def accuracy(matrix: DataFrame, keys: Keys | None = None, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
     hit = F.sum(F.when(F.col(truth) == F.col(predicted), F.col("n")).otherwise(0))
-    return matrix.groupBy(*as_list(keys)).agg((hit / F.sum("n")).alias("accuracy"), F.sum("n").alias("n"))
+    return matrix.groupBy(*as_list(keys)).agg(F.try_divide(hit, F.sum("n")).alias("accuracy"), F.sum("n").alias("n"))
 
 
 # Stability, out of sample.
@@ -136,7 +136,7 @@ def accuracy(matrix: DataFrame, keys: Keys | None = None, truth: str = "truth",
 def equal_periods(df: DataFrame, keys: Keys, periods: int = 4, ts: str = "ts") -> DataFrame:
     """Number the rows' period: equal lengths, the last one takes the rest."""
     ranked = df.withColumns({"_rn": F.row_number().over(by(keys, ts)) - 1, "_n": F.count("*").over(whole(keys))})
-    length = F.floor(F.col("_n") / periods)
+    length = F.greatest(F.lit(1), F.floor(F.col("_n") / periods))
     return ranked.withColumn("period", F.least(F.lit(periods - 1), F.floor(F.col("_rn") / length))).drop("_rn", "_n")
 
 
@@ -167,7 +167,7 @@ def forecast_accuracy(forecasts: DataFrame, realised: DataFrame, on: Keys = "ts"
     joined = forecasts.join(realised, as_list(on)).where(F.col(value).isNotNull())
     e = F.col(value) - F.col(actual)
     return joined.groupBy(model).agg(F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"),
-                                     (F.avg(F.abs(e / F.col(actual))) * 100).alias("mape"), F.count("*").alias("n_observations"))
+                                     (F.avg(F.abs(F.try_divide(e, F.col(actual)))) * 100).alias("mape"), F.count("*").alias("n_observations"))
 
 
 def ensemble_forecast(forecasts: DataFrame, weights: Mapping[str, float] | None = None, on: Keys = "ts", model: str = "model",

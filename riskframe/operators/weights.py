@@ -32,9 +32,9 @@ def equal_weight(returns: DataFrame, keys: Keys | None = None) -> DataFrame:
 
 def inverse_volatility(returns: DataFrame, keys: Keys | None = None) -> DataFrame:
     keys = as_list(keys)
-    vols = returns.groupBy(*keys, "symbol").agg((1 / F.stddev_samp("ret")).alias("_iv"))
+    vols = returns.groupBy(*keys, "symbol").agg(F.try_divide(F.lit(1.0), F.stddev_samp("ret")).alias("_iv"))
     total = F.sum("_iv").over(Window.partitionBy(*(keys or [F.lit(1)])))
-    return vols.withColumn("weight", F.col("_iv") / total).drop("_iv")
+    return vols.withColumn("weight", F.try_divide(F.col("_iv"), total)).drop("_iv")
 
 
 def momentum_weights(returns: DataFrame, n: int, keys: Keys | None = None, last: int | None = None) -> DataFrame:
@@ -53,7 +53,7 @@ def momentum_weights(returns: DataFrame, n: int, keys: Keys | None = None, last:
 def bound_weights(weights: DataFrame, low: float, high: float, keys: Keys) -> DataFrame:
     """Clip to [low, high] and renormalise once."""
     clipped = F.greatest(F.lit(low), F.least(F.lit(high), F.col("weight")))
-    return weights.withColumn("weight", clipped).withColumn("weight", F.col("weight") / F.sum("weight").over(whole(keys)))
+    return weights.withColumn("weight", clipped).withColumn("weight", F.try_divide(F.col("weight"), F.sum("weight").over(whole(keys))))
 
 
 WeightRule = Callable[..., DataFrame]

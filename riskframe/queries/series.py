@@ -333,7 +333,7 @@ FROM ticks""")
 def _(t):
     from riskframe.plans.chunked import Chunks
     chunks = Chunks([S], ["ts", "event_id"], F.date_trunc("day", F.col("ts")))
-    return chunks.running(t.ticks, {"_peak": ("max", "price")}).withColumn("drawdown", F.col("price") / F.col("_peak") - 1)
+    return chunks.running(t.ticks, {"_peak": ("max", "price")}).withColumn("drawdown", F.try_divide("price", "_peak") - 1)
 
 
 @query("tick_rolling_mean", "E3", "symbol:s ts:t event_id:i mean_20", "ticks", f"""

@@ -29,11 +29,15 @@ def last_values(ticks: DataFrame, tie: str | None = None) -> DataFrame:
     return ticks.groupBy("symbol").agg(F.max_by(F.struct("ts", "price", "size"), order).alias("_v")).select("symbol", "_v.*")
 
 
-def stream_bars(ticks: DataFrame, width: str, delay: str = "10 minutes", slide: str | None = None, tie: str | None = None) -> DataFrame:
-    """Tumbling or sliding bars; append mode emits a bar once the watermark passes its end."""
+def stream_bars(ticks: DataFrame, width: str, delay: str | None = "10 minutes", slide: str | None = None, tie: str | None = None) -> DataFrame:
+    """Tumbling or sliding bars; append mode emits a bar once the watermark passes its end.
+
+    ``delay`` None keeps the watermark the input already has, for example from ``dedup``.
+    """
     order = F.struct("ts", tie) if tie else F.col("ts")
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
-    bars = ticks.withWatermark("ts", delay).groupBy("symbol", window.alias("_w")).agg(
+    timed = ticks.withWatermark("ts", delay) if delay else ticks
+    bars = timed.groupBy("symbol", window.alias("_w")).agg(
         F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
         F.max_by("price", order).alias("close"), F.sum("size").alias("volume"))
     return bars.select("symbol", F.col("_w.start").alias("ts"), "open", "high", "low", "close", "volume")

@@ -83,11 +83,12 @@ def feed(spark, folder):
 
 @pytest.fixture(scope="module")
 def landed(spark, tmp_path_factory):
-    """Three batches: an unordered tick, a repeated one, and one far later than the watermark."""
+    """Four batches: an unordered tick, a repeated one, and one far later than the watermark of the batch before."""
     folder = str(tmp_path_factory.mktemp("feed"))
     land(spark, folder, 0, [("A", stamp(1), 10.0, 1, "s"), ("A", stamp(3), 12.0, 1, "s"), ("B", stamp(2), 5.0, 1, "s")])
     land(spark, folder, 1, [("A", stamp(2), 11.0, 1, "s"), ("A", stamp(3), 12.0, 1, "s"), ("A", stamp(200), 20.0, 1, "s")])
-    land(spark, folder, 2, [("A", stamp(4), 99.0, 1, "s"), ("B", stamp(201), 6.0, 1, "s"), ("A", stamp(400), 21.0, 1, "s")])
+    land(spark, folder, 2, [("B", stamp(201), 6.0, 1, "s"), ("A", stamp(400), 21.0, 1, "s")])
+    land(spark, folder, 3, [("A", stamp(4), 99.0, 1, "s"), ("A", stamp(700), 22.0, 1, "s")])
     return folder
 
 
@@ -101,7 +102,7 @@ def test_bars_drop_late_and_repeated_ticks(spark, landed):
 
 def test_last_values_over_batches(spark, landed):
     got = {r["symbol"]: r["price"] for r in run.newest(run.drain(ev.last_values(feed(spark, landed)), "update"), ["symbol"]).collect()}
-    assert got == {"A": 21.0, "B": 6.0}
+    assert got == {"A": 22.0, "B": 6.0}
 
 
 def test_regime_state_carries_over_batches(spark, landed):
@@ -109,7 +110,7 @@ def test_regime_state_carries_over_batches(spark, landed):
     labels = feed(spark, landed).select(F.col("symbol").alias("series_id"), "ts", F.col("size").alias("tie"),
                                         F.when(price < 11.5, 0).when(price < 50, 1).otherwise(2).alias("regime"), F.lit(0.9).alias("confidence"))
     rows = run.drain(state.regime_changes(labels)).where("series_id = 'A'").orderBy("switches").collect()
-    # Batch by batch: 0 1 | 0 1 1 | 2 1.
+    # Batch by batch: 0 1 | 0 1 1 | 1 | 2 1.
     assert [(r["from_regime"], r["to_regime"]) for r in rows] == [(0, 1), (1, 0), (0, 1), (1, 2), (2, 1)]
     assert list(rows[-1]["recent"]) == [1, 0, 1, 2, 1]
 
@@ -123,11 +124,11 @@ def test_refresh_handlers_and_status(spark, landed, tmp_path):
     spark.streams.addListener(listener)
     run.start(feed(spark, landed), handlers, str(tmp_path / "state")).awaitTermination()
     spark.streams.removeListener(listener)
-    assert sizes == [6, 6] and seen == [1, 0, 1]
+    assert sizes == [6, 5, 4] and seen == [1, 0, 1, 0]
 
 
 def test_weight_upsert_over_batches(spark, landed, tmp_path):
     updates = feed(spark, landed).select(F.lit("p").alias("portfolio_id"), "symbol", F.col("price").alias("weight"), "ts")
     run.start(updates, run.weight_upsert_handler(spark, str(tmp_path / "w")), str(tmp_path / "s")).awaitTermination()
-    got = {r["symbol"]: r["weight"] for r in spark.read.parquet(str(tmp_path / "w" / "version=2")).collect()}
-    assert got == {"A": 21.0, "B": 6.0}
+    got = {r["symbol"]: r["weight"] for r in spark.read.parquet(str(tmp_path / "w" / "version=3")).collect()}
+    assert got == {"A": 22.0, "B": 6.0}

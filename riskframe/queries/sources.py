@@ -140,7 +140,7 @@ def _(t):
     return readers.activity_by_date(t.panel.withColumnsRenamed({"bw": "activity", "sector": "region"})).join(moods, "ts")
 
 
-@query("merged_quotes", "A17", "symbol:s price source:s", "ticks", """
+@query("merged_quotes", "A17 U6", "symbol:s price source:s", "ticks", """
 SELECT symbol, price, source FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY CASE source WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END) AS k
   FROM (SELECT symbol, source, arg_max(price, (ts, event_id)) AS price FROM ticks WHERE source IN ('view', 'click', 'error') GROUP BY 1, 2)) WHERE k = 1""")
 def _(t):
@@ -149,3 +149,29 @@ def _(t):
         registry.register(name, lambda spark, source=name: readers.latest_quotes(
             t.ticks.where(F.col("source") == source), tie="event_id"))
     return registry.failover(t.spark, ["view", "click", "error"], keys=[S])
+
+
+@query("written_run", "A14", "portfolio_id:s n:i mean", "prets", "SELECT portfolio_id, count(*) AS n, avg(ret) AS mean FROM prets GROUP BY 1")
+def _(t):
+    from riskframe.session import scratch_folder
+    from riskframe.sources import sinks
+    folder = scratch_folder(t.spark, "run")
+    summary = t.portfolio_returns.groupBy("portfolio_id").agg(F.count("*").alias("n"))
+    sinks.write_run(t.portfolio_returns, t.latest_weights, t.regimes.select("ts", "regime"), summary, folder)
+    stored = t.spark.read.schema("portfolio_id string, ts timestamp, ret double").csv(f"{folder}/portfolio_returns", header=True)
+    return stored.groupBy("portfolio_id").agg(F.count("*").alias("n"), F.avg("ret").alias("mean"))
+
+
+@query("written_metric_tables", "A15", "portfolio_id:s herfindahl n:i", "lw prets", """
+SELECT portfolio_id, sum(weight ** 2) AS herfindahl, n FROM lw JOIN (SELECT portfolio_id, count(*) AS n FROM prets GROUP BY 1) USING (portfolio_id) GROUP BY portfolio_id, n""")
+def _(t):
+    from riskframe.operators import risk
+    from riskframe.session import scratch_folder
+    from riskframe.sources import sinks
+    folder = scratch_folder(t.spark, "metrics")
+    shares = risk.contributions_from_returns(t.latest_weights, t.returns)
+    tables = {"current": risk.concentration(t.latest_weights), "history": t.portfolio_returns, "decomposition": shares,
+              "stress": risk.stress_tests(t.latest_weights, t.returns, {"none": {}})}
+    sinks.write_metric_tables(tables, folder)
+    n = t.spark.read.parquet(f"{folder}/history").groupBy("portfolio_id").agg(F.count("*").alias("n"))
+    return t.spark.read.parquet(f"{folder}/current").join(n, "portfolio_id")

@@ -100,10 +100,17 @@ def positional_join(left: DataFrame, right: DataFrame, keys: Keys, ts: str = "ts
 
 
 def interested(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """Fan events out to the clients subscribed to their type and, if the event has one, their symbol."""
-    per_type = subscriptions.select("client_id", "symbols", F.explode("event_types").alias("event_type"))
-    joined = events.join(per_type, "event_type")
-    return joined.where(F.col("symbol").isNull() | F.array_contains("symbols", F.col("symbol"))).drop("symbols")
+    """Fan events out to the clients subscribed to their type and, if the event has one, their symbol.
+
+    An equi join on type and symbol together: joining on the few event types alone would put every event of
+    a type into one partition.  Events without a symbol meet an extra entry each subscription carries.
+    """
+    everyone = F.lit("\u0000")
+    wanted = F.array_union(F.coalesce("symbols", F.array().cast("array<string>")), F.array(everyone))
+    per_type = subscriptions.select("client_id", wanted.alias("_w"), F.explode(F.array_distinct("event_types")).alias("event_type"))
+    entries = per_type.select("client_id", "event_type", F.explode("_w").alias("_symbol"))
+    keyed = events.withColumn("_symbol", F.coalesce("symbol", everyone))
+    return keyed.join(entries, ["event_type", "_symbol"]).drop("_symbol")
 
 
 def transition_distance(df: DataFrame, keys: Keys, label: str = "regime", ts: str = "ts") -> DataFrame:

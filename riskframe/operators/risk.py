@@ -15,28 +15,43 @@ from riskframe.functions.stats import ROOT_YEAR, TRADING_DAYS, safe_ratio
 from riskframe.plans.windows import Keys, as_list, by, full, running, trailing, whole
 
 
-def tail_table(df: DataFrame, keys: Keys, ret: str = "ret", probs: Sequence[float] = (0.05,)) -> DataFrame:
-    """Historical VaR and expected shortfall per tail probability, long: (keys, p, var, cvar).
+def _with_cuts(df: DataFrame, keys: Keys, ret: str, probs: Sequence[float], long_groups: bool = False) -> DataFrame:
+    """Adds ``_cuts``, the quantiles of the row's group.
 
-    VaR is aggregated and joined back, so the second pass also combines on the map side.
+    A window keeps the partitioning the aggregation after it needs, so a series is shuffled once.
+    ``long_groups`` is for groups that are not date grain: exact two-pass quantiles joined back.
     """
-    keys = as_list(keys)
-    slots = [F.struct(F.lit(p).alias("p"), F.get("_q", F.lit(i)).alias("var")) for i, p in enumerate(probs)]
-    cut = (df.groupBy(*keys).agg(F.percentile(ret, F.array(*[F.lit(p) for p in probs])).alias("_q"))
-           .select(*keys, F.explode(F.array(*slots)).alias("_s")).select(*keys, "_s.*"))
-    return df.join(cut, keys).groupBy(*keys, "p", "var").agg(m.mean_at_or_below(ret, "var").alias("cvar"))
+    if long_groups:
+        from riskframe.plans.quantiles import exact_quantiles
+        return df.join(exact_quantiles(df, as_list(keys), ret, probs, "_cuts"), as_list(keys))
+    return df.withColumn("_cuts", F.percentile(ret, F.array(*[F.lit(p) for p in probs])).over(whole(keys)))
+
+
+def _tail_aggs(ret: str, probs: Sequence[float]) -> list[Column]:
+    """var_* and cvar_* per tail probability, on rows that carry ``_cuts``."""
+    out = []
+    for i, p in enumerate(probs):
+        label, cut = f"{p * 100:g}".replace(".", "_"), F.get("_cuts", F.lit(i))
+        out += [F.first(cut).alias(f"var_{label}"), m.mean_at_or_below(ret, cut).alias(f"cvar_{label}")]
+    return out
+
 
+def tail_columns(df: DataFrame, keys: Keys, ret: str = "ret", probs: Sequence[float] = (0.05,),
+                 long_groups: bool = False) -> DataFrame:
+    """Historical VaR and expected shortfall, one column pair per tail probability: var_5, cvar_5, ..."""
+    return _with_cuts(df, keys, ret, probs, long_groups).groupBy(*as_list(keys)).agg(*_tail_aggs(ret, probs))
 
-def tail_columns(df: DataFrame, keys: Keys, ret: str = "ret", probs: Sequence[float] = (0.05,)) -> DataFrame:
-    """The tail table with one column pair per probability: var_5, cvar_5, ..."""
+
+def tail_table(df: DataFrame, keys: Keys, ret: str = "ret", probs: Sequence[float] = (0.05,),
+               long_groups: bool = False) -> DataFrame:
+    """The tail columns as rows (keys, p, var, cvar)."""
     keys = as_list(keys)
-    table = tail_table(df, keys, ret, probs)
-    picks = []
-    for p in probs:
-        label = f"{p * 100:g}".replace(".", "_")
-        for kind in ("var", "cvar"):
-            picks.append(F.max(F.when(F.col("p") == p, F.col(kind))).alias(f"{kind}_{label}"))
-    return table.groupBy(*keys).agg(*picks)
+    wide = _with_cuts(df, keys, ret, probs, long_groups).groupBy(*keys).agg(
+        *[c for i in range(len(probs)) for c in (F.first(F.get("_cuts", F.lit(i))).alias(f"_v{i}"),
+                                                 m.mean_at_or_below(ret, F.get("_cuts", F.lit(i))).alias(f"_c{i}"))])
+    cells = F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"_v{i}").alias("var"), F.col(f"_c{i}").alias("cvar"))
+                      for i, p in enumerate(probs)])
+    return wide.select(*keys, F.explode(cells).alias("_s")).select(*keys, "_s.*")
 
 
 def drawdown_path(df: DataFrame, keys: Keys, ret: str = "ret", ts: str = "ts") -> DataFrame:
@@ -76,18 +91,17 @@ def drawdown_table(df: DataFrame, keys: Keys, ret: str = "ret", ts: str = "ts",
 def conditional_drawdown(df: DataFrame, keys: Keys, p: float = 0.05, ret: str = "ret", ts: str = "ts") -> DataFrame:
     """Mean of the drawdowns at or beyond their (1 - p) quantile."""
     keys = as_list(keys)
-    depth = drawdown_path(df, keys, ret, ts).select(*keys, (-F.col("dd_rel")).alias("_d"))
-    cut = depth.groupBy(*keys).agg(F.percentile("_d", F.lit(1 - p)).alias("_c"))
-    return depth.join(cut, keys).groupBy(*keys).agg(F.avg(F.when(F.col("_d") >= F.col("_c"), F.col("_d"))).alias("cdar"))
+    depth = drawdown_path(df, keys, ret, ts).withColumn("_d", -F.col("dd_rel"))
+    return _with_cuts(depth, keys, "_d", (1 - p,)).groupBy(*keys).agg(
+        F.avg(F.when(F.col("_d") >= F.get("_cuts", F.lit(0)), F.col("_d"))).alias("cdar"))
 
 
 def performance_profile(df: DataFrame, keys: Keys, ret: str = "ret", ts: str = "ts", rf: float = 0.02) -> DataFrame:
     """The comprehensive metric set: returns, ratios, tail and drawdown in one row per key."""
-    keys = as_list(keys)
-    path = drawdown_path(df, keys, ret, ts)
-    base = path.groupBy(*keys).agg(*m.return_set(ret, rf), m.max_drawdown("dd_add").alias("max_drawdown"),
-                                   m.calmar(ret, "dd_add").alias("calmar_ratio"))
-    return base.join(tail_table(df, keys, ret).select(*keys, F.col("cvar").alias("cvar_95")), keys)
+    path = _with_cuts(drawdown_path(df, keys, ret, ts), keys, ret, (0.05,))
+    return path.groupBy(*as_list(keys)).agg(
+        *m.return_set(ret, rf), m.max_drawdown("dd_add").alias("max_drawdown"), m.calmar(ret, "dd_add").alias("calmar_ratio"),
+        m.mean_at_or_below(ret, F.get("_cuts", F.lit(0))).alias("cvar_95"))
 
 
 def conditional_var(df: DataFrame, keys: Keys, ret: str = "ret", p: float = 0.05, enough: int = 10) -> DataFrame:
@@ -176,9 +190,10 @@ def portfolio_risk_metrics(df: DataFrame, keys: Keys = "portfolio_id", ret: str
                            probs: Sequence[float] = (0.01, 0.05, 0.10)) -> DataFrame:
     """Volatility, VaR (historical, parametric), CVaR per level, drawdown, ratios, population moments."""
     keys = as_list(keys)
-    path = drawdown_path(df, keys, ret, ts)
+    path = _with_cuts(drawdown_path(df, keys, ret, ts), keys, ret, probs)
     daily = rf / TRADING_DAYS
-    base = path.groupBy(*keys).agg(
+    return path.groupBy(*keys).agg(
+        *_tail_aggs(ret, probs),
         F.stddev_samp(ret).alias("portfolio_volatility"), m.annualised_volatility(ret).alias("annualized_volatility"),
         F.stddev_pop(ret).alias("tracking_error"),
         safe_ratio(F.avg(ret), F.stddev_pop(ret)).alias("information_ratio"),
@@ -187,22 +202,20 @@ def portfolio_risk_metrics(df: DataFrame, keys: Keys = "portfolio_id", ret: str
         m.sortino(ret, daily).alias("sortino_ratio"), m.omega(ret).alias("omega_ratio"),
         m.tail_ratio(ret).alias("tail_ratio"), m.semi_deviation(ret).alias("semi_deviation"),
         F.skewness(ret).alias("skewness"), F.kurtosis(ret).alias("kurtosis"))
-    return base.join(tail_columns(df, keys, ret, probs), keys)
 
 
 def dashboard_metrics(df: DataFrame, weights: DataFrame, cov: DataFrame, keys: Keys = "portfolio_id", ret: str = "ret",
                       ts: str = "ts", probs: Sequence[float] = (0.01, 0.05)) -> DataFrame:
     """Basic dashboard set: volatilities, three VaR methods, drawdown indices, composition."""
     keys = as_list(keys)
-    path = drawdown_path(df, keys, ret, ts)
+    path = _with_cuts(drawdown_path(df, keys, ret, ts), keys, ret, probs)
     base = path.groupBy(*keys).agg(
-        F.stddev_pop(ret).alias("daily_volatility"), (F.stddev_pop(ret) * ROOT_YEAR).alias("annualized_volatility"),
+        *_tail_aggs(ret, probs), F.stddev_pop(ret).alias("daily_volatility"), (F.stddev_pop(ret) * ROOT_YEAR).alias("annualized_volatility"),
         *[m.var_parametric(ret, p).alias(f"var_{p * 100:g}_parametric") for p in probs],
         *[m.var_cornish_fisher(ret, p).alias(f"var_{p * 100:g}_cornish_fisher") for p in probs],
         m.max_drawdown("dd_add").alias("maximum_drawdown"), m.pain_index("dd_rel").alias("pain_index"),
         m.ulcer_index("dd_rel").alias("ulcer_index"))
-    return (base.join(tail_columns(df, keys, ret, probs), keys)
-            .join(conditional_drawdown(df, keys, 0.05, ret, ts), keys)
+    return (base.join(conditional_drawdown(df, keys, 0.05, ret, ts), keys)
             .join(diversification_ratio(weights, cov, keys).drop("portfolio_volatility"), keys)
             .join(concentration(weights, keys), keys))
 
@@ -368,11 +381,11 @@ def limit_breaches(metrics: DataFrame, limits: Mapping[str, float], keys: Keys =
 def gauges(df: DataFrame, keys: Keys = "portfolio_id", ret: str = "ret", ts: str = "ts") -> DataFrame:
     """Last return, volatility and Sharpe (more than 20 rows), drawdown, VaR 95 / 99 and shortfall."""
     keys = as_list(keys)
-    base = drawdown_path(df, keys, ret, ts).groupBy(*keys).agg(
+    path = _with_cuts(drawdown_path(df, keys, ret, ts), keys, ret, (0.05, 0.01))
+    base = path.groupBy(*keys).agg(
         F.max_by(ret, ts).alias("last_return"), *m.styled_set(ret, "gauge", 0.02),
-        m.max_drawdown("dd_rel").alias("max_drawdown"))
-    tails = tail_columns(df, keys, ret, (0.05, 0.01))
-    return base.join(tails, keys).withColumnsRenamed(
+        m.max_drawdown("dd_rel").alias("max_drawdown"), *_tail_aggs(ret, (0.05, 0.01)))
+    return base.withColumnsRenamed(
         {"var_5": "var_95", "cvar_5": "expected_shortfall", "var_1": "var_99"}).drop("cvar_1")
 
 

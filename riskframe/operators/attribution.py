@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions import measures as m
 from riskframe.functions.stats import ROOT_YEAR, adjusted_kurtosis, adjusted_skewness, safe_ratio
-from riskframe.operators.risk import drawdown_path, tail_table
+from riskframe.operators.risk import drawdown_path, tail_aggs, with_cuts
 from riskframe.plans.windows import Keys, as_list, constant_key, running, whole
 
 
@@ -94,11 +94,11 @@ def regime_statistics(df: DataFrame, keys: Keys, label: str = "regime", ret: str
                       ts: str = "ts", enough: int = 10) -> DataFrame:
     """Regime-conditional statistics, optionally against a benchmark, for regimes with enough rows."""
     keys = [*as_list(keys), label]
-    path = drawdown_path(df, keys, ret, ts)
+    path = with_cuts(drawdown_path(df, keys, ret, ts), keys, ret, (0.05,))
     sd = F.stddev_samp(ret)
     aggs = [F.count("*").alias("periods"), F.avg(ret).alias("mean_return"), sd.alias("std_return"),
             m.total_return(ret).alias("total_return"), m.annualised_mean_return(ret).alias("annualized_return"),
-            m.var_historical(ret).alias("var_95"), F.min("dd_add").alias("max_drawdown"), m.win_rate(ret).alias("win_rate"),
+            *tail_aggs(ret, (0.05,)), F.min("dd_add").alias("max_drawdown"), m.win_rate(ret).alias("win_rate"),
             adjusted_skewness(ret).alias("skewness"), adjusted_kurtosis(ret).alias("kurtosis"),
             m.sharpe(ret, style="mean").alias("sharpe_ratio"), m.sortino(ret, 0.02).alias("sortino_ratio")]
     if bench is not None:
@@ -107,8 +107,7 @@ def regime_statistics(df: DataFrame, keys: Keys, label: str = "regime", ret: str
                  te.alias("tracking_error"), safe_ratio(alpha, te).alias("information_ratio")]
     stats = path.groupBy(*keys).agg(*aggs)
     stats = stats.withColumn("frequency", F.col("periods") / F.sum("periods").over(whole(keys[:-1])))
-    tails = tail_table(df, keys, ret).select(*keys, F.col("cvar").alias("cvar_95"))
-    return stats.where(F.col("periods") >= enough).join(tails, keys)
+    return stats.where(F.col("periods") >= enough).withColumnsRenamed({"var_5": "var_95", "cvar_5": "cvar_95"})
 
 
 COMPARED = ("mean_return", "std_return", "sharpe_ratio", "max_drawdown", "win_rate")
@@ -169,8 +168,8 @@ def waterfall(parts: DataFrame, keys: Keys | None = None, order: str = "position
 def strategy_table(df: DataFrame, keys: Keys = "strategy", ret: str = "ret", ts: str = "ts") -> DataFrame:
     """Performance and risk comparison of strategies in the analyzer convention."""
     keys = as_list(keys)
-    path = drawdown_path(df, keys, ret, ts)
-    base = path.groupBy(*keys).agg(*m.styled_set(ret, "analyzer", dd="dd_rel"),
-                                   adjusted_skewness(ret).alias("skewness"), m.var_historical(ret).alias("var_95"))
-    return base.join(tail_table(df, keys, ret).select(*keys, F.col("cvar").alias("cvar_95")), keys)
+    path = with_cuts(drawdown_path(df, keys, ret, ts), keys, ret, (0.05,))
+    base = path.groupBy(*keys).agg(*m.styled_set(ret, "analyzer", dd="dd_rel"), adjusted_skewness(ret).alias("skewness"),
+                                   *tail_aggs(ret, (0.05,)))
+    return base.withColumnsRenamed({"var_5": "var_95", "cvar_5": "cvar_95"})
 

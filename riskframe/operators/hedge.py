@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.functions import measures as m
-from riskframe.plans.windows import Keys, as_list, constant_key
+from riskframe.plans.windows import Keys, as_list, constant_key, whole
 
 R, H = "ret", "hedge"
 
@@ -55,8 +55,7 @@ def var_target(df: DataFrame, keys: Keys, target: float = 0.02, p: float = 0.05,
 def tail_risk(df: DataFrame, keys: Keys, p: float = 0.05, premium: float = 0.01, max_cost: float = 0.02) -> DataFrame:
     """Beta within the worst rows, cost-adjusted, clamped to [-2, 0]."""
     keys = as_list(keys)
-    cut = df.groupBy(*keys).agg(F.percentile(R, F.lit(p)).alias("_v"))
-    tail = df.join(cut, keys).where(F.col(R) <= F.col("_v"))
+    tail = df.withColumn("_v", F.percentile(R, F.lit(p)).over(whole(keys))).where(F.col(R) <= F.col("_v"))
     ratio = -F.abs(F.try_divide(F.covar_samp(R, H), F.var_pop(H)) * (1 - premium / max_cost))
     clamped = F.greatest(F.lit(-2.0), F.least(F.lit(0.0), ratio))
     return tail.groupBy(*keys).agg(

@@ -15,7 +15,7 @@ from riskframe.functions.stats import ROOT_YEAR, TRADING_DAYS, safe_ratio
 from riskframe.plans.windows import Keys, as_list, by, full, running, trailing, whole
 
 
-def _with_cuts(df: DataFrame, keys: Keys, ret: str, probs: Sequence[float], long_groups: bool = False) -> DataFrame:
+def with_cuts(df: DataFrame, keys: Keys, ret: str, probs: Sequence[float], long_groups: bool = False) -> DataFrame:
     """Adds ``_cuts``, the quantiles of the row's group.
 
     A window keeps the partitioning the aggregation after it needs, so a series is shuffled once.
@@ -27,7 +27,7 @@ def _with_cuts(df: DataFrame, keys: Keys, ret: str, probs: Sequence[float], long
     return df.withColumn("_cuts", F.percentile(ret, F.array(*[F.lit(p) for p in probs])).over(whole(keys)))
 
 
-def _tail_aggs(ret: str, probs: Sequence[float]) -> list[Column]:
+def tail_aggs(ret: str, probs: Sequence[float]) -> list[Column]:
     """var_* and cvar_* per tail probability, on rows that carry ``_cuts``."""
     out = []
     for i, p in enumerate(probs):
@@ -39,14 +39,14 @@ def _tail_aggs(ret: str, probs: Sequence[float]) -> list[Column]:
 def tail_columns(df: DataFrame, keys: Keys, ret: str = "ret", probs: Sequence[float] = (0.05,),
                  long_groups: bool = False) -> DataFrame:
     """Historical VaR and expected shortfall, one column pair per tail probability: var_5, cvar_5, ..."""
-    return _with_cuts(df, keys, ret, probs, long_groups).groupBy(*as_list(keys)).agg(*_tail_aggs(ret, probs))
+    return with_cuts(df, keys, ret, probs, long_groups).groupBy(*as_list(keys)).agg(*tail_aggs(ret, probs))
 
 
 def tail_table(df: DataFrame, keys: Keys, ret: str = "ret", probs: Sequence[float] = (0.05,),
                long_groups: bool = False) -> DataFrame:
     """The tail columns as rows (keys, p, var, cvar)."""
     keys = as_list(keys)
-    wide = _with_cuts(df, keys, ret, probs, long_groups).groupBy(*keys).agg(
+    wide = with_cuts(df, keys, ret, probs, long_groups).groupBy(*keys).agg(
         *[c for i in range(len(probs)) for c in (F.first(F.get("_cuts", F.lit(i))).alias(f"_v{i}"),
                                                  m.mean_at_or_below(ret, F.get("_cuts", F.lit(i))).alias(f"_c{i}"))])
     cells = F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"_v{i}").alias("var"), F.col(f"_c{i}").alias("cvar"))
@@ -92,13 +92,13 @@ def conditional_drawdown(df: DataFrame, keys: Keys, p: float = 0.05, ret: str =
     """Mean of the drawdowns at or beyond their (1 - p) quantile."""
     keys = as_list(keys)
     depth = drawdown_path(df, keys, ret, ts).withColumn("_d", -F.col("dd_rel"))
-    return _with_cuts(depth, keys, "_d", (1 - p,)).groupBy(*keys).agg(
+    return with_cuts(depth, keys, "_d", (1 - p,)).groupBy(*keys).agg(
         F.avg(F.when(F.col("_d") >= F.get("_cuts", F.lit(0)), F.col("_d"))).alias("cdar"))
 
 
 def performance_profile(df: DataFrame, keys: Keys, ret: str = "ret", ts: str = "ts", rf: float = 0.02) -> DataFrame:
     """The comprehensive metric set: returns, ratios, tail and drawdown in one row per key."""
-    path = _with_cuts(drawdown_path(df, keys, ret, ts), keys, ret, (0.05,))
+    path = with_cuts(drawdown_path(df, keys, ret, ts), keys, ret, (0.05,))
     return path.groupBy(*as_list(keys)).agg(
         *m.return_set(ret, rf), m.max_drawdown("dd_add").alias("max_drawdown"), m.calmar(ret, "dd_add").alias("calmar_ratio"),
         m.mean_at_or_below(ret, F.get("_cuts", F.lit(0))).alias("cvar_95"))
@@ -190,10 +190,10 @@ def portfolio_risk_metrics(df: DataFrame, keys: Keys = "portfolio_id", ret: str
                            probs: Sequence[float] = (0.01, 0.05, 0.10)) -> DataFrame:
     """Volatility, VaR (historical, parametric), CVaR per level, drawdown, ratios, population moments."""
     keys = as_list(keys)
-    path = _with_cuts(drawdown_path(df, keys, ret, ts), keys, ret, probs)
+    path = with_cuts(drawdown_path(df, keys, ret, ts), keys, ret, probs)
     daily = rf / TRADING_DAYS
     return path.groupBy(*keys).agg(
-        *_tail_aggs(ret, probs),
+        *tail_aggs(ret, probs),
         F.stddev_samp(ret).alias("portfolio_volatility"), m.annualised_volatility(ret).alias("annualized_volatility"),
         F.stddev_pop(ret).alias("tracking_error"),
         safe_ratio(F.avg(ret), F.stddev_pop(ret)).alias("information_ratio"),
@@ -208,9 +208,9 @@ def dashboard_metrics(df: DataFrame, weights: DataFrame, cov: DataFrame, keys: K
                       ts: str = "ts", probs: Sequence[float] = (0.01, 0.05)) -> DataFrame:
     """Basic dashboard set: volatilities, three VaR methods, drawdown indices, composition."""
     keys = as_list(keys)
-    path = _with_cuts(drawdown_path(df, keys, ret, ts), keys, ret, probs)
+    path = with_cuts(drawdown_path(df, keys, ret, ts), keys, ret, probs)
     base = path.groupBy(*keys).agg(
-        *_tail_aggs(ret, probs), F.stddev_pop(ret).alias("daily_volatility"), (F.stddev_pop(ret) * ROOT_YEAR).alias("annualized_volatility"),
+        *tail_aggs(ret, probs), F.stddev_pop(ret).alias("daily_volatility"), (F.stddev_pop(ret) * ROOT_YEAR).alias("annualized_volatility"),
         *[m.var_parametric(ret, p).alias(f"var_{p * 100:g}_parametric") for p in probs],
         *[m.var_cornish_fisher(ret, p).alias(f"var_{p * 100:g}_cornish_fisher") for p in probs],
         m.max_drawdown("dd_add").alias("maximum_drawdown"), m.pain_index("dd_rel").alias("pain_index"),
@@ -308,9 +308,8 @@ def volatility_patterns(df: DataFrame, keys: Keys, ret: str = "ret", ts: str = "
     w = by(keys, ts)
     base = df.withColumns({"_v": full(F.stddev_samp(ret), ret, trailing(keys, n, ts), n) * ROOT_YEAR,
                            "_q": F.col(ret) * F.col(ret)}).withColumn("_q1", F.lag("_q").over(w))
-    cuts = base.groupBy(*keys).agg(F.percentile("_v", F.array(F.lit(.25), F.lit(.5), F.lit(.75))).alias("_c"))
-    high = F.coalesce(F.col("_v") > F.col("_c")[1], F.lit(False)).cast("int")
-    flagged = base.join(cuts, keys).withColumn("_high", high)
+    base = with_cuts(base, keys, "_v", (0.25, 0.5, 0.75)).withColumnRenamed("_cuts", "_c")
+    flagged = base.withColumn("_high", F.coalesce(F.col("_v") > F.col("_c")[1], F.lit(False)).cast("int"))
     flagged = flagged.withColumn("_same", F.coalesce((F.col("_high") == F.lag("_high").over(w)).cast("int"), F.lit(1)))
     return flagged.groupBy(*keys).agg(
         F.avg("_v").alias("avg_volatility"), F.stddev_samp("_v").alias("volatility_std"),
@@ -381,10 +380,10 @@ def limit_breaches(metrics: DataFrame, limits: Mapping[str, float], keys: Keys =
 def gauges(df: DataFrame, keys: Keys = "portfolio_id", ret: str = "ret", ts: str = "ts") -> DataFrame:
     """Last return, volatility and Sharpe (more than 20 rows), drawdown, VaR 95 / 99 and shortfall."""
     keys = as_list(keys)
-    path = _with_cuts(drawdown_path(df, keys, ret, ts), keys, ret, (0.05, 0.01))
+    path = with_cuts(drawdown_path(df, keys, ret, ts), keys, ret, (0.05, 0.01))
     base = path.groupBy(*keys).agg(
         F.max_by(ret, ts).alias("last_return"), *m.styled_set(ret, "gauge", 0.02),
-        m.max_drawdown("dd_rel").alias("max_drawdown"), *_tail_aggs(ret, (0.05, 0.01)))
+        m.max_drawdown("dd_rel").alias("max_drawdown"), *tail_aggs(ret, (0.05, 0.01)))
     return base.withColumnsRenamed(
         {"var_5": "var_95", "cvar_5": "expected_shortfall", "var_1": "var_99"}).drop("cvar_1")
 

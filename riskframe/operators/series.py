@@ -394,9 +394,10 @@ def volatility_tercile_regimes(df: DataFrame, keys: Keys = "series_id", ret: str
     """0 low, 1 middle (also while the window fills), 2 high volatility, against quantiles of the series."""
     keys = as_list(keys)
     rolled = df.withColumn("vol", full(F.stddev_samp(ret), ret, trailing(keys, n, ts), n))
-    cuts = rolled.groupBy(*keys).agg(F.percentile("vol", F.array(F.lit(low), F.lit(high))).alias("_q"))
+    # The quantiles as a window: the series keeps its one shuffle.
+    cuts = F.percentile("vol", F.array(F.lit(low), F.lit(high))).over(whole(keys))
     regime = F.when(F.col("vol") <= F.col("_q")[0], 0).when(F.col("vol") > F.col("_q")[1], 2).otherwise(1)
-    return rolled.join(cuts, keys).withColumn("regime", regime).drop("_q")
+    return rolled.withColumn("_q", cuts).withColumn("regime", regime).drop("_q")
 
 
 def regime_probabilities(df: DataFrame, states: int = 3, sure: float = 0.8, label: str = "regime") -> DataFrame:

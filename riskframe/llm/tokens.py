@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from riskframe.llm.merges import PLAIN, UnitMerger
 
 #: Entries of a worker's cache of units; units beyond are encoded once in each batch they occur in.
-CACHE = 400_000
+CACHE = 250_000
 #: White space, as an RE2 class (fixed values).
 _SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Characters that are white space to some engines only.

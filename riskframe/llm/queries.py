@@ -1,4 +1,4 @@
 """Imports every operator module, so that ``QUERIES`` and ``SQL`` are complete."""
 
-from riskframe.llm import bpe_codec, fingerprints, markov_lm, nearest, packing, secret_scan, token_files, url_filter  # noqa: F401
+from riskframe.llm import bpe_codec, fingerprints, language_id, markov_lm, nearest, packing, secret_scan, token_files, url_filter  # noqa: F401
 from riskframe.llm.registry import QUERIES, SQL  # noqa: F401

@@ -117,36 +117,47 @@ def custom_factor(returns: DataFrame, kind: str, ret: str = "ret", ts: str = "ts
 # Regressions.
 
 def _moments(x: Sequence[str], y: str) -> list[Column]:
-    names = [*x, y]
-    cols = [F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(c).alias(f"s_{c}") for c in names]]
+    """Count, means and centred cross products; the covariance aggregates update them without cancellation."""
+    names, n = [*x, y], F.count(F.lit(1)).cast("double")
+    cols = [n.alias("n"), *[F.avg(c).alias(f"m_{c}") for c in names]]
     for i, a in enumerate(names):
-        cols += [F.sum(F.col(a) * F.col(b)).alias(f"s_{a}_{b}") for b in names[i:]]
+        cols += [(F.covar_pop(a, b) * n).alias(f"s_{a}_{b}") for b in names[i:]]
     return cols
 
 
+def _inverse(matrices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pseudo-inverses after scaling to a unit diagonal, so that columns of very different size are judged alike,
+    and whether each matrix has full rank."""
+    size = np.sqrt(np.einsum("rii->ri", matrices))
+    size = np.where(size > 0, size, 1.0)
+    both = size[:, :, None] * size[:, None, :]
+    scaled = matrices / both
+    values = np.linalg.eigvalsh(scaled) if scaled.shape[1] else np.ones((len(scaled), 1))
+    return np.linalg.pinv(scaled, rcond=1e-13, hermitian=True) / both, values[:, 0] > 1e-13 * values[:, -1]
+
+
 def _solve(pdf: pd.DataFrame, x: Sequence[str], y: str, ridge: float, plain_t: bool) -> pd.DataFrame:
     """Coefficients and statistics of a batch of assets from their moment rows."""
     k, rows = len(x), len(pdf)
     n = pdf["n"].to_numpy()
-    mean = np.column_stack([pdf[f"s_{c}"] / n for c in x]) if k else np.empty((rows, 0))
-    my = (pdf[f"s_{y}"] / n).to_numpy()
-    raw = np.empty((rows, k, k))
+    mean = np.column_stack([pdf[f"m_{c}"] for c in x]) if k else np.empty((rows, 0))
+    my = pdf[f"m_{y}"].to_numpy()
+    centred = np.empty((rows, k, k))
     for i, a in enumerate(x):
         for j in range(i, k):
-            raw[:, i, j] = raw[:, j, i] = pdf[f"s_{a}_{x[j]}"]
-    centred = raw - n[:, None, None] * mean[:, :, None] * mean[:, None, :]
-    rhs = np.column_stack([pdf[f"s_{a}_{y}"] - n * mean[:, i] * my for i, a in enumerate(x)])
-    syy = (pdf[f"s_{y}_{y}"] - n * my * my).to_numpy()
-    solver = np.linalg.pinv(centred + ridge * np.eye(k), hermitian=True)
+            centred[:, i, j] = centred[:, j, i] = pdf[f"s_{a}_{x[j]}"]
+    rhs = np.column_stack([pdf[f"s_{a}_{y}"] for a in x])
+    syy = pdf[f"s_{y}_{y}"].to_numpy()
+    solver, full_rank = _inverse(centred + ridge * np.eye(k))
     beta = np.einsum("rij,rj->ri", solver, rhs)
     alpha = my - (mean * beta).sum(1)
     sse = np.maximum(syy - 2 * (beta * rhs).sum(1) + np.einsum("ri,rij,rj->r", beta, centred, beta), 0)
     mse = sse / (n - k - 1)
-    inverse = np.linalg.pinv(raw, hermitian=True) if plain_t else solver
+    inverse = _inverse(centred + n[:, None, None] * mean[:, :, None] * mean[:, None, :])[0] if plain_t else solver
     with np.errstate(divide="ignore", invalid="ignore"):
         t_beta = beta / np.sqrt(mse[:, None] * np.einsum("rii->ri", inverse))
         se_alpha = np.sqrt(mse * (1 / n + np.einsum("ri,rij,rj->r", mean, solver, mean)))
-        out = {"n": n.astype("int64"), "alpha": alpha, "r_squared": np.where(syy > 0, 1 - sse / syy, np.nan),
+        out = {"n": n.astype("int64"), "full_rank": full_rank, "alpha": alpha, "r_squared": np.where(syy > 0, 1 - sse / syy, np.nan),
                "residual_std": np.sqrt(sse / n), "t_alpha": alpha / se_alpha}
     for i, name in enumerate(x):
         out |= {f"beta_{name}": beta[:, i], f"t_{name}": t_beta[:, i]}
@@ -158,15 +169,16 @@ def fit_ols(df: DataFrame, keys: Keys, y: str, x: Sequence[str], enough: int | N
     """One regression with intercept per key: n, alpha, r_squared, residual_std, t_alpha, beta_*, t_*.
 
     Keys need more than ``enough`` rows (default factors + 10).  ``plain_t`` takes the t-statistics from the
-    inverse of X'X without the intercept column.  Columns are scaled to unit size per table first, so
-    squares of small returns keep their digits.
+    inverse of X'X without the intercept column.  Moments are centred as they are summed, and columns are scaled to
+    unit size before they are solved.  ``full_rank`` is false where factors depend on each other: the
+    coefficients are then those of least norm.
     """
     keys, x = as_list(keys), list(x)
     limit = len(x) + 10 if enough is None else enough
     rows = df.na.drop(subset=[y, *x])
     moments = rows.groupBy(*keys).agg(*_moments(x, y)).where(F.col("n") > limit)
     fields = {f.name: f.dataType.simpleString() for f in moments.schema.fields}
-    stats = ["alpha double", "r_squared double", "residual_std double", "t_alpha double"]
+    stats = ["full_rank boolean", "alpha double", "r_squared double", "residual_std double", "t_alpha double"]
     stats += [f"`{p}_{c}` double" for c in x for p in ("beta", "t")]
     schema = ", ".join([*(f"`{k}` {fields[k]}" for k in keys), "n bigint", *stats])
 

@@ -30,21 +30,19 @@ def sma(df: DataFrame, column: str, windows: Sequence[int] = (5, 20), keys: Keys
 
 
 def ema(df: DataFrame, column: str, spans: Sequence[int] = (12, 26), keys: Keys = "symbol", ts: str = "ts") -> DataFrame:
-    """Exponential mean with normalised weights.  The frame ends where the weights fall below 1e-17."""
-    out = {}
-    for span in spans:
-        keep = 1 - 2.0 / (span + 1)
-        reach = math.ceil(math.log(1e-17) / math.log(keep))
-        frame = F.collect_list(column).over(by(keys, ts).rowsBetween(-reach, 0))
-        out[f"ema_{span}"] = _fold_weights(frame, keep)
-    return df.withColumns(out)
-
-
-def _fold_weights(values: Column, keep: float) -> Column:
-    return F.aggregate(
-        values, F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den")),
-        lambda acc, x: F.struct((acc["num"] * keep + x).alias("num"), (acc["den"] * keep + 1).alias("den")),
-        lambda acc: acc["num"] / acc["den"])
+    """Exponential means with normalised weights over the whole series so far: ``num = keep * num + x`` and
+    ``den = keep * den + 1`` by row.  A missing value adds nothing, but weights decay across it; before the first
+    value the mean is null.  For date-grain series: the rows of a key are one group.
+    """
+    keys = as_list(keys)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+    def means(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(ts)
+        values = pdf[column].astype("float64")
+        return pdf.assign(**{f"ema_{n}": values.ewm(span=n, adjust=True, ignore_na=False).mean() for n in spans})
+
+    return df.groupBy(*keys).applyInPandas(means, kinds + "".join(f", ema_{n} double" for n in spans))
 
 
 def rolling_moments(df: DataFrame, column: str, n: int = 20, keys: Keys = "symbol", ts: str = "ts") -> DataFrame:

@@ -52,8 +52,9 @@ def _(t):
     return run.drain(ev.dedup(twice, "1 hour", ("symbol", "ts", "event_id")))
 
 
-@query("stream_regime_changes", "I5 I12", "series_id:s ts:t from_regime:i to_regime:i switches:i kept:i", "", """
-WITH l AS (SELECT event_type AS series_id, ts, event_id, CASE WHEN value < 20 THEN 0 WHEN value < 60 THEN 1 ELSE 2 END AS r FROM events),
+@query("stream_regime_changes", "I5 I12", "series_id:s ts:t from_regime:i to_regime:i switches:i kept:i", "", f"""
+WITH l AS (SELECT event_type AS series_id, ts, event_id, CASE WHEN value < 20 THEN 0 WHEN value < 60 THEN 1 ELSE 2 END AS r FROM events
+    WHERE ts < {LATE.format(delay='10 MINUTE')}),
   c AS (SELECT *, lag(r) OVER (PARTITION BY series_id ORDER BY ts, event_id) AS p FROM l)
 SELECT series_id, ts, p AS from_regime, r AS to_regime, row_number() OVER w AS switches, least(100, row_number() OVER w) AS kept FROM c WHERE p <> r
 WINDOW w AS (PARTITION BY series_id ORDER BY ts, event_id)""")
@@ -128,13 +129,15 @@ def _(t):
 @query("stream_risk_alerts", "I6", "portfolio_id:s alert_type:s current_value", "", f"""
 WITH w AS ({LATEST}) SELECT portfolio_id, 'position_limit' AS alert_type, max(weight) AS current_value FROM w GROUP BY 1 HAVING max(weight) > 0.15 UNION ALL
 SELECT portfolio_id, 'leverage_limit', sum(weight) FROM w GROUP BY 1 HAVING sum(weight) > 1 UNION ALL
-SELECT portfolio_id, 'concentration_risk', sum(weight ** 2) FROM w GROUP BY 1 HAVING sum(weight ** 2) > 0.4""")
+SELECT portfolio_id, 'concentration_risk', sum(weight ** 2) FROM w GROUP BY 1 HAVING sum(weight ** 2) > 0.4 UNION ALL
+SELECT portfolio_id, 'diversification_risk', 1 / sqrt(count(*) FILTER (weight > 0.01)) FROM w GROUP BY 1 HAVING 1 / sqrt(count(*) FILTER (weight > 0.01)) < 0.3""")
 def _(t):
     folder = scratch_folder(t.spark, "alerts")
     limits = mo.limits_table(t.latest_weights, mo.RiskLimits())
-    query_ = run.start(weight_stream(t), run.risk_alert_handler(limits, f"{folder}/out"), f"{folder}/state")
+    query_ = run.start(weight_stream(t), run.risk_alert_handler(t.spark, limits, f"{folder}/out"), f"{folder}/state")
     query_.awaitTermination()
-    return t.spark.read.parquet(f"{folder}/out").where("alert_type <> 'diversification_risk'")
+    alerts = t.spark.read.parquet(f"{folder}/out")
+    return alerts.where(F.col("batch") == alerts.agg(F.max("batch")).scalar())  # what holds after the last update
 
 
 @query("stream_model_refresh", "I11", "regime:i persistence")

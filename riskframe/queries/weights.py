@@ -12,7 +12,7 @@ LOOK = """pts AS (SELECT max(ts) AS as_of FROM rets GROUP BY date_trunc('quarter
   lb AS (SELECT as_of, symbol, ts, ret FROM pts JOIN rets ON ts >= as_of - INTERVAL 180 DAY AND ts < as_of)"""
 REB = LOOK + """, iv AS (SELECT as_of, symbol, 1 / stddev_samp(ret) AS iv FROM lb GROUP BY 1, 2),
   reb AS (SELECT 'rp' AS portfolio_id, as_of AS ts, symbol, iv / sum(iv) OVER (PARTITION BY as_of) AS weight FROM iv
-    WHERE as_of IN (SELECT as_of FROM lb GROUP BY 1 HAVING count(DISTINCT symbol) = 5 AND count(*) > 60)),
+    WHERE as_of IN (SELECT as_of FROM lb GROUP BY 1 HAVING count(DISTINCT symbol) = (SELECT count(DISTINCT symbol) FROM rets) AND count(*) > 60)),
   mv AS (SELECT as_of, symbol, row_number() OVER (PARTITION BY as_of ORDER BY avg(ret) DESC, symbol) AS k FROM lb GROUP BY 1, 2)"""
 MOM = """reb2 AS (SELECT * FROM reb UNION ALL SELECT 'mo', as_of, symbol, CASE WHEN k <= 2 THEN 0.5 ELSE 0 END FROM mv WHERE as_of IN (SELECT ts FROM reb))"""
 
@@ -23,9 +23,10 @@ def lookback(t):
 
 
 def rebalances(t):
-    """Inverse-volatility and momentum portfolios at quarterly rebalances with enough history."""
+    """Inverse-volatility and momentum portfolios at quarterly rebalances with enough history of all assets."""
     rows = lookback(t)
-    ready = rows.groupBy("as_of").agg(F.countDistinct("symbol").alias("s"), F.count("*").alias("n")).where("s = 5 AND n > 60")
+    assets = t.returns.agg(F.countDistinct("symbol")).scalar()
+    ready = rows.groupBy("as_of").agg(F.countDistinct("symbol").alias("s"), F.count("*").alias("n")).where((F.col("s") == assets) & (F.col("n") > 60))
     kept = rows.join(ready.select("as_of"), "as_of")
     rp = wt.inverse_volatility(kept, "as_of").withColumn("portfolio_id", F.lit("rp"))
     mo = wt.momentum_weights(kept, 2, "as_of").withColumn("portfolio_id", F.lit("mo"))

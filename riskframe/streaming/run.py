@@ -60,27 +60,27 @@ class Handlers:
             fn(batch if symbols is None else batch.where(F.col("symbol").isin(*symbols)), batch_id)
 
 
-def risk_alert_handler(limits: DataFrame, folder: str, returns: DataFrame | None = None) -> Handler:
-    """Run the limit rules on every batch of weights and append the alerts."""
-    from riskframe.operators.monitor import monitor
+def weight_upsert_handler(spark: SparkSession, folder: str) -> Callable[[DataFrame, int], DataFrame]:
+    """Merge weight updates by (portfolio, symbol), the latest by time, whatever batch brings it; each batch writes
+    a new version, which the next one reads, and the handler returns it."""
+    from riskframe.sources.cache import upsert
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        latest = batch.groupBy("portfolio_id", "symbol").agg(F.max_by("weight", "ts").alias("weight"))
-        monitor(latest, limits, returns).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+    def handle(batch: DataFrame, batch_id: int) -> DataFrame:
+        new = batch.select("portfolio_id", "symbol", "weight", F.col("ts").alias("write_ts"))
+        stored = spark.read.parquet(f"{folder}/version={batch_id - 1}") if batch_id > 0 else new.limit(0)
+        upsert(stored, new, ("portfolio_id", "symbol")).write.mode("overwrite").parquet(f"{folder}/version={batch_id}")
+        return spark.read.parquet(f"{folder}/version={batch_id}")
     return handle
 
 
-def weight_upsert_handler(spark: SparkSession, folder: str) -> Handler:
-    """Merge weight updates by (portfolio, symbol); each batch writes a new version read by the next one."""
-    from riskframe.sources.cache import upsert
+def risk_alert_handler(spark: SparkSession, limits: DataFrame, folder: str, returns: DataFrame | None = None) -> Handler:
+    """Merge every batch of weights into the portfolios held so far, run the limit rules on what is then held, and
+    write the alerts of that update to ``folder/batch=n``."""
+    from riskframe.operators.monitor import monitor
+    merge = weight_upsert_handler(spark, f"{folder.rstrip('/')}-weights")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        new = batch.select("portfolio_id", "symbol", "weight", F.col("ts").alias("write_ts"))
-        if batch_id > 0:
-            new = upsert(spark.read.parquet(f"{folder}/version={batch_id - 1}"), new, ("portfolio_id", "symbol"))
-        else:
-            new = upsert(new.limit(0), new, ("portfolio_id", "symbol"))
-        new.write.mode("overwrite").parquet(f"{folder}/version={batch_id}")
+        monitor(merge(batch, batch_id), limits, returns).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
     return handle
 
 

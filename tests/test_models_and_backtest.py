@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskframe.functions import costs
-from riskframe.operators import backtest as bt, factors as fa, hedge, quality, regime as rg, weights as wt
+from riskframe.operators import backtest as bt, factors as fa, hedge, quality, regime as rg, series, weights as wt
 
 
 @pytest.fixture(scope="module")
@@ -163,3 +163,25 @@ def test_noisy_ohlc_fails_the_consistency_check(spark):
     rows = [("x", (pd.Timestamp("2024-01-01") + pd.Timedelta(days=t)).to_pydatetime(), *map(float, 100 + rng.normal(0, 5, 4)), 10) for t in range(100)]
     bars = spark.createDataFrame(rows, "symbol string, ts timestamp, open double, high double, low double, close double, volume long")
     assert not quality.ohlc_checks(bars).first()["passed"]
+
+
+def test_regression_with_factors_of_very_different_size(spark):
+    rng = np.random.default_rng(8)
+    n = 400
+    small, large = 4 + 0.0005 * rng.normal(size=n), 1e9 + 1e7 * rng.normal(size=n)
+    y = 0.01 + 5.0 * small + 2e-9 * large + 0.001 * rng.normal(size=n)
+    df = spark.createDataFrame(pd.DataFrame({"k": "a", "y": y, "a": small, "b": large, "c": 2 * small}))
+    want = np.linalg.lstsq(np.column_stack([np.ones(n), small - 4, (large - 1e9) / 1e7]), y, rcond=None)[0]
+    got = fa.fit_ols(df, "k", "y", ["a", "b"]).first()
+    assert got["full_rank"] and abs(got["beta_a"] / want[1] - 1) < 1e-8 and abs(got["beta_b"] * 1e7 / want[2] - 1) < 1e-8
+    assert not fa.fit_ols(df, "k", "y", ["a", "c"]).first()["full_rank"]
+
+
+def test_exponential_mean_over_gaps(spark):
+    values = [None, 1.0, None, None, 4.0, 2.0, None]
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate(values)], "symbol string, ts int, x double")
+    got = [r["ema_3"] for r in series.ema(df, "x", (3,)).orderBy("ts").collect()]
+    num = den = 0.0
+    for v, g in zip(values, got):
+        num, den = num / 2 + (v or 0.0), den / 2 + (v is not None)
+        assert (g is None or g != g) if den == 0 else abs(g - num / den) < 1e-12

@@ -1,11 +1,14 @@
 """Files, caches and streams with late, repeated and unordered data."""
 
 import datetime as dt
+import os
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from riskframe.operators import topk
+from riskframe.operators import monitor, topk
 from riskframe.sources import cache, readers, sinks
 from riskframe.streaming import events as ev, run, state
 
@@ -105,14 +108,56 @@ def test_last_values_over_batches(spark, landed):
     assert got == {"A": 22.0, "B": 6.0}
 
 
-def test_regime_state_carries_over_batches(spark, landed):
-    price = F.col("price")
-    labels = feed(spark, landed).select(F.col("symbol").alias("series_id"), "ts", F.col("size").alias("tie"),
-                                        F.when(price < 11.5, 0).when(price < 50, 1).otherwise(2).alias("regime"), F.lit(0.9).alias("confidence"))
-    rows = run.drain(state.regime_changes(labels)).where("series_id = 'A'").orderBy("switches").collect()
-    # Batch by batch: 0 1 | 0 1 1 | 1 | 2 1.
-    assert [(r["from_regime"], r["to_regime"]) for r in rows] == [(0, 1), (1, 0), (0, 1), (1, 2), (2, 1)]
-    assert list(rows[-1]["recent"]) == [1, 0, 1, 2, 1]
+def label_rows(n=24_000):
+    """One label a second, in pseudo-random regimes, and a second series."""
+    times = pd.date_range("2024-01-01", periods=n, freq="s")
+    rng = np.random.default_rng(5)
+    return pd.concat([pd.DataFrame({"series_id": s, "ts": times, "tie": np.arange(n), "regime": rng.integers(0, 3, n), "confidence": 0.9})
+                      for s in ("A", "B")])
+
+
+def land_labels(rows, folder, files=8):
+    folder.mkdir()
+    for i, part in enumerate(np.array_split(np.arange(len(rows)), files)):
+        rows.iloc[part].astype({"tie": "int64", "regime": "int32", "ts": "datetime64[us]"}).to_parquet(folder / f"{i}.parquet", index=False)
+        os.utime(folder / f"{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    return str(folder)
+
+
+@pytest.mark.parametrize("files_at_once,disorder,delay", [(None, None, "10 minutes"), (1, 3600, "2 hours")])
+def test_regime_changes_do_not_depend_on_files_or_triggers(spark, tmp_path, files_at_once, disorder, delay):
+    rows, rng = label_rows(), np.random.default_rng(6)
+    late = rng.random(len(rows)) * (disorder or 1e9)
+    mixed = rows.iloc[np.argsort(rows["ts"].to_numpy().astype("datetime64[s]").astype(float) + late)]
+    folder = land_labels(mixed, tmp_path / "labels")
+    reader = spark.readStream.schema("series_id string, ts timestamp, tie bigint, regime int, confidence double")
+    reader = reader.option("maxFilesPerTrigger", files_at_once) if files_at_once else reader
+    got = run.drain(state.regime_changes(reader.parquet(folder), delay)).toPandas()
+    cut = rows["ts"].max() - pd.Timedelta(delay)
+    for series, whole in rows[rows["ts"] < cut].groupby("series_id"):
+        whole = whole.sort_values("ts")
+        want = whole[(whole["regime"] != whole["regime"].shift()) & whole["regime"].shift().notna()]
+        mine = got[got["series_id"] == series].sort_values("switches")
+        assert len(want) > 10_000 and mine["ts"].tolist() == want["ts"].tolist() and mine["to_regime"].tolist() == want["regime"].tolist()
+        assert mine["switches"].tolist() == list(range(1, len(want) + 1)) and len(mine["recent"].iloc[-1]) == 100
+
+
+def test_risk_alerts_follow_the_merged_portfolio(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    rows = pd.DataFrame({"portfolio_id": "p", "symbol": [f"s{i % 4}" for i in range(40)], "weight": rng.random(40) * 0.4,
+                         "ts": pd.date_range("2024-01-01", periods=40, freq="h")})
+    folder = tmp_path / "updates"
+    folder.mkdir()
+    for i, part in enumerate(np.array_split(rng.permutation(40), 4)):
+        rows.iloc[part].astype({"ts": "datetime64[us]"}).to_parquet(folder / f"{i}.parquet", index=False)
+    updates = spark.readStream.schema("portfolio_id string, symbol string, weight double, ts timestamp").option(
+        "maxFilesPerTrigger", 1).parquet(str(folder))
+    limits = monitor.limits_table(spark.createDataFrame([("p",)], "portfolio_id string"))
+    run.start(updates, run.risk_alert_handler(spark, limits, str(tmp_path / "out")), str(tmp_path / "state")).awaitTermination()
+    latest = spark.createDataFrame(rows.sort_values("ts").groupby("symbol").tail(1)[["portfolio_id", "symbol", "weight"]])
+    kinds = lambda df: sorted((r["alert_type"], round(r["current_value"], 9)) for r in df.collect())
+    got = spark.read.parquet(str(tmp_path / "out")).where("batch = 3")
+    assert kinds(got) == kinds(monitor.monitor(latest, limits)) and kinds(got)
 
 
 def test_refresh_handlers_and_status(spark, landed, tmp_path):

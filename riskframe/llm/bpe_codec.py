@@ -6,14 +6,14 @@ is cut at such pairs, each fragment is merged on its own, and the ids are put to
 
 * A character other than white space followed by a space is a certain cut: no token holds such a pair (but for
   the byte of a no-break space, where the vocabulary's word pattern cuts anyway).  So a text falls into words
-  with their leading space; their ids are kept in a bounded cache.
-* A word that isn't cached is cut by the vocabulary's own word pattern and then at every forced pair inside;
-  the fragments of a batch are merged by rank, all at once.
+  with their leading space, and each distinct word of a batch is encoded once.
+* A word is cut by the vocabulary's own word pattern and then at every forced pair inside; the fragments of a
+  batch are merged by rank, all at once.
 
 Runs of white space are the one place where the pattern looks ahead across such a cut; texts with runs of
 three or more, or two at the end, go through the pattern as a whole instead.
 
-Everything works per row: no shuffle, and a task holds a bounded batch of texts besides its caches.
+Everything works per row: no shuffle, and a task holds a bounded batch of texts.
 """
 
 from __future__ import annotations
@@ -30,40 +30,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.llm.batches import bounded, record_batch
-from riskframe.llm.merges import BYTE_WORDS, BatchMerger, byte_letters, cut
+from riskframe.llm.merges import UnitMerger, byte_letters
 from riskframe.llm.registry import llm_query, table
-from riskframe.llm.tokens import CACHE, UnitEncoder, vocabulary
+from riskframe.llm.tokens import LibraryEncoder, vocabulary
 
+#: The word pattern of byte-level vocabularies (fixed value).
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: From here on, Unicode versions may class characters differently; the library's own splitter is asked.
 _WIDE = re.compile("[^\x00-\x1b\x20-ɏ]")
 #: Fragments of more bytes are merged with a heap.
 _LONG = 64
 
 
-class ForcedBoundaryCodec(UnitEncoder):
-    def __init__(self, path: str, cache: int = CACHE):
-        from tokenizers import Tokenizer
+class ForcedBoundaryCodec(LibraryEncoder):
+    """Encodes by forced boundaries; of the library, it asks only the word splitter, for rare characters."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         letters, vocab = byte_letters(), spec["model"]["vocab"]
+        if spec["model"].get("end_of_word_suffix"):
+            raise ValueError("forced boundaries are defined for byte-level vocabularies")
+        self.dtype = np.dtype("<u4")
         self.token_bytes = {i: bytes(map(letters.__getitem__, t)) for t, i in vocab.items()}
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        super().__init__(cache)
         #: forced[a, b]: no token holds byte a followed by byte b.
         self.forced = np.ones((256, 256), bool)
         for token in self.token_bytes.values():
             codes = np.frombuffer(token, np.uint8)
             self.forced[codes[:-1], codes[1:]] = False
-        for text, i in self.special.items():
-            self.token_bytes[i] = text.encode()
-        self.byte_ids = np.array([vocab[letter] for letter, _ in sorted(letters.items(), key=lambda x: x[1])])
+        self.merger = UnitMerger(spec, self.forced)
+        self.byte_ids = self.merger.inner
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
-        self.merger = BatchMerger(self.merges)
-        self.words = regex.compile(BYTE_WORDS)
-        self.splitter = Tokenizer.from_file(path).pre_tokenizer
-        self.largest = max(self.token_bytes)
-        self.table = [self.token_bytes.get(i, b"") for i in range(self.largest + 1)]
+        self.words = regex.compile(WORDS)
+        self.splitter = self.tokenizer.pre_tokenizer
+        for text, i in self.special.items():
+            self.token_bytes[i] = text.encode()
+        self.table = [self.token_bytes.get(i, b"") for i in range(max(self.token_bytes) + 1)]
 
     # Encoding
 
@@ -75,19 +79,17 @@ class ForcedBoundaryCodec(UnitEncoder):
         ids, ends = self.batch(texts)
         return [ids[a:b].tobytes() for a, b in zip(ends, ends[1:])]
 
-    def encode_units(self, units: list[str]) -> list[bytes]:
-        """Short fragments of all units are merged at once; longer ones one by one."""
-        fragments = [[f for word in self._split(unit) for f in self._fragments(word)] for unit in units]
+    def alone(self, texts: list[str]) -> list[np.ndarray]:
+        """Texts cut by the word pattern, then at every forced pair; short fragments are merged all at once, longer
+        ones one by one."""
+        fragments = [[f for word in self._split(text) for f in self._fragments(word)] for text in texts]
         flat = [f for fs in fragments for f in fs]
         short = [f for f in flat if len(f) <= _LONG]
         sizes = np.fromiter(map(len, short), np.int64, len(short))
-        ids, sizes = self.merger.merge(self.byte_ids[np.frombuffer(b"".join(short), np.uint8)], sizes)
-        merged = iter(cut(ids.astype(self.dtype), sizes, [1] * len(short)))
+        ids, sizes = self.merger.merger.merge(self.byte_ids[np.frombuffer(b"".join(short), np.uint8)], sizes)
+        merged = iter(np.split(ids.astype(self.dtype), np.cumsum(sizes)[:-1]))
         encoded = iter([next(merged) if len(f) <= _LONG else self._merge_long(f) for f in flat])
-        return [b"".join(next(encoded) for _ in fs) for fs in fragments]
-
-    def encode_whole(self, text: str) -> bytes:
-        return b"".join(self.encode_units([text]))
+        return [np.concatenate([next(encoded) for _ in fs]) if fs else np.empty(0, self.dtype) for fs in fragments]
 
     def _split(self, text: str) -> list[bytes]:
         if _WIDE.search(text):
@@ -102,7 +104,7 @@ class ForcedBoundaryCodec(UnitEncoder):
         cuts = (np.flatnonzero(self.forced[codes[:-1], codes[1:]]) + 1).tolist()
         return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])] if cuts else [word]
 
-    def _merge_long(self, fragment: bytes) -> bytes:
+    def _merge_long(self, fragment: bytes) -> np.ndarray:
         """The same merges in n log n: a heap of (rank, place) over a linked list."""
         ids: list[int | None] = self.byte_ids[list(fragment)].tolist()
         n, merges = len(ids), self.merges
@@ -122,7 +124,7 @@ class ForcedBoundaryCodec(UnitEncoder):
                     heapq.heappush(heap, (*found, i))
             if before[i] >= 0 and (found := merges.get((ids[before[i]], merged))):
                 heapq.heappush(heap, (*found, before[i]))
-        return np.array([i for i in ids if i is not None], self.dtype).tobytes()
+        return np.array([i for i in ids if i is not None], self.dtype)
 
     # Decoding
 

@@ -2,22 +2,11 @@
 
 from __future__ import annotations
 
-import json
-import re
-import unicodedata
-
 import numpy as np
-import regex
+import pyarrow as pa
 
 _NONE = np.int32(2**31 - 1)
 
-#: The word patterns of the two kinds of vocabulary (fixed values): byte level, and with word ends.
-BYTE_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-END_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Units on whose letters all Unicode versions and normal forms agree.
-PLAIN = re.compile("[\n ]?[!-~¡-¬®-įı-ȳ]*")
-
-
 def byte_letters() -> dict[str, int]:
     """The printable letter that stands for each byte in vocabulary files, by the published rule: printable
     Latin-1 characters stand for themselves, the others follow from code point 256 on."""
@@ -117,49 +106,82 @@ class BatchMerger:
         return place
 
 
+#: Classes of bytes: white space, letters, digits, other characters, and those that need a closer look.
+_BLANK, _LETTER, _DIGIT, _MARK, _UNSURE = range(5)
+
+
+def byte_classes() -> np.ndarray:
+    """Class of each byte of UTF-8.  Two-byte letters of Latin alphabets are letters; an apostrophe may begin a
+    contraction; all else beyond ASCII is unsure."""
+    out = np.full(256, _UNSURE, np.int8)
+    out[[ord(" "), ord("\n")]] = _BLANK
+    for b in range(0x21, 0x7f):
+        out[b] = _LETTER if chr(b).isalpha() else _DIGIT if chr(b).isdigit() else _MARK
+    out[ord("'")] = _UNSURE
+    out[0x80:0xc0] = out[0xc3:0xc9] = _LETTER
+    return out
+
+
 class UnitMerger:
-    """Ids of units of plain letters, read from a vocabulary file."""
+    """Ids of units of plain letters by a vocabulary's own merges, as array operations over all of them.
+
+    ``forced``: also cut between two bytes where ``forced[a, b]``.
+    """
+
+    #: Units of more bytes are left to others.
+    LONGEST = 64
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
+    def __init__(self, spec: dict, forced: np.ndarray | None = None):
         vocab, suffix = spec["model"]["vocab"], spec["model"].get("end_of_word_suffix") or ""
         letters = sorted(byte_letters().items(), key=lambda x: x[1])
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         merges = {}
         for rank, (a, b) in enumerate(pairs):
             merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
-        self.word_ends = bool(suffix)
+        self.word_ends, self.forced = bool(suffix), forced
         self.inner = np.array([vocab[letter] for letter, _ in letters], np.int32)
         self.last = np.array([vocab[letter + suffix] for letter, _ in letters], np.int32)
-        self.words = regex.compile(END_WORDS if suffix else BYTE_WORDS)
         self.merger = BatchMerger(merges)
-
-    def words_of(self, unit: str) -> list[str]:
+        self.classes = byte_classes()
+        if self.word_ends:  # lower case is known here for ASCII and the letters from U+00C0 to U+00FF
+            self.classes[0xc4:0xc9] = _UNSURE
+
+    def encode(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the plain units one after the other, how many each unit has, and which units are plain."""
+        units = units.cast(pa.large_binary())
+        bounds = np.frombuffer(units.buffers()[1], np.int64)[units.offset:units.offset + len(units) + 1]
+        data = units.buffers()[2]
+        codes = np.frombuffer(data, np.uint8)[bounds[0]:bounds[-1]] if data is not None else np.empty(0, np.uint8)
+        sizes = np.diff(bounds)
+        unit = np.repeat(np.arange(len(units), dtype=np.int32), sizes)
+        kinds = self.classes[codes]
+        before, first = np.empty_like(codes), np.ones(len(codes), bool)
+        before[1:] = codes[:-1]
+        first[1:] = unit[1:] != unit[:-1]
+        # Two letters' places hold signs, and the alphabets end within a lead byte.
+        unsure = (kinds == _UNSURE) | (before == 0xc3) & ((codes == 0x97) | (codes == 0xb7)) | (before == 0xc8) & (codes > 0xb3)
+        plain = (np.bincount(unit[unsure], minlength=len(units)) == 0) & (sizes <= self.LONGEST)
+        keep = plain[unit]
+        codes, kinds, unit, before, first = codes[keep], kinds[keep], unit[keep], before[keep], first[keep]
+        if not len(codes):
+            return np.empty(0, np.int32), np.zeros(len(units), np.int64), plain
+        changed = np.ones(len(codes), bool)
+        changed[1:] = kinds[1:] != kinds[:-1]
         if self.word_ends:
-            unit = unicodedata.normalize("NFC", unit).lower()
-            return [unit] if unit.isalpha() else self.words.findall(unit)
-        return [unit] if (unit[1:] if unit[:1] == " " else unit).isalpha() else self.words.findall(unit)
-
-    def encode(self, units: list[str], dtype) -> list[bytes]:
-        """``units`` match ``PLAIN``."""
-        words = [self.words_of(u) for u in units]
-        flat = [w.encode() for ws in words for w in ws]
-        sizes = np.fromiter(map(len, flat), np.int64, len(flat))
-        if not len(flat):
-            return [b""] * len(units)
-        codes = np.frombuffer(b"".join(flat), np.uint8)
+            codes = codes.copy()
+            codes[(codes >= 65) & (codes <= 90)] += 32
+            codes[(before == 0xc3) & (codes >= 0x80) & (codes <= 0x9e) & ~first] += 32
+            begins = first | changed | (kinds == _DIGIT)
+        else:  # a leading space joins what follows; a line feed stands alone
+            joins = np.zeros(len(codes), bool)
+            joins[1:] = codes[:-1] == 32
+            begins = first | changed & ~joins
+        if self.forced is not None:
+            begins[1:] |= self.forced[codes[:-1], codes[1:]]
+        starts = np.flatnonzero(begins)
         ids = self.inner[codes]
-        lasts = np.cumsum(sizes) - 1
-        ids[lasts] = self.last[codes[lasts]]
-        merged, sizes = self.merger.merge(ids, sizes)
-        return cut(merged.astype(dtype), sizes, [len(ws) for ws in words])
-
-
-def cut(ids: np.ndarray, sizes: np.ndarray, segments_of: list[int]) -> list[bytes]:
-    """Bytes of the ids of each unit, which has so many of the segments."""
-    data, width = ids.tobytes(), ids.dtype.itemsize
-    bounds = np.cumsum([0, *segments_of], dtype=np.int64)
-    ends = np.cumsum([0, *sizes.tolist()], dtype=np.int64)[bounds] * width
-    ends = ends.tolist()
-    return [data[a:b] for a, b in zip(ends, ends[1:])]
+        if self.word_ends:
+            lasts = np.append(starts[1:], len(codes)) - 1
+            ids[lasts] = self.last[codes[lasts]]
+        merged, made = self.merger.merge(ids, np.diff(np.append(starts, len(codes))))
+        return merged, np.bincount(unit[starts], made, len(units)).astype(np.int64), plain

@@ -1,8 +1,8 @@
-"""Token ids of whole texts, equal to the ``tokenizers`` library's, batch by batch and with a cache of short units.
+"""Token ids of whole texts, equal to the ``tokenizers`` library's, a batch of texts at a time.
 
 Both kinds of vocabulary part a text at white space before any merge, so a text is cut into units that never
-influence each other (words, with their leading space in byte-level vocabularies).  A batch of texts is split
-and its distinct units are found in Arrow; only distinct units are looked up, and only unknown ones encoded.
+influence each other (words, with their leading space in byte-level vocabularies).  Arrow splits a batch and finds
+its distinct units; each is encoded once, all of plain letters together as arrays, the others by the library.
 """
 
 from __future__ import annotations
@@ -16,45 +16,50 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from riskframe.llm.merges import PLAIN, UnitMerger
+from riskframe.llm.merges import UnitMerger
 
-#: Entries of a worker's cache of units; units beyond are encoded once in each batch they occur in.
-CACHE = 250_000
 #: White space, as an RE2 class (fixed values).
 _SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-#: Characters that are white space to some engines only.
-_ODD = r"[\x{1c}-\x{1f}\x{180e}]"
+#: Characters that are white space to some engines only, and the one that marks units.
+_ODD = r"[\x{0}\x{1c}-\x{1f}\x{180e}]"
 
 
-class UnitEncoder:
-    """Encodes batches of texts unit by unit; subclasses say how a unit and how a tangled text are encoded.
+class LibraryEncoder:
+    """``ids(text)`` equals ``Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids``.
 
-    ``word_ends``: white space is dropped.  Otherwise the word pattern looks ahead in white space, and texts
-    with three of them in a row, or two at the end, are encoded as a whole.
+    Special tokens written in a text become their ids, as in the library.  Null and empty texts have no ids.
+    Vocabularies with word ends drop white space.  With the others the word pattern looks ahead in white space, and
+    texts with three of them in a row, or two at the end, are encoded as a whole.
     """
 
-    dtype = np.dtype("<u4")
-    word_ends = False
-    special: dict[str, int] = {}
-
-    def __init__(self, cache: int = CACHE):
-        self.cache: dict[str, bytes] = {}
-        self.limit = cache
-        odd = _ODD if self.word_ends else rf"{_SPACE}{{3}}|{_SPACE}{{2}}\z|{_ODD}"
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.merger = UnitMerger(spec)
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        odd = _ODD if self.merger.word_ends else rf"{_SPACE}{{3}}|{_SPACE}{{2}}\z|{_ODD}"
         self.whole = "|".join([odd, *map(re.escape, self.special)])
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
-    def encode_units(self, units: list[str]) -> list[bytes]:
-        raise NotImplementedError
+    def alone(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts, or units, that need no cut at white space."""
+        out = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, self.dtype) for e in out]
 
-    def encode_whole(self, text: str) -> bytes:
-        raise NotImplementedError
+    def ids(self, text: str | None) -> np.ndarray:
+        return self.batch(pa.array([text], pa.string()))[0]
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text's begin (one more entry: the end)."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         whole = np.asarray(pc.match_substring_regex(texts, self.whole))
-        ids, ends = self._units(texts.filter(pa.array(~whole)) if whole.any() else texts)
+        ids, ends = self._by_units(texts.filter(pa.array(~whole)) if whole.any() else texts)
         if not whole.any():
             return ids, ends
         parts, k = [], 0
@@ -66,89 +71,44 @@ class UnitEncoder:
                 k += 1
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
-    def ids(self, text: str | None) -> np.ndarray:
-        return self.batch(pa.array([text], pa.string()))[0]
-
     def _with_special(self, text: str) -> np.ndarray:
         parts = self.special_pattern.split(text) if self.special_pattern else [text]
-        found = (np.array([self.special[p]], self.dtype).tobytes() if p in self.special else self.encode_whole(p)
-                 for p in parts if p)
-        return np.frombuffer(b"".join(found), self.dtype)
+        return np.concatenate([np.array([self.special[p]], self.dtype) if p in self.special else self.alone([p])[0]
+                               for p in parts if p])
 
-    def _units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if self.word_ends:
+    def _by_units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if self.merger.word_ends:
             split = pc.utf8_split_whitespace(texts)
-        else:
-            # A line feed ends a word too: it becomes the first letter of the next unit.
-            split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        else:  # a unit begins at each space and line feed
+            split = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, "\n", "\0\n"), " ", "\0 "), "\0")
         bounds = split.offsets.to_numpy()
         coded = split.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
-        bounds, index = bounds - bounds[0], coded.indices.to_numpy().copy()
-        units = coded.dictionary.to_pylist()
-        if self.word_ends:
-            known = self._look_up(units, units)
-        else:
-            known = self._look_up(units, [u if u[:1] == "\n" else " " + u for u in units])
-            # The first unit of a text has no space before it.
-            starts = bounds[:-1][bounds[:-1] < bounds[1:]]
-            firsts = [units[i] for i in index[starts]]
-            distinct = {u: len(known) + i for i, u in enumerate(dict.fromkeys(firsts))}
-            index[starts] = [distinct[u] for u in firsts]
-            known += [b"" if not u else e for u, e in zip(distinct, self.encode_units(list(distinct)))]
-        width = self.dtype.itemsize
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // width
-        source = np.frombuffer(b"".join(known), self.dtype)
-        begins = np.cumsum(sizes) - sizes
+        index = coded.indices.to_numpy()
+        source, sizes = self._units(coded.dictionary)
         counts = sizes[index]
         ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = source[np.repeat(begins[index] - (ends - counts), counts) + np.arange(total)]
-        return ids, np.concatenate([[0], ends])[bounds]
-
-    def _look_up(self, keys: list[str], units: list[str]) -> list[bytes]:
-        found = list(map(self.cache.get, keys))
-        missing = [i for i, f in enumerate(found) if f is None]
-        if missing:
-            for i, encoded in zip(missing, self.encode_units([units[i] for i in missing])):
-                found[i] = encoded
-                if len(self.cache) < self.limit and len(keys[i]) <= 64:
-                    self.cache[keys[i]] = encoded
-        return found
-
-
-class LibraryEncoder(UnitEncoder):
-    """``ids(text)`` equals ``Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids``.
-
-    Special tokens written in a text become their ids, as in the library.  Null and empty texts have no ids.
-    """
-
-    def __init__(self, path: str, cache: int = CACHE):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.word_ends = bool(spec["model"].get("end_of_word_suffix"))
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.merger = UnitMerger(path)
-        super().__init__(cache)
-
-    def encode_units(self, units: list[str]) -> list[bytes]:
-        """Units of plain letters are merged all at once, by the file's own merges; the library does the rest."""
-        plain = [bool(PLAIN.fullmatch(u)) and len(u) <= 64 for u in units]
-        merged = iter(self.merger.encode([u for u, p in zip(units, plain) if p], self.dtype))
-        rest = iter(self._library([u for u, p in zip(units, plain) if not p]))
-        return [next(merged) if p else next(rest) for p in plain]
-
-    def encode_whole(self, text: str) -> bytes:
-        return self._library([text])[0]
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        out = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in out]
+        ids = source[spread(np.cumsum(sizes) - sizes, sizes, index, ends)]
+        return ids, np.concatenate([[0], ends])[bounds - bounds[0]]
+
+    def _units(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units one after the other, and how many each has."""
+        ids, sizes, plain = self.merger.encode(units)
+        other = np.flatnonzero(~plain)
+        if not len(other):
+            return ids.astype(self.dtype), sizes
+        alone = self.alone(units.take(pa.array(other)).to_pylist())
+        sizes[other] = [len(a) for a in alone]
+        out, ends = np.empty(sizes.sum(), self.dtype), np.cumsum(sizes)
+        out[spread(ends - sizes, sizes, np.flatnonzero(plain))] = ids
+        out[spread(ends - sizes, sizes, other)] = np.concatenate(alone)
+        return out, sizes
+
+
+def spread(begins: np.ndarray, sizes: np.ndarray, index: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
+    """Places ``begins[i] ... begins[i] + sizes[i] - 1`` for each ``i`` of ``index``, one after the other."""
+    counts = sizes[index]
+    ends = np.cumsum(counts) if ends is None else ends
+    return np.repeat(begins[index] - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 @lru_cache(maxsize=4)

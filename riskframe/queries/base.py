@@ -1,7 +1,7 @@
 """Registry of queries and the SQL views they share.
 
-``spec`` fixes the output of both sides: "name:type" with s text, i integer, d double (6 digits),
-m money (2 digits), p price (9 digits), t timestamp as text, b boolean.
+``spec`` fixes the output of both sides: "name:type" with s text, i integer, d double (7 significant digits),
+m money and p price (9 significant digits), t timestamp as text, b boolean.
 """
 
 from __future__ import annotations
@@ -85,20 +85,20 @@ def compose(views: str, body: str) -> str:
     return ("WITH " + ",\n".join(chosen) + "\n" if chosen else "") + body
 
 
-DIGITS = {"d": 6, "m": 2, "p": 9}
-
-
-def nudge(digits: int) -> float:
-    """Moves values that end exactly on half a digit (prices over whole quantities do) off the tie, so that
-    both engines round the same way whatever the order of a sum was."""
-    return 1.37e-4 * 10.0 ** -digits
+#: Digits after the first that both sides keep; sums differ in their last bits with the order of their terms.
+DIGITS = {"d": 6, "m": 8, "p": 8}
+#: Factor that moves values which end exactly on half a digit off the tie: the two engines round ties differently.
+OFF_TIES = {"d": 1 + 2.3e-10, "m": 1 + 2.3e-11, "p": 1 + 2.3e-11}
+#: Smaller values are what cancellation leaves of zero.
+ZERO = 1e-13
 
 
 def _sql_column(name: str, kind: str) -> str:
+    """Doubles by significant digits; infinite values, not-a-number and null stay apart."""
     if kind in DIGITS:
-        digits = DIGITS[kind]
         x = f"CAST({name} AS DOUBLE)"
-        return f"CASE WHEN isfinite({x}) THEN round({x} + {nudge(digits)!r}, {digits}) + 0.0 END AS {name}"
+        return (f"CASE WHEN abs({x}) < {ZERO!r} THEN 0.0 WHEN isfinite({x}) THEN CAST(printf('%.{DIGITS[kind]}e', {x} * {OFF_TIES[kind]!r}) AS DOUBLE) "
+                f"ELSE {x} END AS {name}")
     if kind == "t":
         return f"strftime({name}, '%Y-%m-%d %H:%M:%S') AS {name}"
     kinds = {"i": "BIGINT", "s": "VARCHAR", "b": "BOOLEAN"}
@@ -109,8 +109,8 @@ def _spark_column(name: str, kind: str) -> str:
     """SQL text: one parse per column instead of a dozen calls into the JVM."""
     if kind in DIGITS:
         x = f"CAST(`{name}` AS DOUBLE)"
-        return (f"CASE WHEN NOT isnan({x}) AND abs({x}) < double('Infinity') "
-                f"THEN round({x} + {nudge(DIGITS[kind])!r}D, {DIGITS[kind]}) + 0.0D END AS `{name}`")
+        return (f"CASE WHEN {x} IS NULL OR isnan({x}) OR abs({x}) = double('Infinity') THEN {x} WHEN abs({x}) < {ZERO!r}D THEN 0.0D "
+                f"ELSE CAST(format_string('%.{DIGITS[kind]}e', {x} * {OFF_TIES[kind]!r}D) AS DOUBLE) END AS `{name}`")
     if kind == "t":
         return f"date_format(`{name}`, 'yyyy-MM-dd HH:mm:ss') AS `{name}`"
     kinds = {"i": "BIGINT", "s": "STRING", "b": "BOOLEAN"}

@@ -172,11 +172,13 @@ def identify(rows: DataFrame, least: float = 0.5) -> DataFrame:
     rows = rows.withColumn("logs", F.transform("reading", lambda x, i: x + F.log(F.get("p_host", i))
                                                + F.get(F.get(said, F.col("tag").cast("int")), i)))
     rows = rows.withColumn("posterior", normalised("logs")).withColumn("probability", F.array_max("posterior"))
-    return rows.withColumns({
+    out = rows.withColumns({
         "lang": F.get(names, best("posterior")), "text_lang": F.when(F.col("letters") > 0, F.get(names, F.col("first"))),
         "accepted": (F.col("letters") > 0) & (F.col("probability") >= least)}).drop(
         "row", "host", "suffix", "reading", "letters", "first", "tag", "in_suffix", "in_host", "at_suffix", "at_host",
         "p_suffix", "p_host", "logs", "posterior")
+    # Short rows; without this a filter on the result would be pushed down with all of the above written out in it.
+    return cut_lineage(out)
 
 
 def document_rows(docs: DataFrame, *keep: Column, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:

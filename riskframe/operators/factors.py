@@ -6,6 +6,7 @@ vectorised batches of assets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -209,7 +210,15 @@ def student_p_values(df: DataFrame, t: str, dof: str, out: str = "p_value") -> D
 
 
 def _beta_tail(v: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """P(|T_v| > |t|) by integrating the density over theta = atan(t / sqrt(v)) with Gauss-Legendre nodes."""
+    """P(|T_v| > |t|) by integrating the density over theta = atan(t / sqrt(v)) with Gauss-Legendre nodes; the normal
+    tail above a million degrees of freedom, where the two agree and the density is too narrow for the nodes."""
+    if (v > 1e6).any():
+        normal = np.array([math.erfc(abs(x) / math.sqrt(2)) for x in t])
+        out = normal.copy()
+        small = v <= 1e6
+        if small.any():
+            out[small] = _beta_tail(v[small], t[small])
+        return out
     nodes, weights = np.polynomial.legendre.leggauss(200)
     def mass(low: np.ndarray) -> np.ndarray:
         mid, half = (np.pi / 2 + low) / 2, (np.pi / 2 - low) / 2

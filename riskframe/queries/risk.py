@@ -246,7 +246,7 @@ def _(t):
         F.stddev_samp("ret").alias("volatility")).withColumnRenamed("_m", "ts")
     latest = monthly.groupBy(P).agg(F.max_by("volatility", "ts").alias("volatility"), F.max("ts").alias("ts"))
     known = monthly.join(latest.select(P, "ts"), [P, "ts"], "left_anti")
-    now = F.lit(t.benchmark.agg(F.date_trunc("month", F.max("ts"))).first()[0])
+    now = t.benchmark.agg(F.date_trunc("month", F.max("ts"))).scalar()
     return risk.metric_history(known, latest.select(P, "ts", "volatility").withColumnsRenamed({}), now)
 
 

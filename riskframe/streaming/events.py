@@ -16,10 +16,16 @@ def dedup(ticks: DataFrame, delay: str = "10 minutes", keys: tuple[str, ...] = (
     return ticks.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def price_events(ticks: DataFrame) -> DataFrame:
-    """Price-update envelopes: id, type, time, symbol, data map, metadata map."""
+def price_events(ticks: DataFrame, tie: str | None = None) -> DataFrame:
+    """Price-update envelopes: id, type, time, symbol, data map, metadata map.
+
+    The id is a hash of source, symbol, time and values (and of ``tie``, where ticks have an id of their own), so a
+    repeated batch repeats its ids.
+    """
+    parts = ["source", "symbol", F.unix_micros("ts"), "price", "size", *([tie] if tie else [])]
+    event_id = F.sha2(F.to_json(F.array(*(F.coalesce(F.col(p) if isinstance(p, str) else p, F.lit(None)).cast("string") for p in parts))), 256)
     data = F.create_map(F.lit("price"), F.col("price").cast("string"), F.lit("volume"), F.col("size").cast("string"))
-    return ticks.select(F.expr("uuid()").alias("event_id"), F.lit("price_update").alias("event_type"), "ts", "symbol",
+    return ticks.select(event_id.alias("event_id"), F.lit("price_update").alias("event_type"), "ts", "symbol",
                         data.alias("data"), F.create_map(F.lit("source"), F.col("source")).alias("metadata"))
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.skew import salted_join
 from riskframe.session import cut_lineage
 
 
@@ -13,8 +12,9 @@ def components(links: DataFrame) -> DataFrame:
     """``(node, component)`` for each node of the links ``(a long, b long)``; a component is its smallest node.
 
     Alternating large and small stars: each round every node sends its larger, then its smaller neighbours to the
-    smallest one, until nothing moves.  Smallest neighbours are aggregated before they are shuffled, and meet the
-    links over salted keys, so the links of one node may be any share of all.  The number of rounds grows with the
+    smallest one, until nothing moves.  Smallest neighbours are aggregated before they are shuffled; where they meet
+    the links, the links of one node may be any share of all: adaptive execution splits them, as the other side
+    has one row for each node.  The number of rounds grows with the
     logarithm of the number of nodes; each is cut by a checkpoint.
     """
     links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -23,11 +23,11 @@ def components(links: DataFrame) -> DataFrame:
         # Large star: larger neighbours of u, to the smallest of u and its neighbours.
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = salted_join(both.where("v > u"), least, ["u"], "v", how="inner").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b")
         large = large.distinct()
         # Small star: u and its smaller neighbours, to the smallest.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = salted_join(large, least, ["a"], "b", how="inner")
+        small = large.join(least, "a")
         links = cut_lineage(small.select(F.col("b").alias("x"), "m").union(small.select("a", "m")).where("x <> m").distinct()
                             .toDF("a", "b"))
         # Done when every node has one link, and no target has a link of its own: then the sum repeats.

@@ -70,7 +70,7 @@ def encode_rows(docs: DataFrame, vocabulary_path: str, end_id: int, id: str, tex
     def run(batches):
         own, part, number = encoder(vocabulary_path), TaskContext.get().partitionId(), count()
         end = np.array([end_id], own.dtype).tobytes()
-        for batch in bounded(batches, "text", 6 << 20, 8192):
+        for batch in bounded(batches, "text", 3 << 20, 8192):
             flat, ends = own.batch(batch.column("text"))
             ids = [flat[a:b].tobytes() + end for a, b in zip(ends, ends[1:])]
             yield record_batch(

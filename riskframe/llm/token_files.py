@@ -114,7 +114,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary_path: str, end_id: int,
     def encode(batches):
         own, edges = encoder(vocabulary_path), np.array(bounds, np.int64)
         end = np.array([end_id], own.dtype).tobytes()
-        for batch in bounded(batches, "text", 6 << 20, 8192):
+        for batch in bounded(batches, "text", 3 << 20, 8192):
             flat, ends = own.batch(batch.column("text"))
             ids = [flat[a:b].tobytes() + end for a, b in zip(ends, ends[1:])]
             doc = batch.column("id").to_pylist()

@@ -15,7 +15,7 @@ Two documents link when ``100 * intersection >= percent * union``.  Equal sets a
    visits pairs of nodes from the roots down and drops those whose largest possible overlap is too small, or that
    are tied together already.  Pairs of leaves that are left are joined, and searched.
 
-A search multiplies token indicator matrices, after documents without a possible partner are sorted out by
+A search counts common shingles, those in many sets by products of token indicator matrices, after documents without a possible partner are sorted out by
 bitmaps; it returns a spanning forest of the links it finds.  So a family of copies, however large, is held by no
 single task and never expanded into pairs, but every link between different parts of a block is found.
 
@@ -42,7 +42,9 @@ from riskframe.llm.skew import salted_join
 from riskframe.session import cut_lineage
 
 #: Sets of a leaf, pivots of a block, bits of a token bitmap, children of a tree node.
-LEAF, PIVOTS, BITS, FAN = 384, 8, 1024, 8
+LEAF, PIVOTS, BITS, FAN = 1024, 8, 1024, 8
+#: Shingles in more sets of a search than this are counted by matrix product, the others pair by pair.
+DENSE = 24
 #: The part of leaves that hold sets of several small parts.
 MIXED = -1
 #: Parts that are compared in one task, about.
@@ -244,6 +246,30 @@ def possible(sizes: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
     return 100 * most >= percent * union
 
 
+def intersections(column: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """How many shingles (``column``) each two of ``n`` sets (``owner``) have in common."""
+    order = np.lexsort((owner, column))
+    column, owner = column[order], owner[order]
+    starts = np.flatnonzero(np.concatenate([[True], column[1:] != column[:-1]])) if len(column) else np.empty(0, np.int64)
+    times = np.diff(np.append(starts, len(column)))
+    common = np.zeros((n, n), np.float32)
+    for d in np.unique(times[times <= DENSE]):
+        held = owner[starts[times == d][:, None] + np.arange(d)]  # sets in ascending order
+        pairs = [held[:, i] * n + held[:, j] for i in range(d) for j in range(i + 1, d)]
+        if pairs:
+            common += np.bincount(np.concatenate(pairs), minlength=n * n).reshape(n, n)
+    common += common.T
+    many = times > DENSE
+    wide = np.repeat(many, times)
+    column, owner = np.repeat(np.cumsum(many) - 1, times)[wide], owner[wide]
+    for a in range(0, int(many.sum()), 4096):
+        lo, hi = np.searchsorted(column, [a, a + 4096])
+        block = np.zeros((n, min(4096, int(many.sum()) - a)), np.float32)
+        block[owner[lo:hi], column[lo:hi] - a] = 1
+        common += block @ block.T
+    return common.astype(np.int64)
+
+
 def search(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Spanning forest of the links between the sets, as (id, smallest id of its tree)."""
     sizes = np.array([len(s) for s in sets])
@@ -259,16 +285,7 @@ def search(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[
     _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
     shared = times[column] > 1  # a shingle of one set only is in no intersection
     column, owner = column[shared], owner[shared]
-    common = np.zeros((len(sets), len(sets)), np.float32)
-    if len(column):
-        order = np.argsort(column, kind="stable")
-        column, owner = np.unique(column[order], return_inverse=True)[1], owner[order]
-        for a in range(0, int(column[-1]) + 1, 8192):
-            lo, hi = np.searchsorted(column, [a, a + 8192])
-            block = np.zeros((len(sets), min(8192, int(column[-1]) + 1 - a)), np.float32)
-            block[owner[lo:hi], column[lo:hi] - a] = 1
-            common += block @ block.T
-    common = common.astype(np.int64)
+    common = intersections(column, owner, len(sets))
     links = may & (100 * common >= percent * (sizes[:, None] + sizes[None, :] - common))
     label = np.arange(len(sets))
     while True:  # least label among neighbours, until nothing changes
@@ -491,7 +508,21 @@ def link_sets(rows: DataFrame, nodes: DataFrame, links: DataFrame, words: int, p
     return components(first.union(second)).toDF("set", "part")
 
 
-@llm_query("op7_signature_tree_join")
+#: The same by brute force: all pairs that share a shingle, and everything reachable.
+SQL_OP7 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS l FROM documents),
+  s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(l) >= 3 THEN list_transform(range(1, len(l) - 1), lambda i: l[i] || ' ' || l[i + 1] || ' ' || l[i + 2])
+    WHEN len(l) > 0 THEN [array_to_string(l, ' ')] ELSE [] END) AS shingle FROM w),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+  c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+  links AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 90 * (x.n + y.n - shared)),
+  reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, b FROM reach r JOIN links ON a = r.other)
+SELECT r.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r.other) AS component_id
+FROM reach r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY 1"""
+
+
+@llm_query("op7_signature_tree_join", SQL_OP7)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that share nine tenths of their 3-word shingles."""
     return join(table(spark, folder, "documents"), words=3, percent=90)

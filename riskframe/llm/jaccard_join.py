@@ -45,6 +45,8 @@ from riskframe.session import cut_lineage
 LEAF, PIVOTS, BITS, FAN = 1024, 8, 1024, 8
 #: Shingles in more sets of a search than this are counted by matrix product, the others pair by pair.
 DENSE = 24
+#: Rows of a search that are compared at a time.
+STRIP = 256
 #: The part of leaves that hold sets of several small parts.
 MIXED = -1
 #: Parts that are compared in one task, about.
@@ -240,10 +242,13 @@ def bitmap(sets: list[np.ndarray]) -> np.ndarray:
 def possible(sizes: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
     """Pairs that may link, by sizes and bitmaps: each bit of one that the other lacks is a shingle it lacks."""
     b = bits.astype(np.float32)
-    lacking = b @ (1 - b).T
-    most = np.minimum(sizes[:, None] - lacking, sizes[None, :] - lacking.T)
-    union = sizes[:, None] + sizes[None, :] - most
-    return 100 * most >= percent * union
+    lacks = b @ (1 - b).T
+    out = np.empty(lacks.shape, bool)
+    for at in range(0, len(sizes), STRIP):  # strips keep the temporaries small
+        rows = slice(at, at + STRIP)
+        most = np.minimum(sizes[rows, None] - lacks[rows], sizes[None, :] - lacks[:, rows].T)
+        out[rows] = 100 * most >= percent * (sizes[rows, None] + sizes[None, :] - most)
+    return out
 
 
 def intersections(column: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -267,7 +272,7 @@ def intersections(column: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         block = np.zeros((n, min(4096, int(many.sum()) - a)), np.float32)
         block[owner[lo:hi], column[lo:hi] - a] = 1
         common += block @ block.T
-    return common.astype(np.int64)
+    return common
 
 
 def search(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -286,10 +291,14 @@ def search(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[
     shared = times[column] > 1  # a shingle of one set only is in no intersection
     column, owner = column[shared], owner[shared]
     common = intersections(column, owner, len(sets))
-    links = may & (100 * common >= percent * (sizes[:, None] + sizes[None, :] - common))
+    strips = [slice(at, at + STRIP) for at in range(0, len(sets), STRIP)]
+    for rows in strips:
+        both = common[rows].astype(np.int64)
+        may[rows] &= 100 * both >= percent * (sizes[rows, None] + sizes[None, :] - both)
     label = np.arange(len(sets))
     while True:  # least label among neighbours, until nothing changes
-        least = np.minimum(label, np.where(links, label[None, :], len(sets)).min(axis=1))
+        near = [np.where(may[rows], label[None, :], len(sets)).min(axis=1) for rows in strips]
+        least = np.minimum(label, np.concatenate(near))
         least = least[least]
         if (least == label).all():
             break

@@ -8,11 +8,11 @@ few (``BROADCAST_ROWS``) and shuffles otherwise.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskframe.llm import jaccard_join, language_id, packing, secret_scan
 from riskframe.llm.registry import table
+from riskframe.llm.skew import salted_join
 from riskframe.llm.tokens import vocabulary
 from riskframe.session import cut_lineage, scratch_folder, ship_package
 
@@ -42,16 +42,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group that shares four fifths of its 5-word shingles; of rows with equal
-    ids the one of the smallest text."""
+    """One row of each group that shares four fifths of its 5-word shingles: that of the smallest id, null being the
+    largest.  Rows are judged by id and text together, so null and repeated ids tie nothing together; of rows equal in
+    both, one stays."""
     ship_package(spark)
-    joined = jaccard_join.join(docs, words=5, percent=80)
-    gone = cut_lineage(joined.where("NOT doc_id <=> component_id").select("doc_id").distinct())
-    kept = docs.join(_few(gone, gone.count()), docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if repeated.limit(1).count():
-        order = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
-        kept = kept.withColumn("_n", order).where("doc_id IS NULL OR _n = 1").drop("_n")
+    keyed = docs.withColumn("_key", _key())
+    joined = jaccard_join.join(keyed, words=5, percent=80, id="_key", keep=("doc_id",))
+    joined = cut_lineage(joined.groupBy("_key", "component_id", "doc_id").agg(F.count(F.lit(1)).alias("n")))
+    first = joined.groupBy("component_id").agg(
+        F.count(F.lit(1)).alias("k"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"].alias("first")).where("k > 1")
+    gone = salted_join(joined, first, ["component_id"], "_key", how="inner").where("_key <> first")
+    gone = cut_lineage(gone.select("_key"))
+    kept = keyed.join(_few(gone, gone.count()), "_key", "left_anti")
+    repeated = cut_lineage(joined.where("n > 1").select("_key"))
+    several = repeated.count()
+    if several:
+        # Aggregated before they are shuffled: a row may be repeated any number of times.
+        once = kept.join(_few(repeated, several), "_key", "left_semi").groupBy("_key").agg(
+            F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+        kept = kept.join(_few(repeated, several), "_key", "left_anti").select(*docs.columns).union(once)
     return kept.select(*docs.columns)
 
 

@@ -434,8 +434,8 @@ def tree_pairs(sets: DataFrame, percent: int) -> DataFrame:
     return made.groupBy("block").applyInPandas(pairs, "block long, part_i long, i long, part_j long, j long")
 
 
-def join(docs: DataFrame, words: int, percent: int, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(id, n_shingles, component_id)`` of every row: the number of distinct shingles (``words`` words; a shorter text
+def join(docs: DataFrame, words: int, percent: int, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, n_shingles, component_id)`` of every row, and its columns ``keep``: the number of distinct shingles (``words`` words; a shorter text
     is one shingle), and the smallest id reachable by links, the own one included.
 
     Words are runs of characters other than ASCII white space; A-Z count in lower case.  Null and empty texts and
@@ -444,15 +444,20 @@ def join(docs: DataFrame, words: int, percent: int, id: str = "doc_id", text: st
     part like any other, and is the component only where no id is known.  An empty table gives an empty table;
     other columns are not read.
     """
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    kept = {f"kept{i}": c for i, c in enumerate(keep)}
+    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"),
+                       *(F.col(c).alias(k) for k, c in kept.items()))
+    kinds = "".join(f", {k} {rows.schema[k].dataType.simpleString()}" for k in kept)
 
     def sizes(batches):
         for batch in bounded(batches, "text", 4 << 20, 4096):
             found, owner = shingle_sets(batch.column("text"), words)
             n, ids = set_ids(found, owner, batch.num_rows)
-            yield record_batch(id=batch.column("id"), n=pa.array(n, pa.int64()), set=pa.array(ids, pa.int64()))
+            yield record_batch(id=batch.column("id"), n=pa.array(n, pa.int64()), set=pa.array(ids, pa.int64()),
+                               **{k: batch.column(k) for k in kept})
 
-    members = cut_lineage(rows.mapInArrow(sizes, "id long, n long, set long"))
+    members = cut_lineage(rows.mapInArrow(sizes, f"id long, n long, set long{kinds}"))
+    rows = rows.select("id", "text")
     nodes = members.where("n > 0").groupBy("set").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
     shingles = members.agg(F.sum("n")).first()[0] or 0
     keys = 2 * shingles * (100 - percent) // percent
@@ -470,7 +475,8 @@ def join(docs: DataFrame, words: int, percent: int, id: str = "doc_id", text: st
         "set", F.coalesce("component", "rep").alias("component"))
     joined = salted_join(members, of_set, ["set"], "id")
     return joined.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce(
-        F.when(F.col("n") > 0, F.least("component", "id")), "id").alias("component_id"))
+        F.when(F.col("n") > 0, F.least("component", "id")), "id").alias("component_id"),
+        *(F.col(k).alias(c) for k, c in kept.items()))
 
 
 def link_sets(rows: DataFrame, nodes: DataFrame, links: DataFrame, words: int, percent: int) -> DataFrame:

@@ -89,6 +89,15 @@ def test_pipeline(spark, tmp_path):
     assert set(ids["packing"]) == set(ids["secrets"])
 
 
+def test_near_duplicates_judges_rows(spark):
+    import corpus_pipeline
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
+    rows = [(1, a), (None, a), (None, b), (None, c), (None, c), (2, d), (2, b + " more"), (3, d), (4, a), (4, e), (4, e)]
+    docs = documents(spark, [(i, t, "en", "s") for i, t in rows]).limit(len(rows))
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=str)
+    assert got == sorted([(1, a), (2, b + " more"), (None, c), (2, d), (4, e)], key=str)
+
+
 @pytest.mark.parametrize("name", ["op1_language_id", "op2_url_filter", "op3_bpe_forced_boundaries", "op4_block_matrix_neighbours",
                                   "op5_mixture_packing", "op6_secret_ownership", "op7_signature_tree_join", "op8_threshold_sketch",
                                   "op9_hidden_markov_lm", "op10_addressable_token_files", "pipeline"])

@@ -7,10 +7,15 @@ mixture of the stream never strays from the target by more than a document for e
 cut into sequences of ``length`` tokens, so documents are cut at sequence ends only and nothing but the last
 sequence is padded.
 
-The rounds need no sequential run.  A document is sent in window ``k`` if it starts at a place ``a`` of its queue
-with ``earned(k) <= a < earned(k + 1)``, and earnings are piecewise linear: a few numbers for each queue, made
-on the driver from the queues' totals.  Any task finds the window of any document from ``a``; deficits carry
-over windows and partitions by that alone.
+The rounds need no sequential run.  A document that starts at a place ``a`` of its queue is sent once the queue has
+earned ``a`` and a part of the document (the same part for all documents of a queue, by hash, so that the first
+documents of many small queues do not all come at once).  Without weights a queue's earnings are a line.  With
+weights all queues that are not dry are at the same number of tokens for each unit of weight, and the time at which
+they are there follows from the totals of the queues that have a weight.  Any task finds the window of any document
+by that alone; deficits carry over windows and partitions.
+
+Every source has a queue of its own, however many there are: totals are a table.  Only the totals of sources that
+``weights`` names come to the driver.
 
 Shuffles: ids are written once in the shared folder and shuffled once, by row number, to meet their place.  All
 else moves a few integers for each document.  No key holds more than one source partition or 1,024 windows.
@@ -21,6 +26,7 @@ from __future__ import annotations
 from itertools import count
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -32,34 +38,22 @@ from riskframe.llm.registry import llm_query, table
 from riskframe.llm.tokens import encoder, vocabulary
 from riskframe.session import scratch_folder
 
-#: Sources beyond so many share queues, by hash; the queues' totals go to the driver.
-MOST_QUEUES = 4096
 #: Windows whose documents are put in order in one group: at most so many times ``window`` tokens.
 GROUP_WINDOWS = 1024
 
 
-def earnings(totals: dict[str, int], weights: dict[str, float] | None, window: int) -> dict[str, list[tuple[float, float, float]]]:
-    """For each queue its pieces ``(from token, at window, tokens a window)``.
+def weighted_time(totals: dict[str, int], weights: dict[str, float], window: int):
+    """The time, in windows, at which queues have earned so many tokens for each unit of weight, and the time when all
+    are dry.  A queue that runs dry leaves its share to the others."""
+    dry, left, sent = (np.array(x, float) for x in zip(*sorted((n / weights[q], weights[q], n) for q, n in totals.items())))
+    sent = np.concatenate([[0.0], np.cumsum(sent)])
+    left = np.concatenate([np.cumsum(left[::-1])[::-1], [0.0]])
 
-    Without weights the shares are those of the corpus, and all queues end together.  With weights a queue that
-    runs dry leaves its share to the others; queues of no weight follow when the others are dry.
-    """
-    left = {q: float(n) for q, n in totals.items() if n > 0}
-    pieces: dict[str, list[tuple[float, float, float]]] = {q: [] for q in totals}
-    time = 0.0
-    while left:
-        share = {q: max(0.0, float(weights.get(q, 0))) for q in left} if weights else dict(left)
-        if sum(share.values()) <= 0:
-            share = dict(left)
-        whole = sum(share.values())
-        rate = {q: window * s / whole for q, s in share.items() if s > 0}
-        step = min(left[q] / r for q, r in rate.items())
-        for q, r in rate.items():
-            pieces[q].append((totals[q] - left[q], time, r))
-            left[q] -= r * step
-        time += step
-        left = {q: n for q, n in left.items() if n > 1e-6 * max(1, totals[q])}
-    return pieces
+    def time(level: np.ndarray) -> np.ndarray:
+        i = np.searchsorted(dry, level)
+        return (sent[i] + level * left[i]) / window
+
+    return time, sent[-1] / window
 
 
 def encode_rows(docs: DataFrame, vocabulary_path: str, end_id: int, id: str, text: str, source: str) -> DataFrame:
@@ -83,29 +77,32 @@ def encode_rows(docs: DataFrame, vocabulary_path: str, end_id: int, id: str, tex
 
 def place(rows: DataFrame, weights: dict[str, float] | None, window: int) -> DataFrame:
     """``(part, row, place)``: where in the packed stream each row of ``(part, row, queue, n)`` begins."""
-    spark = rows.sparkSession
-    if rows.select("queue").distinct().limit(MOST_QUEUES + 1).count() > MOST_QUEUES:
-        rows = rows.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(MOST_QUEUES)).cast("string"))
     parts = rows.groupBy("queue", "part").agg(F.sum("n").alias("n"))
-    totals = dict(parts.groupBy("queue").agg(F.sum("n")).collect())
-    pieces = earnings(totals, weights, window)
-    rates = spark.createDataFrame(
-        [(q, i, pieces[q]) for i, q in enumerate(sorted(pieces))],
-        "queue string, turn int, pieces array<struct<start: double, at: double, rate: double>>")
-    before = parts.withColumn("ahead", F.sum("n").over(
-        W.partitionBy("queue").orderBy("part").rowsBetween(W.unboundedPreceding, -1))).drop("n")
+    weights = {q: float(w) for q, w in (weights or {}).items() if w > 0}
+    named = rows.sparkSession.createDataFrame([(q, w) for q, w in weights.items()], "queue string, weight double")
+    totals = dict(parts.join(F.broadcast(named), "queue").groupBy("queue").agg(F.sum("n")).collect()) if weights else {}
+    whole = (parts.agg(F.sum("n")).first()[0] or 0) - sum(totals.values())
+    time, dry = weighted_time(totals, weights, window) if totals else (None, 0.0)
+    of_queue = W.partitionBy("queue")  # a row for each part
+    before = parts.select("queue", "part", F.sum("n").over(of_queue).alias("total"), F.sum("n").over(
+        of_queue.orderBy("part").rowsBetween(W.unboundedPreceding, -1)).alias("ahead"))
+    before = before.join(F.broadcast(named), "queue", "left")
     in_part = W.partitionBy("part", "queue").orderBy("row").rowsBetween(W.unboundedPreceding, -1)
+    phase = F.pmod(F.xxhash64("queue"), F.lit(1 << 20)) / (1 << 20)
     starts = (rows.withColumn("own", F.sum("n").over(in_part))
               .join(before, ["queue", "part"])
-              .join(F.broadcast(rates), "queue")  # at most MOST_QUEUES rows
-              .withColumn("a", F.coalesce("ahead", F.lit(0)) + F.coalesce("own", F.lit(0))))
-    piece = F.element_at(F.filter("pieces", lambda p: p["start"] <= F.col("a")), -1)
-    timed = (starts.withColumn("piece", piece)
-             .withColumn("k", F.floor(F.col("piece.at") + (F.col("a") - F.col("piece.start")) / F.col("piece.rate")))
-             .select("part", "row", "turn", "a", "n", "k", F.floor(F.col("k") / GROUP_WINDOWS).alias("group")))
+              .withColumn("a", F.coalesce("ahead", F.lit(0)) + F.coalesce("own", F.lit(0)))
+              .withColumn("due", F.col("a") + F.col("n") * phase))
+    # Queues without a weight follow when the others are dry, in the mixture of their totals; they end together.
+    at = F.lit(dry) + F.col("due") / F.col("total") * (whole / window)
+    if totals:
+        when = F.pandas_udf(lambda level: pd.Series(time(level.to_numpy())), "double")
+        at = F.when(F.col("weight").isNotNull(), when(F.coalesce(F.col("due") / F.col("weight"), F.lit(0.0)))).otherwise(at)
+    timed = (starts.withColumn("k", F.floor(at))
+             .select("part", "row", "queue", "a", "n", "k", F.floor(F.col("k") / GROUP_WINDOWS).alias("group")))
     groups = timed.groupBy("group").agg(F.sum("n").alias("n")).withColumn(  # one row for 1,024 windows
         "base", F.sum("n").over(W.orderBy("group").rowsBetween(W.unboundedPreceding, -1))).drop("n")
-    order = W.partitionBy("group").orderBy("k", "turn", "a").rowsBetween(W.unboundedPreceding, -1)
+    order = W.partitionBy("group").orderBy("k", "queue", "a").rowsBetween(W.unboundedPreceding, -1)
     return (timed.withColumn("inner", F.sum("n").over(order)).join(groups, "group")
             .select("part", "row", (F.coalesce("base", F.lit(0)) + F.coalesce("inner", F.lit(0))).alias("place")))
 

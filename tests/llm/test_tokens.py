@@ -1,6 +1,6 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -113,3 +113,26 @@ def test_queues_keep_to_their_shares(spark):
         sent[r.queue] += r.n
         if sent["b"] < 3000 * 20:  # b has not run dry
             assert abs(sent["b"] - 0.75 * at) < 500 + 2 * 50
+
+
+def test_each_of_many_sources_keeps_its_share(spark):
+    names = ["big"] * 3000 + ["other"] * 3000 + [f"s{i}" for i in range(6000)]
+    rows = [(i % 5, i, q, 1 + (7 * i) % 50) for i, q in enumerate(names)]
+    meta = spark.createDataFrame(rows, "part int, row long, queue string, n long")
+    for weights in (None, {"big": 3, "other": 1}):
+        placed = sorted(packing.place(meta, weights, 500).join(meta, ["part", "row"]).collect(), key=lambda r: r.place)
+        assert len(placed) == len(rows)
+        total = Counter()
+        for r in placed:
+            total[r.queue if r.queue in ("big", "other") else "rest"] += r.n
+        whole, at, sent = sum(total.values()), 0, Counter()
+        for r in placed:
+            assert r.place == at
+            at += r.n
+            sent[r.queue if r.queue in ("big", "other") else "rest"] += r.n
+            if weights is None:
+                assert all(abs(sent[q] - at * total[q] / whole) < 3000 for q in total)
+            elif sent["big"] < total["big"] - 50:
+                assert abs(sent["big"] - 0.75 * at) < 600 and not sent["rest"]
+            elif sent["other"] < total["other"] - 50:
+                assert sent["rest"] == 0

@@ -20,8 +20,10 @@ from riskframe.session import cut_lineage, scratch_folder, ship_package
 BROADCAST_ROWS = 1_000_000
 #: What stands in a text in place of a secret.
 REDACTED = "[secret]"
-#: A value that more owners have is a copied example, and stays.
+#: Base values under so many owners go even where they look made up.
 MOST_OWNERS = 2
+#: A value that a larger share of all owners has is a copied example, and stays.
+WIDE_SHARE = 0.5
 
 
 def _few(decisions: DataFrame, size: int) -> DataFrame:
@@ -65,12 +67,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced: spans of the base kinds unless copied by many owners, and of further
-    kinds where live."""
+    """All documents, with secrets replaced: values that look live unless a large share of all owners has them, and
+    of the base kinds also those of one or two owners."""
     ship_package(spark)
     keyed = docs.withColumn("_key", _key())
-    found = secret_scan.scan(keyed, MOST_OWNERS, id="_key")
-    spans = F.filter("spans", lambda s: s["owners"] <= MOST_OWNERS)
+    owners = docs.select(secret_scan.owner_of("source")).distinct().count()
+    found = secret_scan.scan(keyed, max(MOST_OWNERS, int(WIDE_SHARE * owners)), id="_key")
+    spans = F.filter("spans", lambda s: s["live"] | (s["owners"] <= MOST_OWNERS))
     found = cut_lineage(found.select("_key", F.transform(spans, lambda s: F.struct(s["start"], s["end"])).alias("_spans"))
                         .where(F.size("_spans") > 0).groupBy("_key").agg(F.first("_spans").alias("_spans")))
     size = found.agg(F.sum(F.size("_spans"))).first()[0] or 0

@@ -20,7 +20,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.llm.batches import bounded, record_batch
@@ -94,10 +94,15 @@ def value_hash(value: str) -> int:
 _FOUND = "array<struct<start: int, end: int, kind: string, hash: long, live: boolean>>"
 
 
+def owner_of(repository: str) -> Column:
+    """What stands before the first '/' of a repository's name."""
+    return F.substring_index(F.coalesce(F.col(repository).cast("string"), F.lit("")), "/", 1)
+
+
 def candidates(docs: DataFrame, id: str, text: str, repository: str, owner: str | None) -> DataFrame:
     """``(row, id, repository, owner, found)``: all candidates of every row, in order."""
     repo = F.coalesce(F.col(repository).cast("string"), F.lit(""))
-    own = F.coalesce(F.col(owner).cast("string"), F.lit("")) if owner else F.substring_index(repo, "/", 1)
+    own = F.coalesce(F.col(owner).cast("string"), F.lit("")) if owner else owner_of(repository)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), repo.alias("repository"),
                        own.alias("owner"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()

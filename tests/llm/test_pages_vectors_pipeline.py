@@ -98,6 +98,17 @@ def test_near_duplicates_judges_rows(spark):
     assert got == sorted([(1, a), (2, b + " more"), (None, c), (2, d), (4, e)], key=str)
 
 
+def test_secrets_of_several_sources_go(spark):
+    import corpus_pipeline
+    leaked, shared, made_up = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "q8Zr1TkV0sXw4Yb7", "example-password-12345"
+    hidden = "ghp_16C7e42F292c6912E7710c838347Ae178B4a"
+    rows = [(i, f"see {leaked if i < 4 else ''} and {hidden if i < 4 else ''} token = {shared if i < 8 else 'a' * 30} secret: {made_up} end",
+             "en", f"owner{i}/repo") for i in range(12)]
+    text = {r.doc_id: r.text for r in corpus_pipeline.secrets(spark, documents(spark, rows), "").collect()}
+    assert len(text) == 12 and not any(leaked in t or hidden in t for t in text.values())
+    assert all(shared in text[i] for i in range(8)) and all(made_up in t for t in text.values())
+
+
 @pytest.mark.parametrize("name", ["op1_language_id", "op2_url_filter", "op3_bpe_forced_boundaries", "op4_block_matrix_neighbours",
                                   "op5_mixture_packing", "op6_secret_ownership", "op7_signature_tree_join", "op8_threshold_sketch",
                                   "op9_hidden_markov_lm", "op10_addressable_token_files", "pipeline"])

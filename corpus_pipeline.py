@@ -36,10 +36,11 @@ def _key():
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is certain; those without letters or with a posterior under one half go."""
+    """Documents whose language is certain; those without letters or with a posterior under one half go.  Where no
+    document declares a language nothing can be told of them, and all stay."""
     ship_package(spark)
     judged = language_id.identify(language_id.document_rows(docs, _key().alias("_key")))
-    rejected = cut_lineage(judged.where("NOT accepted").select("_key").distinct())
+    rejected = cut_lineage(judged.where("NOT accepted AND lang IS NOT NULL").select("_key").distinct())
     return docs.withColumn("_key", _key()).join(_few(rejected, rejected.count()), "_key", "left_anti").select(*docs.columns)
 
 

@@ -7,9 +7,12 @@ Four kinds of evidence make one posterior over languages:
 * the address suffix and the host: shares of languages, smoothed from all rows to the suffix to the host, so
   that a host with few rows leans on its suffix.  A row's own reading is taken out of its host's share.
 
+A text may also fit none of the languages.  Its background has all trigrams equally likely, or as unlikely as those of
+the text at the ``LEAST_FIT`` quantile of the rows that declare the language it reads like, whichever is less.
+
 The counts are grouped aggregates over all rows.  A text is read twice (counting, scoring) and never shuffled; what
-moves are trigram counts (languages x ``BUCKETS``) and one short row for each text.  Only languages with at least
-``LEAST_SHARE`` of the declared rows are known, so the model is bounded.
+moves are trigram counts (languages x ``BUCKETS``) and one short row for each text, with a number for each language.
+Every declared language is known, however rare, so the model grows with the number of different declarations.
 """
 
 from __future__ import annotations
@@ -27,7 +30,10 @@ from riskframe.session import cut_lineage
 
 #: Buckets of trigrams, by hash.
 BUCKETS = 1 << 14
-LEAST_SHARE = 0.005
+#: What a trigram counts for that a language has not: little, or a language of few texts would fit every text.
+UNSEEN = 0.02
+#: Prior of a text that fits no language, and the share of a language's declared texts that may fit it worse.
+NONE, LEAST_FIT = 0.01, 0.01
 #: Overlapping trigrams count each letter three times: what a text says is divided by so much.
 OVERLAP = 3.0
 #: Rows that a suffix or a host needs to weigh as much as what it is smoothed with.
@@ -58,17 +64,15 @@ _BLANKS = 32 << 16 | 32 << 8 | 32
 
 
 def languages_of(rows: DataFrame) -> list[str]:
-    """Declared languages that are frequent enough."""
-    counts = rows.where("declared IS NOT NULL").groupBy("declared").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return sorted(r[0] for r in counts.where(F.col("n") >= max(1, LEAST_SHARE * total)).select("declared").collect())
+    """Declared languages."""
+    return sorted(r[0] for r in rows.where("declared IS NOT NULL").select("declared").distinct().collect())
 
 
 def text_model(rows: DataFrame, languages: list[str]) -> np.ndarray:
     """log probabilities, languages x trigram buckets."""
 
     def run(batches):
-        sums = np.zeros((len(languages), BUCKETS), np.int64)
+        sums = {}
         place = pa.array(languages, pa.string())
         for batch in bounded(batches, "text", 4 << 20, 8192):
             known = pc.index_in(batch.column("declared"), value_set=place)
@@ -76,15 +80,19 @@ def text_model(rows: DataFrame, languages: list[str]) -> np.ndarray:
             bucket, doc = trigrams(batch.column("text"))
             language = at[doc]
             some = language >= 0
-            sums += np.bincount(language[some] * BUCKETS + bucket[some], minlength=sums.size).reshape(sums.shape)
-        where = np.flatnonzero(sums)
-        yield record_batch(i=pa.array(where, pa.int64()), n=pa.array(sums.ravel()[where]))
+            here = np.unique(at[at >= 0])
+            each = np.bincount(np.searchsorted(here, language[some]) * BUCKETS + bucket[some], minlength=len(here) * BUCKETS)
+            for i, row in zip(here.tolist(), each.reshape(-1, BUCKETS)):
+                sums[i] = sums[i] + row if i in sums else row.copy()
+        for i, row in sums.items():
+            where = np.flatnonzero(row)
+            yield record_batch(i=pa.array(i * BUCKETS + where, pa.int64()), n=pa.array(row[where]))
 
     counts = np.zeros(len(languages) * BUCKETS)
-    found = rows.select("declared", "text").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n"))
-    for i, n in found.collect():  # languages x BUCKETS rows at most
-        counts[i] = n
-    counts = counts.reshape(len(languages), BUCKETS) + 0.5
+    found = rows.select("declared", "text").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n"))
+    found = found.toArrow()  # languages x BUCKETS rows at most
+    counts[found["i"].to_numpy()] = found["n"].to_numpy()
+    counts = counts.reshape(len(languages), BUCKETS) + UNSEEN
     return np.log(counts / counts.sum(axis=1, keepdims=True))
 
 
@@ -106,13 +114,6 @@ def read_texts(rows: DataFrame, model: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, f"{schema}, reading array<double>, letters long")
 
 
-def normalised(logs: str) -> Column:
-    """Probabilities from the column of log weights."""
-    top = F.array_max(logs)
-    weights = F.transform(logs, lambda x: F.exp(x - top))
-    return F.transform(weights, lambda w: w / F.aggregate(weights, F.lit(0.0), lambda a, b: a + b))
-
-
 def best(values: str) -> Column:
     """Place of the largest entry, the first of equals, from 0."""
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
@@ -122,7 +123,8 @@ def identify(rows: DataFrame, least: float = 0.5) -> DataFrame:
     """Rows of ``(..., text, declared, host, suffix)`` without ``text``, ``host`` and ``suffix``, but with ``lang``,
     ``probability``, ``text_lang`` (by the text alone) and ``accepted``.
 
-    A row is accepted if its text has letters and the posterior of ``lang`` is at least ``least``.  Null and empty
+    A row is accepted if its text has letters and the posterior of ``lang`` is at least ``least``; the posterior that
+    the text fits no known language counts against it.  Null and empty
     texts have no letters: they get the language that the other evidence favours, and are not accepted.  Null
     declarations, hosts and suffixes count as none.  Repeated rows count each; an empty table, or one that
     declares no language, gives rows with null ``lang`` that are not accepted.
@@ -136,9 +138,11 @@ def identify(rows: DataFrame, least: float = 0.5) -> DataFrame:
             "lang": null, "probability": F.lit(None).cast("double"), "text_lang": null, "accepted": F.lit(False)})
     n = len(languages)
     rows = read_texts(rows, text_model(rows, languages)).withColumn("first", best("reading"))
-    rows = rows.withColumn("tag", F.coalesce(F.array_position(F.array(*map(F.lit, languages)), F.col("declared")), F.lit(0)))
+    tags = rows.sparkSession.createDataFrame([(x, i + 1) for i, x in enumerate(languages)], "declared string, tag int")
+    rows = rows.join(F.broadcast(tags), "declared", "left").withColumn("tag", F.coalesce("tag", F.lit(0)))
+    rows = rows.withColumn("fit", F.array_max("reading") + F.col("letters") * (np.log(BUCKETS) / OVERLAP))  # over equal trigrams
     rows = cut_lineage(rows.withColumn("row", F.monotonically_increasing_id()))  # short rows
-    names = F.array(*map(F.lit, languages))
+    names = F.lit(languages)
 
     counts = rows.where("letters > 0").groupBy("suffix", "host", "first", "tag").agg(F.count(F.lit(1)).alias("n"))
     # Declared tag (0: none or unknown) by reading: at most languages x (languages + 1) rows.
@@ -147,11 +151,17 @@ def identify(rows: DataFrame, least: float = 0.5) -> DataFrame:
         table_[first, tag] += times
     overall = (table_.sum(axis=1) / table_.sum()).tolist()
     declared = np.log(table_ / table_.sum(axis=1, keepdims=True))
-    said = F.array(*(F.array(*(F.lit(float(x)) for x in declared[:, tag])) for tag in range(n + 1)))
+    said = rows.sparkSession.createDataFrame([(tag, declared[:, tag].tolist()) for tag in range(n + 1)], "tag int, said array<double>")
+    rows = rows.join(F.broadcast(said), "tag")
+    fits = rows.where("letters > 0 AND tag = first + 1").groupBy("first").agg(
+        F.percentile_approx(F.col("fit") / F.col("letters"), LEAST_FIT, 10_000).alias("usual"))
+    rows = rows.join(F.broadcast(fits), "first", "left")
 
     def by(*keys):
-        each = [F.sum(F.when(F.col("first") == i, F.col("n")).otherwise(0)) for i in range(n)]
-        return counts.groupBy(*keys).agg(F.array(*each))
+        each = counts.groupBy(*keys, "first").agg(F.sum("n").alias("n")).groupBy(*keys).agg(  # a row for each language
+            F.map_from_entries(F.collect_list(F.struct("first", "n"))).alias("n"))
+        return each.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(
+            F.try_element_at("n", i), F.lit(0).cast("long"))))
 
     both = salted_join(by("suffix", "host").toDF("suffix", "host", "in_host"), by("suffix").toDF("suffix", "in_suffix"),
                        ["suffix"], "host")
@@ -167,16 +177,21 @@ def identify(rows: DataFrame, least: float = 0.5) -> DataFrame:
         return F.transform(counts_, lambda x, i: (x + WEIGHT * F.get(below, i)) / whole)
 
     rows = rows.withColumn("at_suffix", others(F.col("in_suffix"))).withColumn("at_host", others(F.col("in_host")))
-    rows = rows.withColumn("p_suffix", smoothed(F.col("at_suffix"), F.array(*map(F.lit, overall))))
+    rows = rows.withColumn("p_suffix", smoothed(F.col("at_suffix"), F.lit(overall)))
     rows = rows.withColumn("p_host", smoothed(F.col("at_host"), F.col("p_suffix")))
     rows = rows.withColumn("logs", F.transform("reading", lambda x, i: x + F.log(F.get("p_host", i))
-                                               + F.get(F.get(said, F.col("tag").cast("int")), i)))
-    rows = rows.withColumn("posterior", normalised("logs")).withColumn("probability", F.array_max("posterior"))
+                                               + F.get("said", i)))
+    # What the tag, the address and a language's usual text say of texts of no language: the same as of its nearest.
+    usual = F.least(F.coalesce("usual", F.lit(0.0)), F.lit(0.0))
+    none = F.array_max("logs") - F.col("fit") + F.col("letters") * usual + float(np.log(NONE / (1 - NONE)))
+    top = F.greatest(F.array_max("logs"), none)
+    total = F.aggregate(F.transform("logs", lambda x: F.exp(x - top)), F.lit(0.0), lambda a, b: a + b)
+    rows = rows.withColumn("probability", F.exp(F.array_max("logs") - top) / (total + F.exp(none - top)))
     out = rows.withColumns({
-        "lang": F.get(names, best("posterior")), "text_lang": F.when(F.col("letters") > 0, F.get(names, F.col("first"))),
+        "lang": F.get(names, best("logs")), "text_lang": F.when(F.col("letters") > 0, F.get(names, F.col("first"))),
         "accepted": (F.col("letters") > 0) & (F.col("probability") >= least)}).drop(
-        "row", "host", "suffix", "reading", "letters", "first", "tag", "in_suffix", "in_host", "at_suffix", "at_host",
-        "p_suffix", "p_host", "logs", "posterior")
+        "row", "host", "suffix", "reading", "letters", "first", "tag", "fit", "usual", "said", "in_suffix", "in_host",
+        "at_suffix", "at_host", "p_suffix", "p_host", "logs")
     # Short rows; without this a filter on the result would be pushed down with all of the above written out in it.
     return cut_lineage(out)
 
@@ -184,7 +199,7 @@ def identify(rows: DataFrame, least: float = 0.5) -> DataFrame:
 def document_rows(docs: DataFrame, *keep: Column, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """Documents as rows for ``identify``: the source is the host, with what follows its last '.' as suffix."""
     host = F.lower(F.col(source).cast("string"))
-    return docs.select(*keep, F.col(text).cast("string").alias("text"), F.lower(F.col(lang).cast("string")).alias("declared"),
+    return docs.select(*keep, F.col(text).cast("string").alias("text"), F.nullif(F.lower(F.col(lang).cast("string")), F.lit("")).alias("declared"),
                        host.alias("host"), F.when(F.contains(host, F.lit(".")), F.substring_index(host, ".", -1)).alias("suffix"))
 
 

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -175,5 +176,29 @@ def test_languages(spark, nothing):
     assert language_id.identify(empty).count() == 0
 
 
+def test_rare_and_unknown_languages(spark):
+    import corpus_pipeline
+    col = __import__("pyspark").sql.functions.col
+    kinds = {"en": "the house and the tree of that which they have seen with their own children before winter came",
+             "de": "der hund und die straße ist nicht über den berg gegangen weil das wetter schlecht geworden war",
+             "fi": "koira juoksi metsään koska ilma oli kaunis ja lapset halusivat leikkiä järven rannalla yhdessä"}
+
+    def say(lang, i):
+        return " ".join(w for k in range(4) for w in random.Random(100 * i + k).sample(kinds[lang].split(), 12))
+
+    rows = [(i, say(lang, i), lang, "s") for i in range(500) for lang in ("en", "de")]
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)] + [(2000 + i, say("fi", i), "fi", "s") for i in range(4)] + [(3000, say("fi", 99), None, "s")]
+    strange = [(4000, "ο σκύλος έτρεξε στο δάσος γιατί ο καιρός ήταν καλός και τα παιδιά ήθελαν να παίξουν", None, "s"),
+               (4001, "kutya szaladt az erdőbe mert szép idő volt és gyerekek játszani akartak tónál együtt mindannyian", None, "s")]
+    docs = documents(spark, rows + strange)
+    out = {r.doc_id: r for r in language_id.identify(language_id.document_rows(docs, col("doc_id"))).collect()}
+    assert all(out[d].lang == lang and out[d].accepted for d, _, lang, _ in rows if d != 3000)
+    assert out[3000].lang == "fi" and out[3000].accepted and not out[4000].accepted and not out[4001].accepted
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs, "").select("doc_id").collect()}
+    assert kept == {r[0] for r in rows}
+    silent = documents(spark, [(d, t, None, s) for d, t, _, s in rows[:5]])
+    assert corpus_pipeline.language(spark, silent, "").count() == 6
+
+
 def test_texts_are_awkward():
     assert None in texts() and "" in texts() and max(len(t or "") for t in texts()) > 90_000

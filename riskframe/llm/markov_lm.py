@@ -35,9 +35,23 @@ HEAD = 200_000
 SEGMENT = 512
 
 
+def lower_ascii(texts: pa.LargeStringArray) -> pa.Array:
+    """A-Z in lower case, without nulls.  (``pc.ascii_lower`` gives wrong text for an array that is a slice.)"""
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    if data is None or not len(texts) or bounds[0] == bounds[-1]:
+        return texts
+    own = _LOWER[np.frombuffer(data, np.uint8)[bounds[0]:bounds[-1]]]
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(bounds - bounds[0]), pa.py_buffer(own))
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
 def words_of(texts: pa.Array) -> pa.Array:
     """Lists of words (``[^\\x20\\x09-\\x0D]+``), A-Z in lower case, as binary values; null is empty."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    split = pc.ascii_split_whitespace(lower_ascii(pc.fill_null(texts.cast(pa.large_string()), "")))
     return pa.LargeListArray.from_arrays(split.offsets.cast(pa.int64()), split.values.cast(pa.large_binary()))
 
 
@@ -183,7 +197,7 @@ def encode(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 held_out=pa.array([is_held_out(i) for i in batch.column("id").to_pylist()], pa.bool_()),
                 n_tokens=pa.array(n + 1), known=pa.array(np.bincount(doc, known, docs).astype(np.int64) + (end >= 0)),
                 logs=pa.array(np.bincount(doc, logs, docs) + (end_log if end >= 0 else 0.0)),
-                words=pa.array(np.bincount(doc, lm, docs)), classes=pa.array(coded, pa.binary()),
+                words=pa.array(np.bincount(doc, lm, docs).astype(float)), classes=pa.array(coded, pa.binary()),
                 tail=pa.array([list(t.items()) for t in tails], pa.map_(pa.binary(), pa.int32())))
 
     kind = rows.schema["id"].dataType.simpleString()

@@ -6,11 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 from samples import documents, plain_words, texts, words
 
-from riskframe.llm import bpe_codec, jaccard_join, language_id, markov_lm, packing, secret_scan, token_files
+from riskframe.llm import bpe_codec, jaccard_join, language_id, markov_lm, packing, secret_scan, spelling, token_files
 from riskframe.llm.batches import bounded
 from riskframe.llm.tokens import vocabulary
 
-MODULES = (bpe_codec, jaccard_join, language_id, markov_lm, packing, secret_scan, token_files)
+MODULES = (bpe_codec, jaccard_join, language_id, markov_lm, packing, secret_scan, spelling, token_files)
 
 
 @pytest.fixture(scope="module")
@@ -29,6 +29,7 @@ OPERATORS = {
     "join": lambda s, d, p: jaccard_join.join(d, 3, 90),
     "score": lambda s, d, p: markov_lm.score(d, states=2, own_classes=8, shared_classes=5, rounds=2),
     "language": lambda s, d, p: language_id.identify(language_id.document_rows(d, F.col("doc_id"))),
+    "spelling": lambda s, d, p: spelling.variants(d, least=3, times=2),
     "secrets": lambda s, d, p: secret_scan.scan(d),
     "packing": lambda s, d, p: packing.pack(d, vocabulary("word_bpe_49k.json"), end_id=2),
     "files": lambda s, d, p: tokens(s, d, p),

@@ -2,12 +2,12 @@
 
 Two documents link when ``100 * intersection >= percent * union``.  Equal sets are one node from the start.
 
-1. Blocks.  Sets that link differ in at most ``d = a (100 - percent) / percent`` shingles, ``a`` being the smaller
-   size.  Shingles are dealt by hash into ``d + 1`` parts, so at least one part is the same in both; sets with a
-   part in common, and what hangs together by that, are a block.  Sizes are graded so that sets that link have a
-   grade in common, and parts are made for a grade.  Parts without shingles say little: a set that has one is
-   dealt a second time, and only there its empty parts count.  No pair is lost, and no pair is listed: the sets
-   with a part in common only point to the smallest of them.
+1. Blocks.  Shingles are put in one order, rare ones first.  Sets that link have ``percent`` of the larger one in
+   common, so the first ``n - ceil(n percent / 100) + 1`` shingles of either have one in common; sets with such a
+   shingle in common, and sizes of one grade, and what hangs together by that, are a block.  The order follows counts
+   of all shingles by hash bucket: any order is right, and the better it is, the fewer sets meet that do not link.  Sizes are
+   graded so that sets that link have a grade in common.  No pair is lost, and no pair is listed: the sets with a first
+   shingle in common only point to the smallest of them.
 2. Leaves.  A block is cut into leaves of about ``LEAF`` sets.  Every leaf is searched together with a few pivots of
    its block, which ties most of a family of copies together, over all leaves.
 3. Trees.  Where a block is still in several parts, sets are cut into leaves again, large parts by themselves.  Nodes of a
@@ -19,7 +19,7 @@ A search counts common shingles, those in many sets by products of token indicat
 bitmaps; it returns a spanning forest of the links it finds.  So a family of copies, however large, is held by no
 single task and never expanded into pairs, but every link between different parts of a block is found.
 
-A text is read twice, and a third time if it is in a block; the text itself is only shuffled if there are more than
+A text is read three times, and once more if it is in a block; the text itself is only shuffled if there are more than
 ``BROADCAST_ROWS`` sets in blocks.
 """
 
@@ -49,8 +49,10 @@ DENSE = 24
 STRIP = 256
 #: The part of leaves that hold sets of several small parts.
 MIXED = -1
-#: Parts that are compared in one task, about.
+#: First shingles that are compared in one task, about.
 BUCKET_KEYS = 2_000_000
+#: The table of how common shingles are has at most two to this power entries, of a byte: what it costs does not grow.
+MOST_BITS = 22
 #: Sets in blocks up to which their documents are found by a broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -127,53 +129,59 @@ def set_ids(found: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarra
     return sizes, ids.view(np.int64)
 
 
+def bucket_counts(rows: DataFrame, words: int, bits: int) -> np.ndarray:
+    """How common the shingles of each of ``2 ** bits`` hash buckets are, on a logarithmic scale of bytes.
+
+    A task counts its texts into one table, of which pieces are added up by their number; the driver gets a byte for each bucket."""
+    pieces = min(1 << bits, 64)
+
+    def count(batches):
+        total = np.zeros(1 << bits, np.uint32)
+        for batch in bounded(batches, "text", 4 << 20, 4096):
+            found, _ = shingle_sets(batch.column("text"), words)
+            np.add(total, np.bincount((found >> _U(64 - bits)).astype(np.int64), minlength=1 << bits), out=total, casting="unsafe")
+        if total.any():
+            # Half precision in the square root keeps a piece small and large counts apart.
+            parts = np.split(np.sqrt(total).astype(np.float16), pieces)
+            yield record_batch(piece=pa.array(range(pieces), pa.int32()), n=pa.array([x.tobytes() for x in parts], pa.binary()))
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, n in zip(batch.column("piece").to_pylist(), batch.column("n")):
+                part = np.frombuffer(n.as_buffer(), np.float16).astype(np.float64) ** 2
+                sums[piece] = sums[piece] + part if piece in sums else part
+        for piece, n in sums.items():
+            scaled = np.minimum(np.rint(6 * np.log2(1 + n)), 255).astype(np.uint8)
+            yield record_batch(piece=pa.array([piece], pa.int32()), n=pa.array([scaled.tobytes()], pa.binary()))
+
+    counted = rows.select("text").mapInArrow(count, "piece int, n binary").repartition(pieces, "piece")
+    table_ = np.zeros((pieces, (1 << bits) // pieces), np.uint8)
+    for piece, n in counted.mapInArrow(add, "piece int, n binary").collect():
+        table_[piece] = np.frombuffer(n, np.uint8)
+    return table_.ravel()
+
+
 @lru_cache(maxsize=8)
-def grades(percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest size of each grade, and the number of parts for sets whose smaller one is in the grade."""
+def grades(percent: int) -> np.ndarray:
+    """Smallest size of each grade: sets that link are of one grade, or of two that follow each other."""
     low = [1]
     while low[-1] < 1 << 40:
         low.append(low[-1] * 100 // percent + 1)
-    low = np.array(low)
-    return low, (low[1:] - 1) * (100 - percent) // percent + 1
-
-
-def part_keys(found, owner, sizes, ids, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of parts, and the set each belongs to.  A set is in its own grade and, as the larger one of a pair, in
-    the grade below."""
-    low, parts = grades(percent)
-    grade = np.searchsorted(low, sizes, "right") - 1
-    keys, sets = [], []
-
-    def deal(docs, label, seed, empty):
-        """Keys by one dealing of the sets of ``docs``; returns the docs with empty parts."""
-        count = np.zeros(len(sizes), np.int64)
-        count[docs] = parts[label[docs]]
-        base = np.cumsum(count) - count
-        mine = count[owner] > 0
-        f, o = found[mine], owner[mine]
-        slot = base[o] + (mix(f + _U(seed)) % count[o].astype(_U)).astype(np.int64)
-        total = int(count.sum())
-        content, filled = np.zeros(total, _U), np.zeros(total, bool)
-        np.add.at(content, slot, mix(f ^ _U(0xd6e8feb86659fd93)))
-        filled[slot] = True
-        doc = np.repeat(np.arange(len(sizes)), count)
-        number = np.arange(total) - base[doc]
-        where = mix(label[doc].astype(_U) * _U(1 << 40) + number.astype(_U) + _U(seed))
-        chosen = np.ones(total, bool) if empty else filled
-        keys.append(mix(content + where)[chosen])
-        sets.append(ids[doc[chosen]])
-        return np.unique(doc[~filled])
-
-    for label in (grade, grade - 1):
-        docs = np.flatnonzero((sizes > 0) & (label >= 0))
-        docs = docs[parts[label[docs]] > 1]  # with a single part only equal sets link
-        if len(docs):
-            sparse = deal(docs, label, 1, False)
-            if len(sparse):
-                deal(sparse, label, 2, True)
-    if not keys:
-        return np.empty(0, _U), np.empty(0, np.int64)
-    return np.concatenate(keys), np.concatenate(sets)
+    return np.array(low)
+
+
+def first_shingles(found, owner, sizes, ids, percent: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of which sets that link have one in common, and the set each belongs to: the first shingles of a set in order
+    of how common they are, with its grade, and, as the larger one of a pair, with the grade below."""
+    bits = int(len(common)).bit_length() - 1
+    order = np.lexsort((found, common[(found >> _U(64 - bits)).astype(np.int64)], owner))
+    rank = np.arange(len(found)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    first = rank < (sizes - (percent * sizes + 99) // 100 + 1)[owner]
+    shingle, owner = found[order][first], owner[first]
+    grade = np.searchsorted(grades(percent), sizes, "right").astype(_U)[owner]  # from 1
+    keys = [mix(shingle + mix(grade - _U(below))) for below in (0, 1)]
+    return np.concatenate(keys), np.concatenate([ids[owner]] * 2)
 
 
 def stars(keys: np.ndarray, sets: np.ndarray):
@@ -187,15 +195,17 @@ def stars(keys: np.ndarray, sets: np.ndarray):
     return np.unique(np.stack([sets[apart], least[apart]], axis=1), axis=0), keys[first], sets[first]
 
 
-def candidate_links(rows: DataFrame, words: int, percent: int, buckets: int) -> DataFrame:
-    """``(a, b)``: sets with a part in common, each linked to the smallest of them.  Within a batch of texts a key is
+def candidate_links(rows: DataFrame, words: int, percent: int, buckets: int, common: np.ndarray) -> DataFrame:
+    """``(a, b)``: sets with a first shingle in common, each linked to the smallest of them.  Within a batch of texts a key is
     combined before it is shuffled, so even one in all sets moves once for each batch."""
 
+    shared = rows.sparkSession.sparkContext.broadcast(common)
+
     def deal(batches):
         for batch in bounded(batches, "text", 4 << 20, 4096):
             found, owner = shingle_sets(batch.column("text"), words)
             sizes, ids = set_ids(found, owner, batch.num_rows)
-            links, keys, sets = stars(*part_keys(found, owner, sizes, ids, percent))
+            links, keys, sets = stars(*first_shingles(found, owner, sizes, ids, percent, shared.value))
             bucket = (keys >> _U(33)).astype(np.int64) % buckets
             order = np.argsort(bucket, kind="stable")
             bucket, keys, sets = bucket[order], keys[order], sets[order]
@@ -460,8 +470,9 @@ def join(docs: DataFrame, words: int, percent: int, id: str = "doc_id", text: st
     rows = rows.select("id", "text")
     nodes = members.where("n > 0").groupBy("set").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
     shingles = members.agg(F.sum("n")).first()[0] or 0
-    keys = 2 * shingles * (100 - percent) // percent
-    links = cut_lineage(candidate_links(rows, words, percent, max(1, keys // BUCKET_KEYS, 12)))
+    bits = min(MOST_BITS, max(12, int(shingles // 32).bit_length()))
+    keys = 2 * shingles * (100 - percent) // 100
+    links = cut_lineage(candidate_links(rows, words, percent, max(12, keys // BUCKET_KEYS), bucket_counts(rows, words, bits)))
     tied = link_sets(rows, nodes, links, words, percent)
     # Ids with several texts tie their sets together.
     several = members.where("n > 0 AND id IS NOT NULL").groupBy("id").agg(

@@ -24,12 +24,16 @@ from pyspark.sql import functions as F
 from riskframe.llm.batches import bounded, record_batch
 from riskframe.llm.registry import llm_query, table
 from riskframe.llm.tokens import encoder, vocabulary
-from riskframe.session import scratch_folder
+from riskframe.session import cut_lineage, scratch_folder
 
 #: Places between two entries of a rank directory.
 BLOCK = 512
 #: A shard is closed at so many tokens; one longer document makes a longer shard.
-SHARD_TOKENS = 1 << 20
+SHARD_TOKENS = 1 << 18
+#: Bytes that a writer holds back of a file, about; it looks at every row, as rows are large.
+HELD_BYTES = 8 << 20
+#: Lists that the requests for one shard are dealt into.
+ASKED = 64
 #: Documents in a bucket, but for the last; the number of buckets is bounded, as their totals go to the driver.
 BUCKET_DOCS, MOST_BUCKETS = 4096, 65536
 _BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -114,9 +118,10 @@ def write_tokens(docs: DataFrame, path: str, vocabulary_path: str, end_id: int,
     def encode(batches):
         own, edges = encoder(vocabulary_path), np.array(bounds, np.int64)
         end = np.array([end_id], own.dtype).tobytes()
-        for batch in bounded(batches, "text", 3 << 20, 8192):
+        for batch in bounded(batches, "text", 1 << 20, 4096):
             flat, ends = own.batch(batch.column("text"))
             ids = [flat[a:b].tobytes() + end for a, b in zip(ends, ends[1:])]
+            del flat, ends
             doc = batch.column("id").to_pylist()
             bucket = [-1 if d is None else int(np.searchsorted(edges, d, "right")) for d in doc]
             yield record_batch(bucket=pa.array(bucket, pa.int32()), id=batch.column("id"), ids=pa.array(ids, pa.binary()))
@@ -150,12 +155,13 @@ def write_tokens(docs: DataFrame, path: str, vocabulary_path: str, end_id: int,
             yield close()
 
     encoded.mapInArrow(shards, "bucket int, shard int, bucket_start long, n_docs long, n_tokens long, payload binary, "
-                               "doc_ids array<long>, sizes array<int>").write.parquet(path)
+                               "doc_ids array<long>, sizes array<int>").write.options(**{
+        "parquet.block.size": HELD_BYTES, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}).parquet(path)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """``(doc_id, start, ids binary)`` of every document in the files: ``start`` counts the ids of all documents
-    before it, ``ids`` are 32-bit.  Only one total for each bucket goes to the driver."""
+    """``(doc_id, start, ids binary, last)`` of every document in the files: ``start`` counts the ids of all documents
+    before it, ``ids`` are 32-bit, ``last`` is the last of them, read by itself.  Only one total for each bucket goes to the driver."""
     files = spark.read.parquet(path)
     totals = sorted(files.groupBy("bucket").agg(F.sum("n_tokens").alias("n")).collect())
     base, before = {}, 0
@@ -163,19 +169,63 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         base[bucket], before = before, before + n
 
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids = Codes(row["payload"]).all()
-                ends = np.cumsum(row["sizes"])
-                at = np.concatenate([[0], ends[:-1]])
-                starts = at + row["bucket_start"] + base[row["bucket"]]
-                for i in range(0, len(ends), 512):
-                    part = [ids[a:b].tobytes() for a, b in zip(at[i:i + 512], ends[i:i + 512])]
-                    yield record_batch(doc_id=pa.array(row["doc_ids"][i:i + 512], pa.int64()),
-                                       start=pa.array(starts[i:i + 512], pa.int64()), ids=pa.array(part, pa.binary()))
+        for batch in bounded(batches, "payload", 1 << 20, 64):
+            for i in range(batch.num_rows):
+                bucket, bucket_start = batch.column("bucket")[i].as_py(), batch.column("bucket_start")[i].as_py()
+                codes = Codes(batch.column("payload")[i].as_buffer())
+                ids, doc_ids = codes.all(), batch.column("doc_ids")[i].values
+                at = np.concatenate([[0], np.cumsum(np.asarray(batch.column("sizes")[i].values), dtype=np.int64)])
+                for a in range(0, len(doc_ids), 512):
+                    b = min(a + 512, len(doc_ids))
+                    yield record_batch(
+                        doc_id=doc_ids.slice(a, b - a), start=pa.array(at[a:b] + bucket_start + base[bucket]),
+                        ids=pa.array([ids[x:y].tobytes() for x, y in zip(at[a:b], at[a + 1:b + 1])], pa.binary()),
+                        last=pa.array([codes[y - 1] for y in at[a + 1:b + 1].tolist()], pa.int64()))
 
     return files.select("bucket", "bucket_start", "payload", "doc_ids", "sizes").mapInArrow(
-        run, "doc_id long, start long, ids binary")
+        run, "doc_id long, start long, ids binary, last long")
+
+
+def lookup(spark: SparkSession, path: str, wanted: DataFrame, id: str = "doc_id", position: str = "position") -> DataFrame:
+    """``(id, position, token)``: single tokens of documents in the files, read through the rank directories.
+
+    Positions count from 0.  A position that a document has not, an unknown or null id and a null position have a null
+    token; repeated requests have a row each, and one for each document of a repeated id.  Requests find their
+    shard by a table of documents without payloads; of each shard its requests travel to it, in lists of at most ``ASKED``,
+    so a shard that all ask for is read by many tasks.
+    """
+    files = spark.read.parquet(path)
+
+    def documents(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sizes = np.asarray(batch.column("sizes")[i].values).astype(np.int64)
+                many = len(sizes)
+                yield record_batch(bucket=pa.array([batch.column("bucket")[i].as_py()] * many, pa.int32()),
+                                   shard=pa.array([batch.column("shard")[i].as_py()] * many, pa.int32()), id=batch.column("doc_ids")[i].values,
+                                   size=pa.array(sizes), at=pa.array(np.cumsum(sizes) - sizes))
+
+    placed = files.select("bucket", "shard", "doc_ids", "sizes").mapInArrow(documents, "bucket int, shard int, id long, size long, at long")
+    asked = wanted.select(F.col(id).cast("long").alias("id"), F.col(position).cast("long").alias("position"),
+                          F.monotonically_increasing_id().alias("row"))
+    found = asked.join(placed, "id", "left")
+    inside = (F.col("position") >= 0) & (F.col("position") < F.col("size"))
+    found = cut_lineage(found.withColumn("place", F.when(inside, F.col("at") + F.col("position"))).drop("at", "size"))
+    lists = found.where("place IS NOT NULL").groupBy("bucket", "shard", F.pmod("row", F.lit(ASKED)).alias("part")).agg(
+        F.collect_list(F.struct("id", "position", "place")).alias("asked"))
+
+    def run(batches):
+        for batch in bounded(batches, "payload", 1 << 20, 64):
+            for i in range(batch.num_rows):
+                codes = Codes(batch.column("payload")[i].as_buffer())
+                rows = batch.column("asked")[i].as_py()
+                yield record_batch(id=pa.array([r["id"] for r in rows], pa.int64()), position=pa.array([r["position"] for r in rows], pa.int64()),
+                                   token=pa.array([codes[r["place"]] for r in rows], pa.int64()))
+
+    read = lists.join(files.select("bucket", "shard", "payload"), ["bucket", "shard"]).select("asked", "payload").mapInArrow(
+        run, "id long, position long, token long")
+    none = found.where("place IS NULL").select("id", "position", F.lit(None).cast("long").alias("token"))
+    return read.union(none).select(F.col("id").alias(id), F.col("position").alias(position), "token")
 
 
 @llm_query("op10_addressable_token_files")
@@ -185,4 +235,4 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     write_tokens(table(spark, folder, "documents"), path, vocabulary("byte_bpe_50k.json"), end_id=2)
     return read_documents(spark, path).select(
         "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.crc32("ids").alias("ids_crc32"))
+        F.crc32("ids").alias("ids_crc32"), F.col("last").alias("last_id"))

@@ -74,6 +74,14 @@ def test_token_files(spark, docs, nothing, tmp_path, monkeypatch):
         ids = np.frombuffer(r.ids, "<u4").tolist()
         assert r.start == start and ids == ids_of(BYTES, want[r.doc_id]) + [2]
         start += len(ids)
+    own = np.frombuffer(rows[0].ids, "<u4")
+    assert all(r.last == 2 for r in rows)
+    ids = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in rows if r.doc_id is not None}
+    asked = [(d, p) for d, t in ids.items() for p in {0, len(t) // 2, len(t) - 1, len(t), -1}] + [(None, 0), (1, 0), (max(ids), None)] * 2
+    found = token_files.lookup(spark, str(tmp_path / "a"), spark.createDataFrame(asked, "doc_id long, position long").repartition(3)).collect()
+    times = {d: sum(r.doc_id == d for r in rows) for d in ids}
+    want = [(d, p, ids[d][p] if d in ids and p is not None and 0 <= p < len(ids[d]) else None) for d, p in asked for _ in range(times.get(d, 1))]
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, want)) and len(own)
     token_files.write_tokens(nothing, str(tmp_path / "b"), BYTES, 2)
     assert token_files.read_documents(spark, str(tmp_path / "b")).count() == 0
 

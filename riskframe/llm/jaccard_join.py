@@ -13,13 +13,14 @@ Two documents link when ``100 * intersection >= percent * union``.  Equal sets a
 3. Trees.  Where a block is still in several parts, sets are cut into leaves again, large parts by themselves.  Nodes of a
    signature tree hold the OR (and the AND) of their sets' token bitmaps and the range of sizes.  A dual traversal
    visits pairs of nodes from the roots down and drops those whose largest possible overlap is too small, or that
-   are tied together already.  Pairs of leaves that are left are joined, and searched.
+   are tied together already.  Pairs of leaves that are left exchange bitmaps of their sets; sets that may have a partner by
+   these are joined, and searched.
 
 A search counts common shingles, those in many sets by products of token indicator matrices, after documents without a possible partner are sorted out by
 bitmaps; it returns a spanning forest of the links it finds.  So a family of copies, however large, is held by no
 single task and never expanded into pairs, but every link between different parts of a block is found.
 
-A text is read three times, and once more if it is in a block; the text itself is only shuffled if there are more than
+A text is read three times, and once more if it is in a block (in a large one, a few times); the text itself is only shuffled if there are more than
 ``BROADCAST_ROWS`` sets in blocks.
 """
 
@@ -43,6 +44,8 @@ from riskframe.session import cut_lineage
 
 #: Sets of a leaf, pivots of a block, bits of a token bitmap, children of a tree node.
 LEAF, PIVOTS, BITS, FAN = 1024, 8, 1024, 8
+#: Bits of the bitmap of a single set, at most.
+MOST_MAP = 1 << 16
 #: Shingles in more sets of a search than this are counted by matrix product, the others pair by pair.
 DENSE = 24
 #: Rows of a search that are compared at a time.
@@ -363,9 +366,6 @@ def traverse(leaves: list[Node], percent: int):
                 stack += [(x, c) for c in y.children]
 
 
-_SET = "set long, n long, shingles binary"
-
-
 def leaves_of(sets: DataFrame, keys: list[str]) -> DataFrame:
     """Adds ``leaf``: sets of equal ``keys`` and about equal size, dealt by hash into leaves of about ``LEAF`` sets.
     The numbers of sets meet them over salted keys, since a block may hold any share of them."""
@@ -405,6 +405,68 @@ def forest(groups: DataFrame, keys: list[str], percent: int) -> DataFrame:
             .mapInArrow(run, "a long, b long"))
 
 
+def with_bitmaps(sets: DataFrame) -> DataFrame:
+    """``(block, part, leaf, set, n, bits)``: ``bits`` is a bitmap of two to four bits for each shingle of the set, ``MOST_MAP`` at most."""
+
+    def run(batches):
+        for batch in bounded(batches, "shingles", 8 << 20, 8192):
+            out = []
+            for s in batch.column("shingles"):
+                shingles = np.frombuffer(s.as_buffer(), _U)
+                bits = np.zeros(min(MOST_MAP, max(64, 1 << int(2 * len(shingles) - 1).bit_length())), bool)
+                bits[(shingles % _U(len(bits))).astype(np.int64)] = True
+                out.append(np.packbits(bits).tobytes())
+            yield record_batch(**{c: batch.column(c) for c in ("block", "part", "leaf", "set", "n")}, bits=pa.array(out, pa.binary()))
+
+    return sets.select("block", "part", "leaf", "set", "n", "shingles").mapInArrow(
+        run, "block long, part long, leaf long, set long, n long, bits binary")
+
+
+def folded(bits: bytes, size: int) -> np.ndarray:
+    """A bitmap of ``size`` bits from a larger one of the same set."""
+    return np.bitwise_or.reduce(np.frombuffer(bits, np.uint8).reshape(-1, size // 8), axis=0)
+
+
+def partnered(groups: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """``(*keys, set)``: the sets of each group of ``(*keys, set, n, bits)`` that may link with another one of it."""
+
+    def live(key, ids, sizes, bits):
+        size = min(len(b) for b in bits) * 8
+        packed = np.stack([folded(b, size) for b in bits])
+        sizes, lacks = np.array(sizes), np.zeros((len(ids), len(ids)), np.float32)
+        for at in range(0, size // 8, 512):
+            b = np.unpackbits(packed[:, at:at + 512], axis=1).astype(np.float32)
+            lacks += b @ (1 - b).T
+        some = np.zeros(len(ids), bool)
+        for at in range(0, len(ids), STRIP):
+            rows = slice(at, at + STRIP)
+            most = np.minimum(sizes[rows, None] - lacks[rows], sizes[None, :] - lacks[:, rows].T)
+            may = 100 * most >= percent * (sizes[rows, None] + sizes[None, :] - most)
+            may[np.arange(len(may)), np.arange(at, at + len(may))] = False
+            some[rows] = may.any(axis=1)
+        chosen = [i for i, keep in zip(ids, some) if keep]
+        return record_batch(**{k: pa.array([v] * len(chosen), pa.int64()) for k, v in zip(keys, key)}, set=pa.array(chosen, pa.int64()))
+
+    def run(batches):
+        held, ids, sizes, bits = None, [], [], []
+        for batch in bounded(batches, "bits", 16 << 20, 8192):
+            columns = [batch.column(c).to_pylist() for c in (*keys, "set", "n", "bits")]
+            for *key, i, n, b in zip(*columns):
+                if key != held:
+                    if len(ids) > 1:
+                        yield live(held, ids, sizes, bits)
+                    held, ids, sizes, bits = key, [], [], []
+                if i not in ids[-1:]:
+                    ids.append(i)
+                    sizes.append(n)
+                    bits.append(b)
+        if len(ids) > 1:
+            yield live(held, ids, sizes, bits)
+
+    schema = ", ".join(f"{k} long" for k in keys) + ", set long"
+    return groups.select(*keys, "set", "n", "bits").repartition(*keys).sortWithinPartitions(*keys, "set").mapInArrow(run, schema)
+
+
 def tree_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """``(block, i, j)``: leaves of a block that may hold links between parts, from ``(block, part, leaf, n, shingles)``.
     Summaries of leaves are 256 bytes; those of one block meet in one task."""
@@ -468,12 +530,8 @@ def join(docs: DataFrame, words: int, percent: int, id: str = "doc_id", text: st
 
     members = cut_lineage(rows.mapInArrow(sizes, f"id long, n long, set long{kinds}"))
     rows = rows.select("id", "text")
-    nodes = members.where("n > 0").groupBy("set").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
-    shingles = members.agg(F.sum("n")).first()[0] or 0
-    bits = min(MOST_BITS, max(12, int(shingles // 32).bit_length()))
-    keys = 2 * shingles * (100 - percent) // 100
-    links = cut_lineage(candidate_links(rows, words, percent, max(12, keys // BUCKET_KEYS), bucket_counts(rows, words, bits)))
-    tied = link_sets(rows, nodes, links, words, percent)
+    nodes = cut_lineage(members.where("n > 0").groupBy("set").agg(F.min("id").alias("rep"), F.first("n").alias("n")))
+    tied = link_sets(rows, nodes, words, percent)
     # Ids with several texts tie their sets together.
     several = members.where("n > 0 AND id IS NOT NULL").groupBy("id").agg(
         F.min("set").alias("a"), F.max("set").alias("b"), F.countDistinct("set").alias("k")).where("k > 1")
@@ -490,13 +548,43 @@ def join(docs: DataFrame, words: int, percent: int, id: str = "doc_id", text: st
         *(F.col(k).alias(c) for k, c in kept.items()))
 
 
-def link_sets(rows: DataFrame, nodes: DataFrame, links: DataFrame, words: int, percent: int) -> DataFrame:
+def texts_of(rows: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """The texts of the sets ``wanted`` (found by their document ``rep``), with ``columns`` of it."""
+    found = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    return rows.join(found, rows["id"].eqNullSafe(found["rep"])).select(*columns, "text")
+
+
+def blocks_of(rows: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """``(set, block)`` of the sets that may link with another.
+
+    Sets in blocks of more than ``LEAF`` are dealt anew, with shingles counted in these sets only, which tells rare ones
+    apart better, for as long as that spares a fifth of them."""
+    every = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    parts, own, (before, shingles) = [], rows, every
+    while True:
+        bits = min(MOST_BITS, max(12, int(shingles // 32).bit_length()))
+        keys = 2 * shingles * (100 - percent) // 100
+        links = cut_lineage(candidate_links(own, words, percent, max(12, keys // BUCKET_KEYS), bucket_counts(own, words, bits)))
+        blocks = cut_lineage(components(links).toDF("set", "block").join(nodes.select("set", "rep", "n"), "set"))
+        big = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > LEAF).select("block", F.lit(True).alias("big"))
+        blocks = cut_lineage(salted_join(blocks, big, ["block"], "set"))
+        many, shingles = blocks.where("big").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        if many == 0 or many > 0.8 * before:
+            parts.append(blocks.drop("big"))
+            break
+        parts.append(blocks.where("big IS NULL").drop("big"))
+        # A text of the same document that isn't the wanted set may come along; it is sorted out below.
+        before, large = many, blocks.where("big").drop("big", "block")
+        own, nodes = texts_of(rows, large, []), large
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.union(part)
+    return found
+
+
+def link_sets(rows: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
     """``(set, part)`` of the sets that link with another: ``part`` is the smallest set it is tied to."""
-    blocks = components(links).select(F.col("node").alias("set"), F.col("component").alias("block"))
-    wanted = cut_lineage(nodes.join(blocks, "set").select("rep", "set", "block"))
-    some = wanted.count()
-    texts = rows.join(F.broadcast(wanted) if some <= BROADCAST_ROWS else wanted, rows["id"].eqNullSafe(wanted["rep"])).select(
-        "block", "set", "text")
+    wanted = cut_lineage(leaves_of(blocks_of(rows, nodes, words, percent), ["block"]))
 
     def sets_of(batches):
         for batch in bounded(batches, "text", 4 << 20, 4096):
@@ -504,34 +592,46 @@ def link_sets(rows: DataFrame, nodes: DataFrame, links: DataFrame, words: int, p
             n, ids = set_ids(found, owner, batch.num_rows)
             ends = np.cumsum(n)
             keep = np.flatnonzero(ids == np.asarray(batch.column("set")))
-            yield record_batch(block=batch.column("block").take(pa.array(keep)), set=pa.array(ids[keep], pa.int64()),
+            at = pa.array(keep)
+            yield record_batch(block=batch.column("block").take(at), leaf=batch.column("leaf").take(at), set=pa.array(ids[keep], pa.int64()),
                                n=pa.array(n[keep], pa.int64()),
                                shingles=pa.array([found[ends[i] - n[i]:ends[i]].tobytes() for i in keep], pa.binary()))
 
-    sets = cut_lineage(texts.mapInArrow(sets_of, f"block long, {_SET}").transform(lambda d: leaves_of(d, ["block"])))
-    leaves = sets.where("leaf >= 0").groupBy("block", "leaf").agg(F.min("set").alias("least"))
+    def read(some):
+        return texts_of(rows, some, ["block", "leaf", "set"]).mapInArrow(sets_of, "block long, leaf long, set long, n long, shingles binary")
+
+    alone = cut_lineage(forest(read(wanted.where("leaf < 0")), ["block"], percent))
+    if wanted.where("leaf >= 0").limit(1).count() == 0:
+        return components(alone).toDF("set", "part")
+
+    # Blocks of several leaves.
+    sets = cut_lineage(read(wanted.where("leaf >= 0")))
+    leaves = sets.groupBy("block", "leaf").agg(F.min("set").alias("least"))
     pivots = leaves.groupBy("block").agg(F.slice(F.sort_array(F.collect_list("least")), 1, PIVOTS).alias("p")).select(
         "block", F.explode("p").alias("set"))
-    pivots = sets.where("leaf >= 0").join(pivots, ["block", "set"]).drop("leaf").dropDuplicates(["set"]).join(
+    pivots = sets.join(pivots, ["block", "set"]).drop("leaf").dropDuplicates(["set"]).join(
         leaves.select("block", "leaf"), "block").select("block", "leaf", "set", "shingles")
     first = cut_lineage(forest(sets.select("block", "leaf", "set", "shingles").union(pivots), ["block", "leaf"], percent))
 
-    # Blocks of several leaves: parts that are still apart.
+    # Parts that are still apart.
     parts = components(first).toDF("set", "part")
-    large = sets.where("leaf >= 0").drop("leaf").join(parts, "set", "left").withColumn("part", F.coalesce("part", "set"))
+    small_rows = sets.select("block", "set", "n").dropDuplicates(["set"])
+    large = small_rows.join(parts, "set", "left").withColumn("part", F.coalesce("part", "set"))
     apart = large.groupBy("block").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("block")
-    large = large.join(apart, "block", "left_semi").dropDuplicates(["set"])
+    large = large.join(apart, "block", "left_semi")
     small = large.groupBy("part").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > LEAF // 4).select(F.col("part").alias("own"))
     large = salted_join(large.withColumn("own", F.col("part")), small.withColumn("big", F.lit(True)), ["own"], "set")
     large = large.withColumn("part", F.when(F.col("big"), F.col("part")).otherwise(F.lit(MIXED).cast("long"))).drop("own", "big")
-    large = cut_lineage(leaves_of(large, ["block", "part"]))
+    large = leaves_of(large, ["block", "part"]).select("set", "part", "leaf")
+    large = cut_lineage(sets.drop("leaf").join(large, "set").dropDuplicates(["set"]))
     pairs = cut_lineage(tree_pairs(large, percent))
     side = lambda p, i: pairs.select("block", F.col(p).alias("part"), F.col(i).alias("leaf"), "part_i", "i", "part_j", "j")
-    sent = large.join(side("part_i", "i").union(side("part_j", "j")), ["block", "part", "leaf"])
-    second = forest(sent, ["block", "part_i", "i", "part_j", "j"], percent)
-    if pairs.limit(1).count() == 0:
-        return parts
-    return components(first.union(second)).toDF("set", "part")
+    sides = side("part_i", "i").union(side("part_j", "j"))
+    keys = ["block", "part_i", "i", "part_j", "j"]
+    # Bitmaps are sent first, shingles only of sets that may have a partner by these.
+    live = cut_lineage(partnered(with_bitmaps(large).join(sides, ["block", "part", "leaf"]), keys, percent))
+    second = forest(large.select("set", "shingles").join(live, "set"), keys, percent)
+    return components(alone.union(first).union(second)).toDF("set", "part")
 
 
 #: The same by brute force: all pairs that share a shingle, and everything reachable.

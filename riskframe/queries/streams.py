@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.operators import monitor as mo
 from riskframe.queries.base import query
 from riskframe.session import scratch_folder
-from riskframe.streaming import events as ev, run, state
+from riskframe.streaming import events as ev, regime_log, run
 
 
 def source(t, name: str):
@@ -52,9 +53,8 @@ def _(t):
     return run.drain(ev.dedup(twice, "1 hour", ("symbol", "ts", "event_id")))
 
 
-@query("stream_regime_changes", "I5 I12", "series_id:s ts:t from_regime:i to_regime:i switches:i kept:i", "", f"""
-WITH l AS (SELECT event_type AS series_id, ts, event_id, CASE WHEN value < 20 THEN 0 WHEN value < 60 THEN 1 ELSE 2 END AS r FROM events
-    WHERE ts < {LATE.format(delay='10 MINUTE')}),
+@query("stream_regime_changes", "I5 I12", "series_id:s ts:t from_regime:i to_regime:i switches:i kept:i", "", """
+WITH l AS (SELECT event_type AS series_id, ts, event_id, CASE WHEN value < 20 THEN 0 WHEN value < 60 THEN 1 ELSE 2 END AS r FROM events),
   c AS (SELECT *, lag(r) OVER (PARTITION BY series_id ORDER BY ts, event_id) AS p FROM l)
 SELECT series_id, ts, p AS from_regime, r AS to_regime, row_number() OVER w AS switches, least(100, row_number() OVER w) AS kept FROM c WHERE p <> r
 WINDOW w AS (PARTITION BY series_id ORDER BY ts, event_id)""")
@@ -62,7 +62,7 @@ def _(t):
     price = F.col("price")
     labels = ticks(t).select(F.col("symbol").alias("series_id"), "ts", F.col("event_id").alias("tie"),
                              F.when(price < 20, 0).when(price < 60, 1).otherwise(2).alias("regime"), F.lit(0.8).alias("confidence"))
-    return run.drain(state.regime_changes(labels)).withColumn("kept", F.size("recent"))
+    return regime_log.drain_regime_changes(labels).withColumn("kept", F.size("recent"))
 
 
 @query("stream_client_sessions", "I7", "client_id:s connected_at:t dropped_at:t heartbeats:i", "", f"""
@@ -140,15 +140,53 @@ def _(t):
     return alerts.where(F.col("batch") == alerts.agg(F.max("batch")).scalar())  # what holds after the last update
 
 
-@query("stream_model_refresh", "I11", "regime:i persistence")
+def landed(t, folder: str, part: str) -> None:
+    """Land the events of the eighths ``part`` (a condition) as one file each, in order of time."""
+    e = t.read("events")
+    edges = e.agg(F.percentile("event_id", F.lit([i / 8 for i in range(1, 8)]))).first()[0]  # seven numbers
+    eighth = sum((F.col("event_id") > q).cast("int") for q in edges).alias("eighth")
+    e = e.select("*", eighth).where(part)
+    for i in sorted(r[0] for r in e.select("eighth").distinct().collect()):
+        e.where(F.col("eighth") == i).drop("eighth").coalesce(1).write.mode("append").parquet(folder)
+
+
+def refreshed(t, refit, after: int = 3) -> DataFrame:
+    """The model after eight files, one for each trigger, refitted after each ``after`` of them, with a restart after the fifth;
+    from the table of models."""
+    folder = scratch_folder(t.spark, "refresh")
+    for part in ("eighth < 5", "eighth >= 5"):
+        landed(t, f"{folder}/in", part)
+        stream = t.spark.readStream.schema(t.read("events").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        run.start(stream, run.refresh_handler(f"{folder}/out", after, refit, after), f"{folder}/state").awaitTermination()
+    return run.latest_model(t.spark, f"{folder}/out")
+
+
+@query("stream_model_refresh", "I11", "regime:i persistence converged:b")
 def _(t):
     from riskframe.operators.hmm import HiddenMarkov
-    folder, fitted = scratch_folder(t.spark, "refresh"), []
-    prices = ticks(t).select(F.lit("all").alias("series_id"), F.struct("ts", "event_id").alias("ts"), "symbol", F.log("price").alias("x"))
 
     def refit(buffer):
-        hourly = buffer.groupBy(F.col("symbol").alias("series_id"), F.date_trunc("hour", "ts.ts").alias("h")).agg(F.avg("x").alias("x"))
-        fitted.append(HiddenMarkov(["x"], "series_id", "h", states=2, n_iter=4).fit(hourly))
+        hourly = buffer.groupBy(F.col("event_type").alias("series_id"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("h")).agg(
+            F.avg(F.log("value")).alias("x"))
+        model = HiddenMarkov(["x"], "series_id", "h", states=2, n_iter=100, tol=0.05).fit(hourly)
+        return model.parameters(t.benchmark).withColumn("converged", F.lit(bool(model.converged)))
+
+    return refreshed(t, refit)
+
+
+@query("stream_refreshed_transitions", "I11", "from_regime:i to_regime:i count:i probability version:i", "", """
+WITH q AS (SELECT quantile_cont(event_id, 3 / 8.0) AS lo, quantile_cont(event_id, 6 / 8.0) AS hi FROM events),
+  l AS (SELECT event_type, ts, event_id, CASE WHEN value < 20 THEN 0 WHEN value < 60 THEN 1 ELSE 2 END AS r FROM events, q WHERE event_id > lo AND event_id <= hi),
+  p AS (SELECT r AS from_regime, lead(r) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS to_regime FROM l),
+  c AS (SELECT from_regime, to_regime, count(*) AS n FROM p WHERE to_regime IS NOT NULL GROUP BY ALL)
+SELECT from_regime, to_regime, n AS count, n / sum(n) OVER (PARTITION BY from_regime) AS probability, 5 AS version FROM c""")
+def _(t):
+    from riskframe.operators.regime import transition_matrix
+
+    def refit(buffer):
+        value = F.col("value")
+        labels = buffer.select("event_type", F.struct("ts", "event_id").alias("at"), F.when(value < 20, 0).when(value < 60, 1).otherwise(2).alias("regime"))
+        counts = transition_matrix(labels, ["event_type"], ts="at").groupBy("from_regime", "to_regime").agg(F.sum("count").alias("count"))
+        return counts.withColumn("probability", F.col("count") / F.sum("count").over(Window.partitionBy("from_regime")))
 
-    run.start(prices, run.refresh_handler(f"{folder}/out", 1, refit), f"{folder}/state").awaitTermination()
-    return fitted[-1].parameters(t.benchmark)
+    return refreshed(t, refit)

@@ -84,16 +84,26 @@ def risk_alert_handler(spark: SparkSession, limits: DataFrame, folder: str, retu
     return handle
 
 
-def refresh_handler(folder: str, after: int, refit: Callable[[DataFrame], None]) -> Handler:
-    """Buffer every batch as a table and refit on the last ``after`` batches once that many have come."""
+def refresh_handler(folder: str, after: int, refit: Callable[[DataFrame], DataFrame | None], every: int = 1) -> Handler:
+    """Buffer every batch as a table and refit on the last ``after`` batches once that many have come, and then at each
+    ``every``-th batch.  The table that
+    ``refit`` returns, if any, is the model: it is written as one version for each batch, so a repeated batch overwrites its own version."""
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
-        if batch_id + 1 >= after:
+        if batch_id + 1 >= after and (batch_id + 1 - after) % every == 0:
             wanted = [f"{folder}/batch={i}" for i in range(batch_id + 1 - after, batch_id + 1)]
-            refit(batch.sparkSession.read.parquet(*wanted))
+            model = refit(batch.sparkSession.read.parquet(*wanted))
+            if model is not None:
+                model.write.mode("overwrite").parquet(f"{folder.rstrip('/')}-models/version={batch_id}")
     return handle
 
 
+def latest_model(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest model that ``refresh_handler`` wrote for ``folder``, with its ``version``; also after a restart."""
+    models = spark.read.parquet(f"{folder.rstrip('/')}-models")
+    return models.where(F.col("version") == models.agg(F.max("version")).scalar())
+
+
 class StatusListener(StreamingQueryListener):
     """Uptime, batches and rows of the running streams from their progress events."""
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from riskframe.operators import monitor, topk
 from riskframe.sources import cache, readers, sinks
-from riskframe.streaming import events as ev, run, state
+from riskframe.streaming import events as ev, regime_log, run, state
 
 
 def stamp(minute, day=1):
@@ -142,6 +142,46 @@ def test_regime_changes_do_not_depend_on_files_or_triggers(spark, tmp_path, file
         assert mine["switches"].tolist() == list(range(1, len(want) + 1)) and len(mine["recent"].iloc[-1]) == 100
 
 
+def changes_of(rows):
+    whole = rows.sort_values(["ts", "tie"])
+    return whole[(whole["regime"] != whole["regime"].shift()) & whole["regime"].shift().notna()]
+
+
+@pytest.mark.parametrize("files_at_once,shuffled", [(None, False), (None, True), (1, True)])
+def test_logged_regime_changes_lose_nothing(spark, tmp_path, files_at_once, shuffled):
+    rows = label_rows(9000)
+    rows = pd.concat([rows, rows[rows["series_id"] == "A"].iloc[:4000].assign(series_id="C", ts=pd.Timestamp("2024-02-01"))])  # one moment
+    mixed = rows.sample(frac=1, random_state=3) if shuffled else rows
+    folder = land_labels(mixed, tmp_path / "labels", 8 if shuffled else 1)
+    reader = spark.readStream.schema("series_id string, ts timestamp, tie bigint, regime int, confidence double")
+    reader = reader.option("maxFilesPerTrigger", files_at_once) if files_at_once else reader
+    got = regime_log.drain_regime_changes(reader.parquet(folder), "10 minutes").toPandas()
+    for series, whole in rows.groupby("series_id"):
+        want, mine = changes_of(whole), got[got["series_id"] == series].sort_values("switches")
+        assert len(want) > 2000 and mine["ts"].tolist() == want["ts"].tolist() and mine["to_regime"].tolist() == want["regime"].tolist()
+        assert mine["switches"].tolist() == list(range(1, len(want) + 1))
+        assert all(list(r) == want["regime"].iloc[max(0, i - 99):i + 1].tolist() for i, r in list(enumerate(mine["recent"]))[::977])
+    assert len(got) == sum(len(changes_of(w)) for _, w in rows.groupby("series_id"))
+
+
+def test_models_survive_a_restart_and_a_repeated_batch(spark, tmp_path):
+    def refit(buffer):
+        return buffer.agg(F.count("*").alias("n"), F.max("price").alias("most"))
+
+    handler = run.refresh_handler(str(tmp_path / "out"), 3, refit)
+    for i in range(6):
+        land(spark, str(tmp_path / "in"), i, [("A", stamp(i), float(i), 1, "s")] * (i + 1))
+        if i in (3, 5):
+            run.start(feed(spark, str(tmp_path / "in")), handler, str(tmp_path / "state")).awaitTermination()
+    again = feed(spark, str(tmp_path / "in"))
+    run.start(again, run.refresh_handler(str(tmp_path / "out"), 3, refit), str(tmp_path / "state")).awaitTermination()
+    model = run.latest_model(spark, str(tmp_path / "out")).collect()
+    assert [(r.version, r.n, r.most) for r in model] == [(5, 15, 5.0)]
+    handler(spark.read.parquet(str(tmp_path / "in" / "b5")), 5)
+    every = spark.read.parquet(str(tmp_path / "out-models"))
+    assert sorted((r.version, r.n) for r in every.collect()) == [(2, 6), (3, 9), (4, 12), (5, 15)]
+
+
 def test_risk_alerts_follow_the_merged_portfolio(spark, tmp_path):
     rng = np.random.default_rng(7)
     rows = pd.DataFrame({"portfolio_id": "p", "symbol": [f"s{i % 4}" for i in range(40)], "weight": rng.random(40) * 0.4,

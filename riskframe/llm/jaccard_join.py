@@ -144,21 +144,29 @@ def bucket_counts(rows: DataFrame, words: int, bits: int) -> np.ndarray:
             found, _ = shingle_sets(batch.column("text"), words)
             np.add(total, np.bincount((found >> _U(64 - bits)).astype(np.int64), minlength=1 << bits), out=total, casting="unsafe")
         if total.any():
-            # Half precision in the square root keeps a piece small and large counts apart.
+            # Half precision in the square root keeps a piece small and large counts apart; of a small task only what it counted is sent.
             parts = np.split(np.sqrt(total).astype(np.float16), pieces)
-            yield record_batch(piece=pa.array(range(pieces), pa.int32()), n=pa.array([x.tobytes() for x in parts], pa.binary()))
+            where = [np.flatnonzero(x).astype(np.uint16) for x in parts]
+            some = [2 * len(w) < len(x) for w, x in zip(where, parts)]
+            yield record_batch(piece=pa.array(range(pieces), pa.int32()),
+                               at=pa.array([w.tobytes() if few else None for w, few in zip(where, some)], pa.binary()),
+                               n=pa.array([(x[w] if few else x).tobytes() for x, w, few in zip(parts, where, some)], pa.binary()))
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for piece, n in zip(batch.column("piece").to_pylist(), batch.column("n")):
+            for piece, at, n in zip(batch.column("piece").to_pylist(), batch.column("at").to_pylist(), batch.column("n")):
                 part = np.frombuffer(n.as_buffer(), np.float16).astype(np.float64) ** 2
-                sums[piece] = sums[piece] + part if piece in sums else part
+                total = sums.setdefault(piece, np.zeros((1 << bits) // pieces))
+                if at is None:
+                    total += part
+                else:
+                    total[np.frombuffer(at, np.uint16)] += part
         for piece, n in sums.items():
             scaled = np.minimum(np.rint(6 * np.log2(1 + n)), 255).astype(np.uint8)
             yield record_batch(piece=pa.array([piece], pa.int32()), n=pa.array([scaled.tobytes()], pa.binary()))
 
-    counted = rows.select("text").mapInArrow(count, "piece int, n binary").repartition(pieces, "piece")
+    counted = rows.select("text").mapInArrow(count, "piece int, at binary, n binary").repartition(pieces, "piece")
     table_ = np.zeros((pieces, (1 << bits) // pieces), np.uint8)
     for piece, n in counted.mapInArrow(add, "piece int, n binary").collect():
         table_[piece] = np.frombuffer(n, np.uint8)

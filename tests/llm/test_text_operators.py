@@ -43,6 +43,17 @@ def test_join(docs, spark, monkeypatch, k, percent, leaf):
     assert got == brute_join([(r.doc_id, r.text) for r in table.collect()], k, percent)
 
 
+@pytest.mark.parametrize("bits,tasks", [(8, 1), (14, 4)])
+def test_bucket_counts(spark, docs, bits, tasks):
+    rows = docs.select("text").repartition(tasks)
+    found = jaccard_join.bucket_counts(rows, 3, bits)
+    each = np.zeros(1 << bits)
+    for r in rows.collect():
+        for h in jaccard_join.shingle_sets(__import__("pyarrow").array([r.text]), 3)[0]:
+            each[int(h) >> (64 - bits)] += 1
+    assert len(found) == 1 << bits and np.abs(found - 6 * np.log2(1 + each)).max() < 1
+
+
 def test_join_of_nothing(nothing):
     assert jaccard_join.join(nothing, 3, 90).count() == 0
 

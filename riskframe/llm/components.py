@@ -7,6 +7,16 @@ from pyspark.sql import functions as F
 
 from riskframe.session import cut_lineage
 
+#: Rows of a few numbers that one task holds easily (2 MB of links).
+SMALL = 1 << 17
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """A checkpointed table of narrow rows: in one partition, where nothing needs a shuffle any more, if it has at most
+    ``SMALL`` rows, and as it is otherwise.  So the number of tasks follows the rows, whatever the session's number of partitions."""
+    df = cut_lineage(df)
+    return df.coalesce(1) if df.count() <= SMALL else df
+
 
 def components(links: DataFrame) -> DataFrame:
     """``(node, component)`` for each node of the links ``(a long, b long)``; a component is its smallest node.
@@ -15,10 +25,10 @@ def components(links: DataFrame) -> DataFrame:
     smallest one, until nothing moves.  Smallest neighbours are aggregated before they are shuffled; where they meet
     the links, the links of one node may be any share of all: adaptive execution splits them, as the other side
     has one row for each node.  The number of rounds grows with the
-    logarithm of the number of nodes; each is cut by a checkpoint.
+    logarithm of the number of nodes; each is cut by a checkpoint.  Few links stay in one partition (``gathered``).
     """
     links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links, state = cut_lineage(links), None
+    links, state = gathered(links), None
     while True:
         # Large star: larger neighbours of u, to the smallest of u and its neighbours.
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a"))
@@ -28,8 +38,8 @@ def components(links: DataFrame) -> DataFrame:
         # Small star: u and its smaller neighbours, to the smallest.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
-        links = cut_lineage(small.select(F.col("b").alias("x"), "m").union(small.select("a", "m")).where("x <> m").distinct()
-                            .toDF("a", "b"))
+        links = gathered(small.select(F.col("b").alias("x"), "m").union(small.select("a", "m")).where("x <> m").distinct()
+                         .toDF("a", "b"))
         # Done when every node has one link, and no target has a link of its own: then the sum repeats.
         now = tuple(links.agg(F.count(F.lit(1)), F.countDistinct("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state or (now[0] == now[1] and links.select("b").distinct().join(

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.llm.batches import bounded, record_batch
-from riskframe.llm.components import components
+from riskframe.llm.components import components, gathered
 from riskframe.llm.markov_lm import words_of
 from riskframe.llm.registry import llm_query, table
 from riskframe.llm.skew import salted_join
@@ -572,10 +572,10 @@ def blocks_of(rows: DataFrame, nodes: DataFrame, words: int, percent: int) -> Da
     while True:
         bits = min(MOST_BITS, max(12, int(shingles // 32).bit_length()))
         keys = 2 * shingles * (100 - percent) // 100
-        links = cut_lineage(candidate_links(own, words, percent, max(12, keys // BUCKET_KEYS), bucket_counts(own, words, bits)))
-        blocks = cut_lineage(components(links).toDF("set", "block").join(nodes.select("set", "rep", "n"), "set"))
+        links = gathered(candidate_links(own, words, percent, max(12, keys // BUCKET_KEYS), bucket_counts(own, words, bits)))
+        blocks = gathered(components(links).toDF("set", "block").join(nodes.select("set", "rep", "n"), "set"))
         big = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > LEAF).select("block", F.lit(True).alias("big"))
-        blocks = cut_lineage(salted_join(blocks, big, ["block"], "set"))
+        blocks = gathered(salted_join(blocks, big, ["block"], "set"))
         many, shingles = blocks.where("big").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
         if many == 0 or many > 0.8 * before:
             parts.append(blocks.drop("big"))
@@ -592,7 +592,7 @@ def blocks_of(rows: DataFrame, nodes: DataFrame, words: int, percent: int) -> Da
 
 def link_sets(rows: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
     """``(set, part)`` of the sets that link with another: ``part`` is the smallest set it is tied to."""
-    wanted = cut_lineage(leaves_of(blocks_of(rows, nodes, words, percent), ["block"]))
+    wanted = gathered(leaves_of(blocks_of(rows, nodes, words, percent), ["block"]))
 
     def sets_of(batches):
         for batch in bounded(batches, "text", 4 << 20, 4096):
@@ -608,7 +608,7 @@ def link_sets(rows: DataFrame, nodes: DataFrame, words: int, percent: int) -> Da
     def read(some):
         return texts_of(rows, some, ["block", "leaf", "set"]).mapInArrow(sets_of, "block long, leaf long, set long, n long, shingles binary")
 
-    alone = cut_lineage(forest(read(wanted.where("leaf < 0")), ["block"], percent))
+    alone = gathered(forest(read(wanted.where("leaf < 0")), ["block"], percent))
     if wanted.where("leaf >= 0").limit(1).count() == 0:
         return components(alone).toDF("set", "part")
 
@@ -619,7 +619,7 @@ def link_sets(rows: DataFrame, nodes: DataFrame, words: int, percent: int) -> Da
         "block", F.explode("p").alias("set"))
     pivots = sets.join(pivots, ["block", "set"]).drop("leaf").dropDuplicates(["set"]).join(
         leaves.select("block", "leaf"), "block").select("block", "leaf", "set", "shingles")
-    first = cut_lineage(forest(sets.select("block", "leaf", "set", "shingles").union(pivots), ["block", "leaf"], percent))
+    first = gathered(forest(sets.select("block", "leaf", "set", "shingles").union(pivots), ["block", "leaf"], percent))
 
     # Parts that are still apart.
     parts = components(first).toDF("set", "part")
@@ -632,12 +632,12 @@ def link_sets(rows: DataFrame, nodes: DataFrame, words: int, percent: int) -> Da
     large = large.withColumn("part", F.when(F.col("big"), F.col("part")).otherwise(F.lit(MIXED).cast("long"))).drop("own", "big")
     large = leaves_of(large, ["block", "part"]).select("set", "part", "leaf")
     large = cut_lineage(sets.drop("leaf").join(large, "set").dropDuplicates(["set"]))
-    pairs = cut_lineage(tree_pairs(large, percent))
+    pairs = gathered(tree_pairs(large, percent))
     side = lambda p, i: pairs.select("block", F.col(p).alias("part"), F.col(i).alias("leaf"), "part_i", "i", "part_j", "j")
     sides = side("part_i", "i").union(side("part_j", "j"))
     keys = ["block", "part_i", "i", "part_j", "j"]
     # Bitmaps are sent first, shingles only of sets that may have a partner by these.
-    live = cut_lineage(partnered(with_bitmaps(large).join(sides, ["block", "part", "leaf"]), keys, percent))
+    live = gathered(partnered(with_bitmaps(large).join(sides, ["block", "part", "leaf"]), keys, percent))
     second = forest(large.select("set", "shingles").join(live, "set"), keys, percent)
     return components(alone.union(first).union(second)).toDF("set", "part")
 

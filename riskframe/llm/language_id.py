@@ -5,7 +5,11 @@ Four kinds of evidence make one posterior over languages:
 * the text: letter trigrams under each language, multinomial, counted over all texts that declare a language;
 * the declared markup language: how often texts that read like a language declare each tag;
 * the address suffix and the host: shares of languages, smoothed from all rows to the suffix to the host, so
-  that a host with few rows leans on its suffix.  A row's own reading is taken out of its host's share.
+  that a host with few rows leans on its suffix.
+
+No row confirms itself: its trigrams are taken out of the language it declares before it is scored, its reading out
+of its host's share.  A language's trigrams are smoothed with a fixed share of those of all rows and weigh the less the
+fewer other rows declare it, so a stray tag fits neither its own text nor others, and a language of a few rows does.
 
 A text may also fit none of the languages.  Its background has all trigrams equally likely, or as unlikely as those of
 the text at the ``LEAST_FIT`` quantile of the rows that declare the language it reads like, whichever is less.
@@ -30,8 +34,10 @@ from riskframe.session import cut_lineage
 
 #: Buckets of trigrams, by hash.
 BUCKETS = 1 << 14
-#: What a trigram counts for that a language has not: little, or a language of few texts would fit every text.
-UNSEEN = 0.02
+#: Share of all rows' trigrams in those of each language.
+SMOOTHING = 0.1
+#: Rows a language needs for half of its weight.
+HALF_ROWS = 10.0
 #: Prior of a text that fits no language, and the share of a language's declared texts that may fit it worse.
 NONE, LEAST_FIT = 0.01, 0.01
 #: Overlapping trigrams count each letter three times: what a text says is divided by so much.
@@ -68,11 +74,12 @@ def languages_of(rows: DataFrame) -> list[str]:
     return sorted(r[0] for r in rows.where("declared IS NOT NULL").select("declared").distinct().collect())
 
 
-def text_model(rows: DataFrame, languages: list[str]) -> np.ndarray:
-    """log probabilities, languages x trigram buckets."""
+def text_counts(rows: DataFrame, languages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Trigrams by language and bucket, and rows with trigrams by language."""
+    size = len(languages) * BUCKETS
 
     def run(batches):
-        sums = {}
+        sums, rows_of = {}, np.zeros(len(languages), np.int64)
         place = pa.array(languages, pa.string())
         for batch in bounded(batches, "text", 4 << 20, 8192):
             known = pc.index_in(batch.column("declared"), value_set=place)
@@ -84,31 +91,52 @@ def text_model(rows: DataFrame, languages: list[str]) -> np.ndarray:
             each = np.bincount(np.searchsorted(here, language[some]) * BUCKETS + bucket[some], minlength=len(here) * BUCKETS)
             for i, row in zip(here.tolist(), each.reshape(-1, BUCKETS)):
                 sums[i] = sums[i] + row if i in sums else row.copy()
+            np.add.at(rows_of, at[np.unique(doc[some])], 1)
         for i, row in sums.items():
             where = np.flatnonzero(row)
             yield record_batch(i=pa.array(i * BUCKETS + where, pa.int64()), n=pa.array(row[where]))
+        yield record_batch(i=pa.array(size + np.arange(len(languages)), pa.int64()), n=pa.array(rows_of))
 
-    counts = np.zeros(len(languages) * BUCKETS)
     found = rows.select("declared", "text").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n"))
-    found = found.toArrow()  # languages x BUCKETS rows at most
+    found = found.toArrow()  # languages x (BUCKETS + 1) rows at most
+    counts = np.zeros(size + len(languages))
     counts[found["i"].to_numpy()] = found["n"].to_numpy()
-    counts = counts.reshape(len(languages), BUCKETS) + UNSEEN
-    return np.log(counts / counts.sum(axis=1, keepdims=True))
+    return counts[:size].reshape(-1, BUCKETS), counts[size:]
+
 
+def log_model(counts: np.ndarray, rows_of: np.ndarray, total: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """log weights of trigrams that a language (of so many rows and trigrams in ``total``) has ``counts`` times."""
+    weight = (1 - SMOOTHING) * rows_of / (rows_of + HALF_ROWS) / np.maximum(total, 1)
+    return np.log(counts * weight + SMOOTHING * common)
 
-def read_texts(rows: DataFrame, model: np.ndarray) -> DataFrame:
-    """Rows without text, but with ``reading`` (log-likelihood by language) and ``letters`` (trigrams seen)."""
-    shared = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(model))
+
+def read_texts(rows: DataFrame, languages: list[str], counts: np.ndarray, rows_of: np.ndarray) -> DataFrame:
+    """Rows without text, but with ``reading`` (log-likelihood by language, the declared one without this text) and
+    ``letters`` (trigrams seen)."""
+    common = counts.sum(axis=0) + 1.0
+    common /= common.sum()
+    totals = counts.sum(axis=1)
+    shared = rows.sparkSession.sparkContext.broadcast((np.ascontiguousarray(counts), rows_of, totals, common))
     names = [c for c in rows.columns if c != "text"]
 
     def run(batches):
-        logs = shared.value
+        counts, rows_of, totals, common = shared.value
+        logs = log_model(counts, rows_of[:, None], totals[:, None], common)
+        place = pa.array(languages, pa.string())
         for batch in bounded(batches, "text", 4 << 20, 8192):
             bucket, doc = trigrams(batch.column("text"))
             n = len(batch.column("text"))
-            each = np.stack([np.bincount(doc, row[bucket], n) for row in logs], axis=1) / OVERLAP
-            yield record_batch(**{c: batch.column(c) for c in names}, reading=pa.array(each.tolist(), pa.list_(pa.float64())),
-                               letters=pa.array(np.bincount(doc, minlength=n).astype(np.int64)))
+            each = np.stack([np.bincount(doc, row[bucket], n) for row in logs], axis=1)
+            letters = np.bincount(doc, minlength=n).astype(np.int64)
+            at = np.asarray(pc.fill_null(pc.index_in(batch.column("declared"), value_set=place), -1))
+            key, times = np.unique((doc * BUCKETS + bucket)[at[doc] >= 0], return_counts=True)
+            of, seen = key // BUCKETS, key % BUCKETS
+            own = at[of]
+            without = log_model(counts[own, seen] - times, rows_of[own] - 1, totals[own] - letters[of], common[seen])
+            some = np.flatnonzero(at >= 0)
+            each[some, at[some]] = np.bincount(of, times * without, n)[some]
+            yield record_batch(**{c: batch.column(c) for c in names},
+                               reading=pa.array((each / OVERLAP).tolist(), pa.list_(pa.float64())), letters=pa.array(letters))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
     return rows.mapInArrow(run, f"{schema}, reading array<double>, letters long")
@@ -126,7 +154,7 @@ def identify(rows: DataFrame, least: float = 0.5) -> DataFrame:
     A row is accepted if its text has letters and the posterior of ``lang`` is at least ``least``; the posterior that
     the text fits no known language counts against it.  Null and empty
     texts have no letters: they get the language that the other evidence favours, and are not accepted.  Null
-    declarations, hosts and suffixes count as none.  Repeated rows count each; an empty table, or one that
+    declarations, hosts and suffixes count as none.  Repeated rows count each, so a tag that copies share is theirs; an empty table, or one that
     declares no language, gives rows with null ``lang`` that are not accepted.
     """
     rows = rows.withColumns({"host": F.coalesce("host", F.lit("")), "suffix": F.coalesce("suffix", F.lit("")),
@@ -137,7 +165,7 @@ def identify(rows: DataFrame, least: float = 0.5) -> DataFrame:
         return rows.drop("text", "host", "suffix").withColumns({
             "lang": null, "probability": F.lit(None).cast("double"), "text_lang": null, "accepted": F.lit(False)})
     n = len(languages)
-    rows = read_texts(rows, text_model(rows, languages)).withColumn("first", best("reading"))
+    rows = read_texts(rows, languages, *text_counts(rows, languages)).withColumn("first", best("reading"))
     tags = rows.sparkSession.createDataFrame([(x, i + 1) for i, x in enumerate(languages)], "declared string, tag int")
     rows = rows.join(F.broadcast(tags), "declared", "left").withColumn("tag", F.coalesce("tag", F.lit(0)))
     rows = rows.withColumn("fit", F.array_max("reading") + F.col("letters") * (np.log(BUCKETS) / OVERLAP))  # over equal trigrams
@@ -146,7 +174,7 @@ def identify(rows: DataFrame, least: float = 0.5) -> DataFrame:
 
     counts = rows.where("letters > 0").groupBy("suffix", "host", "first", "tag").agg(F.count(F.lit(1)).alias("n"))
     # Declared tag (0: none or unknown) by reading: at most languages x (languages + 1) rows.
-    table_ = np.full((n, n + 1), 1.0)
+    table_ = np.full((n, n + 1), 1.0 / (n + 1))
     for first, tag, times in counts.groupBy("first", "tag").agg(F.sum("n")).collect():
         table_[first, tag] += times
     overall = (table_.sum(axis=1) / table_.sum()).tolist()

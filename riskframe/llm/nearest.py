@@ -5,8 +5,9 @@ one tile of the score matrix and one group of the join.  In a tile, vectors are
 their own.  The product of the int8 matrices gives every score with a proven error bound, and with it, for each
 query, a lower bound of its k-th best score in the tile; pairs whose upper bound lies below are discarded.  The
 pairs that survive are computed again in double precision from the original vectors, and a heap keeps each
-query's k best of the tile.  Tiles send at most k pairs a query, which a second heap merges.  The result is
-exact: bounds only spare work.
+query's k best of the tile.  Tiles send at most k pairs a query; heaps merge them by ``FAN`` candidate blocks at a
+time, level by level, so a group never holds more than a query block's best of ``FAN`` blocks.  The result is exact:
+bounds only spare work.
 
 Blocks are dealt by a hash of the id, so equal vectors spread over all blocks.  A stated query set against all
 rows needs all tiles: candidates are sent once for each query block and queries once for each candidate block.
@@ -25,8 +26,12 @@ from riskframe.llm.registry import llm_query, table
 
 #: Rows of a block on either side; a task holds one block of each.
 QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 4096
+#: Candidate blocks whose best are merged at a time.
+FAN = 16
 #: Queries of a tile that are multiplied at a time.
 STRIP = 256
+#: Best pairs, with the tile they are of.
+BEST = "query_id long, id long, score double, d int, q int, c int"
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -97,20 +102,31 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 20, id: str = "ve
     left = left.select("id", "v", F.size("v").alias("d"), block(q_blocks).alias("q"), every(c_blocks).alias("c"))
     right = right.select("id", "v", F.size("v").alias("d"), block(c_blocks).alias("c"), every(q_blocks).alias("q"))
 
-    def join(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+    def join(group: tuple, one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(one) and len(other):
             rows = tile(one["id"].to_numpy(), np.stack(one["v"].to_numpy()).astype(np.float64),
                         other["id"].to_numpy(), np.stack(other["v"].to_numpy()).astype(np.float64), k)
-        return pd.DataFrame(rows, columns=["query_id", "id", "score"]).astype({"query_id": "int64", "id": "int64", "score": "float64"})
-
-    tiles = left.groupBy("d", "q", "c").cogroup(right.groupBy("d", "q", "c")).applyInPandas(
-        join, "query_id long, id long, score double")
-    # At most k rows a query and tile.
-    best = tiles.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct(
-        (-F.col("score")).alias("far"), "id"))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("rank", "b")).select(
-        "query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.id").alias(id), (-F.col("b.far")).alias("score"))
+        out = pd.DataFrame(rows, columns=["query_id", "id", "score"]).astype({"query_id": "int64", "id": "int64", "score": "float64"})
+        return out.assign(d=group[0], q=group[1], c=group[2])
+
+    best = left.groupBy("d", "q", "c").cogroup(right.groupBy("d", "q", "c")).applyInPandas(join, BEST)
+
+    def merge(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for query, part in rows.groupby("query_id", sort=False):
+            nearest = heapq.nsmallest(k, zip((-part["score"]).tolist(), part["id"].tolist()))
+            out += [(query, id_, -far, *group, rank) for rank, (far, id_) in enumerate(nearest, 1)]
+        return pd.DataFrame(out, columns=["query_id", "id", "score", "d", "q", "c", "rank"])
+
+    blocks = c_blocks
+    while True:
+        blocks = -(-blocks // FAN)
+        best = best.withColumn("c", F.floor(F.col("c") / FAN).cast("int")).groupBy("d", "q", "c").applyInPandas(
+            merge, BEST + ", rank int")
+        if blocks == 1:
+            return best.select("query_id", "rank", F.col("id").alias(id), "score")
+        best = best.drop("rank")
 
 
 @llm_query("op4_block_matrix_neighbours")

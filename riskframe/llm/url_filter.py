@@ -2,9 +2,11 @@
 
 Features are SQL expressions over the url: lengths, depth, digit ratio, character entropy, parameter counts, and
 statistics of the host's suffix.  Suffix statistics are grouped aggregates over all urls: how many urls have the
-suffix, and which share of its labelled urls is blocked, smoothed towards the share of all.  Training labels
-are given, or the verdicts of the rules.  The trees are fitted by ``pyspark.ml`` on a bounded sample of labelled
-urls (``SAMPLE``); everything else covers all urls.  No Python runs on the executors.
+suffix (as a power of two), and which share of its judgements blocks, smoothed towards the share of all.  Training
+labels are given, or the verdicts of the rules.  All urls that one rule labels, or whose labels are given and whose host
+is the same, are one judgement; a url meets the share without the judgements of its own fold (``FOLDS``), and in
+steps of a tenth, so neither its own label nor a lone rule shows in it.  The trees are fitted by ``pyspark.ml`` on a
+bounded sample of labelled rows (``SAMPLE``); everything else covers all urls.  No Python runs on the executors.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ from riskframe.session import cut_lineage
 
 #: (verdict, host, path) of the rules (fixed values).
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-#: Labelled urls that the trees are fitted on, about; taken by a hash of the url.
+#: Labelled rows that the trees are fitted on, about; taken by a hash of the row, so repeated urls are sampled too.
 SAMPLE = 50_000
-#: Weight of the overall share in a suffix's share, in urls.
-SMOOTHING = 20.0
+#: Weight of the overall share in a suffix's share, in judgements, and folds of judgements.
+SMOOTHING, FOLDS = 20.0, 8
 FEATURES = ["length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "parameters", "query_length",
             "has_fragment", "hyphens", "odd_ratio", "suffix_urls", "suffix_blocked"]
 
@@ -85,22 +87,28 @@ def xlog(n):
     return F.when(n > 0, n * F.log2(n)).otherwise(F.lit(0.0))
 
 
-def with_suffix_statistics(urls: DataFrame, label: str) -> DataFrame:
+def with_suffix_statistics(urls: DataFrame, label: str, judgement: str) -> DataFrame:
     """Adds ``suffix_urls`` and ``suffix_blocked`` from ``label`` (1 blocked, 0 allowed, null unknown).
 
     The statistics of a suffix meet its urls over salted keys, so a suffix may hold any share of them.
     """
     salts = 16
-    stats = urls.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.count(label).alias("labelled"),
-                                       F.sum(label).alias("blocked"))
-    all_ = stats.agg((F.sum("blocked") / F.sum("labelled")).alias("share"))
-    share = F.coalesce(all_.scalar(), F.lit(0.5))
+    fold = F.pmod(F.xxhash64(judgement), F.lit(FOLDS)).cast("int")
+    each = urls.groupBy("suffix", judgement).agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("blocked")).withColumn("fold", fold)
+    share = F.coalesce(urls.where(F.col(label).isNotNull()).groupBy("suffix", judgement).agg(F.avg(label).alias("blocked"))
+                       .agg(F.avg("blocked")).scalar(), F.lit(0.5))
+
+    def without(f):
+        blocked = F.when(F.col("fold") != f, F.col("blocked"))
+        return F.round((F.coalesce(F.sum(blocked), F.lit(0.0)) + SMOOTHING * F.first("share")) / (F.count(blocked) + SMOOTHING), 1)
+
+    stats = each.withColumn("share", share).groupBy("suffix").agg(
+        F.sum("n").alias("n"), F.array(*map(without, range(FOLDS))).alias("shares"))
     stats = stats.select(
-        "suffix", F.log2("n").alias("suffix_urls"),
-        ((F.coalesce("blocked", F.lit(0)) + SMOOTHING * share) / (F.col("labelled") + SMOOTHING)).alias("suffix_blocked"),
+        "suffix", "shares", F.floor(F.log2("n")).cast("double").alias("suffix_urls"),
         F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    return urls.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int")).join(
-        stats, ["suffix", "salt"]).drop("salt")
+    return (urls.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int")).join(stats, ["suffix", "salt"])
+            .withColumn("suffix_blocked", F.get("shares", fold)).drop("salt", "shares"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, label: str | None = None, sample: int = SAMPLE,
@@ -110,7 +118,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, label: st
 
     ``label`` names a column with 1 (block), 0 (allow) or null; by default the rules' verdicts are the labels.
     With labels of one kind only there is nothing to learn: the score is then that label, or 0 without labels.
-    Null urls and urls without '://' have empty host and path.  Null and repeated ids are kept, row by row; an
+    Null urls and urls without '://' have empty host and path, and those share a suffix.  Null and repeated ids are kept, row by row; an
     empty table gives an empty table; other columns are not read.
     """
     given = F.col(label).cast("int") if label else F.lit(None).cast("int")
@@ -119,10 +127,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, label: st
     rule, verdict = rule_of(rules)
     rows = parse(rows, "url").withColumns({"rule": rule, "ruled": verdict})
     target = F.col("given") if label else F.when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0)
-    rows = lexical(rows.withColumn("label", target.cast("double")), "url").drop("rest", "given")
+    judged = F.col("host") if label else F.coalesce("rule", "host")
+    rows = lexical(rows.withColumns({"label": target.cast("double"), "judgement": judged}), "url").drop("rest", "given")
     # The features are read by each round of the fit and again by the scores.
-    rows = cut_lineage(with_suffix_statistics(rows, "label").withColumns(
-        {f: F.coalesce(f, F.lit(0.0)) for f in FEATURES}).drop("suffix"))
+    rows = cut_lineage(with_suffix_statistics(rows, "label", "judgement").withColumns(
+        {f: F.coalesce(f, F.lit(0.0)) for f in FEATURES}).drop("suffix", "judgement"))
     n, blocked = rows.where("label IS NOT NULL").agg(F.count("label"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if 0 < blocked < n:
         model = fit(rows.where("label IS NOT NULL"), n, sample, seed)
@@ -135,12 +144,12 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, label: st
 
 
 def fit(labelled: DataFrame, n: int, sample: int, seed: int):
-    """Trees on about ``sample`` of the ``n`` labelled urls, by a hash of the url."""
+    """Trees on about ``sample`` of the ``n`` labelled rows, by a hash of the row."""
     part = min(1.0, sample / n)
-    some = labelled.where(F.pmod(F.xxhash64("url", F.lit(seed)), F.lit(1 << 20)) < F.lit(int(part * (1 << 20))))
+    some = labelled.where(F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(1 << 30)) < F.lit(int(part * (1 << 30))))
     some = some if part < 1 else labelled
-    data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(some.select(*FEATURES, "label")).select(
-        "features", "label")
+    some = cut_lineage(some.select(*FEATURES, "label"))  # read by each round
+    data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(some).select("features", "label")
     return GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.2, subsamplingRate=0.8, seed=seed).fit(data)
 
 

@@ -211,5 +211,38 @@ def test_rare_and_unknown_languages(spark):
     assert corpus_pipeline.language(spark, silent, "").count() == 6
 
 
+def test_stray_tags_do_not_confirm_themselves(spark):
+    col = __import__("pyspark").sql.functions.col
+    english = ("the house and tree of that which they have seen with their own children before winter came over hills where "
+               "nobody had ever walked without shoes since long ago when rivers were frozen").split()
+    finnish = "koira juoksi metsään koska ilma oli kaunis ja lapset halusivat leikkiä järven rannalla yhdessä".split()
+
+    def say(vocabulary, seed):
+        r = random.Random(seed)
+        return " ".join(w + "s" * (r.random() < 0.1) for _ in range(5) for w in r.sample(vocabulary, 12))
+
+    rows = [(i, say(english, i), "en", "s") for i in range(580)] + [(1000 + i, say(english, 1000 + i), f"x{i}", "s") for i in range(20)]
+    rows += [(2000 + i, say(finnish, i), "fi", "s") for i in range(4)] + [(3000, say(finnish, 99), None, "s"), (3001, say(finnish, 98), "en", "s")]
+    rows += [(4000, rows[585][1], "en", "s"), (5000, say(english, 1) * 60, "x1", "s"), (5001, "the", None, "s")]
+    out = {r.doc_id: r for r in language_id.identify(language_id.document_rows(documents(spark, rows).limit(len(rows)), col("doc_id"))).collect()}
+    english_ids = [d for d, *_ in rows if d < 2000 or d in (4000, 5000)]
+    assert {out[d].lang for d in english_ids} == {"en"} and all(out[d].accepted for d in english_ids)
+    assert all(out[d].lang == "fi" and out[d].accepted for d in (2000, 2001, 2002, 2003, 3000, 3001))
+
+
+def test_page_languages(spark, nothing):
+    page = "<html lang='{}'><head><style>p {{}}</style><script>var the = 1</script></head><body><p>{}</p></body></html>"
+    kinds = {"en": "the house and the tree of that which we have seen", "fr": "le chat et la maison que nous avons été voir"}
+    rows = [(i, f"https://h{i % 5}.site.{lang}/x", page.format(lang, text * (1 + i % 4))) for i in range(60) for lang, text in kinds.items()]
+    rows += [(900, None, page.format("en", kinds["fr"] * 3)), (901, "nowhere", None), (902, "https://a.site.fr/", ""), (903, "https://a.site.fr/", page.format("", kinds["fr"]))]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = language_id.identify(language_id.page_rows(table, table.page_id)).collect()
+    assert len(got) == len(rows) and all(r.lang == r.declared and r.accepted for r in got if r.page_id < 900)
+    out = {r.page_id: r for r in got}
+    assert out[900].lang == out[903].lang == "fr" and out[903].accepted and out[903].declared is None
+    assert not out[901].accepted and not out[902].accepted and out[902].lang == "fr"
+    assert language_id.identify(language_id.page_rows(table.limit(0), table.page_id)).count() == 0
+
+
 def test_texts_are_awkward():
     assert None in texts() and "" in texts() and max(len(t or "") for t in texts()) > 90_000

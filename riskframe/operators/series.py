@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.stats import ROOT_YEAR, TRADING_DAYS, adjusted_kurtosis, adjusted_skewness
 from riskframe.plans.chunked import Chunks
+from riskframe.plans.scans import affine_scans
 from riskframe.plans.windows import Keys, as_list, by, full, running, trailing, whole
 
 
@@ -29,20 +30,25 @@ def sma(df: DataFrame, column: str, windows: Sequence[int] = (5, 20), keys: Keys
     return df.withColumns({f"sma_{n}": full(F.avg(column), column, trailing(keys, n, ts), n) for n in windows})
 
 
-def ema(df: DataFrame, column: str, spans: Sequence[int] = (12, 26), keys: Keys = "symbol", ts: str = "ts") -> DataFrame:
+def ema(df: DataFrame, column: str, spans: Sequence[int] = (12, 26), keys: Keys = "symbol", ts: str = "ts",
+        bucket: Column | None = None, chunk_rows: int = 200_000) -> DataFrame:
     """Exponential means with normalised weights over the whole series so far: ``num = keep * num + x`` and
     ``den = keep * den + 1`` by row.  A missing value adds nothing, but weights decay across it; before the first
-    value the mean is null.  For date-grain series: the rows of a key are one group.
+    value the mean is null.  Series of any length: both recurrences are scanned over chunks (``bucket`` is the unit of
+    time that rows are counted by, a month unless given).
     """
     keys = as_list(keys)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    value = F.col(column).cast("double")
+    known = value.isNotNull() & ~F.isnan(value)
+    rows = df.withColumns({"_x": F.when(known, value).otherwise(0.0), "_one": F.when(known, 1.0).otherwise(0.0),
+                           **{f"_keep_{n}": F.lit(1 - 2 / (n + 1)) for n in spans}})
+    maps = {f"_{part}_{n}": (f"_keep_{n}", b) for n in spans for part, b in (("num", "_x"), ("den", "_one"))}
+    scanned = affine_scans(rows, keys, [ts], maps, F.date_trunc("month", F.col(ts)) if bucket is None else bucket, chunk_rows)
 
-    def means(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts)
-        values = pdf[column].astype("float64")
-        return pdf.assign(**{f"ema_{n}": values.ewm(span=n, adjust=True, ignore_na=False).mean() for n in spans})
+    def now(part: str, n: int, b: str) -> Column:
+        return F.col(f"_keep_{n}") * F.col(f"_{part}_{n}") + F.col(b)
 
-    return df.groupBy(*keys).applyInPandas(means, kinds + "".join(f", ema_{n} double" for n in spans))
+    return scanned.select(*df.columns, *[F.try_divide(now("num", n, "_x"), now("den", n, "_one")).alias(f"ema_{n}") for n in spans])
 
 
 def rolling_moments(df: DataFrame, column: str, n: int = 20, keys: Keys = "symbol", ts: str = "ts") -> DataFrame:

@@ -7,7 +7,7 @@ are then run independently.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -43,24 +43,37 @@ def affine_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], a: str
 
     ``rank`` names a column that already holds the row number in the series.
     """
+    return affine_scans(df, keys, order, {out: (a, b)}, bucket, chunk_rows, rank)
+
+
+def affine_scans(df: DataFrame, keys: Sequence[str], order: Sequence[str], maps: Mapping[str, tuple[str, str]], bucket: Column,
+                 chunk_rows: int = 200_000, rank: str | None = None) -> DataFrame:
+    """Several recurrences over the same series at once; ``maps`` has the columns (a, b) of each output."""
     keys = list(keys)
     numbered = df.withColumn("_rn", F.col(rank)) if rank else Chunks(keys, order, bucket).rank(df, "_rn")
     ranked = numbered.withColumn("_chunk", F.floor((F.col("_rn") - 1) / chunk_rows))
-    heads, columns = [*keys, "_chunk"], [*df.columns, out]
+    heads, columns = [*keys, "_chunk"], [*df.columns, *maps]
+    places = range(len(maps))
+    folded, begun = [f"_{p}{i}" for i in places for p in "ab"], [f"_x{i}" for i in places]
 
     def fold(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_rn")
-        return pd.DataFrame([(*group, *_fold(pdf[a].to_numpy(float), pdf[b].to_numpy(float)))], columns=[*heads, "_a", "_b"])
+        each = [v for a, b in maps.values() for v in _fold(pdf[a].to_numpy(float), pdf[b].to_numpy(float))]
+        return pd.DataFrame([(*group, *each)], columns=[*heads, *folded])
 
     def starts(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_chunk")
-        return pdf[heads].assign(_x=_run(0.0, pdf["_a"].to_numpy(), pdf["_b"].to_numpy()))
+        return pdf[heads].assign(**{f"_x{i}": _run(0.0, pdf[f"_a{i}"].to_numpy(), pdf[f"_b{i}"].to_numpy()) for i in places})
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_rn")
-        values = _run(float(pdf["_x"].iloc[0]), pdf[a].to_numpy(float), pdf[b].to_numpy(float))
-        return pdf.assign(**{out: values})[columns]
+        return pdf.assign(**{out: _run(float(pdf[f"_x{i}"].iloc[0]), pdf[a].to_numpy(float), pdf[b].to_numpy(float))
+                             for i, (out, (a, b)) in enumerate(maps.items())})[columns]
+
+    def doubles(names: Sequence[str]) -> str:
+        return "".join(f", `{n}` double" for n in names)
 
-    maps = ranked.select(*heads, "_rn", a, b).groupBy(*heads).applyInPandas(fold, _types(ranked, heads) + ", _a double, _b double")
-    begin = maps.groupBy(*keys).applyInPandas(starts, _types(ranked, heads) + ", _x double")
-    return ranked.join(begin, heads).groupBy(*heads).applyInPandas(run, _types(df, df.columns) + f", `{out}` double")
+    needed = list(dict.fromkeys(c for pair in maps.values() for c in pair))
+    parts = ranked.select(*heads, "_rn", *needed).groupBy(*heads).applyInPandas(fold, _types(ranked, heads) + doubles(folded))
+    begin = parts.groupBy(*keys).applyInPandas(starts, _types(ranked, heads) + doubles(begun))
+    return ranked.join(begin, heads).groupBy(*heads).applyInPandas(run, _types(df, df.columns) + doubles(list(maps)))

@@ -76,7 +76,8 @@ def test_a_lone_rule_does_not_condemn_its_suffix(spark):
     out = url_filter.judge(rows, rules).collect()
     assert {r.verdict for r in out if r.rule == "a.test/de/"} == {"block"} and {r.verdict for r in out if r.rule == "b.test/fr/"} == {"allow"}
     score = {s: np.mean([r.score for r in out if r.rule is None and r.host.endswith(s)]) for s in ("a.test", "b.test")}
-    assert abs(score["a.test"] - score["b.test"]) < 0.2  # apart by all of it where the rows' own labels show
+    # By suffix alone a.test would be blocked; by letters (entropy) its other urls are like the allowed ones.
+    assert score["a.test"] < 0.5 < score["b.test"]
     parsed = url_filter.lexical(url_filter.parse(rows.select("page_id", "url"), "url"), "url").selectExpr(
         "*", "page_id AS row", "CASE WHEN page_id % 3 = 0 THEN 1.0D WHEN page_id % 3 = 1 THEN 0.0D END AS label", "host AS judgement")
     got = url_filter.with_suffix_statistics(parsed, "label", "judgement").collect()

@@ -35,7 +35,7 @@ def ema(df: DataFrame, column: str, spans: Sequence[int] = (12, 26), keys: Keys
     """Exponential means with normalised weights over the whole series so far: ``num = keep * num + x`` and
     ``den = keep * den + 1`` by row.  A missing value adds nothing, but weights decay across it; before the first
     value the mean is null.  Series of any length: both recurrences are scanned over chunks (``bucket`` is the unit of
-    time that rows are counted by, a month unless given).
+    time that rows are counted by; unless given a month, or ``chunk_rows`` units of a numeric ``ts``).
     """
     keys = as_list(keys)
     value = F.col(column).cast("double")
@@ -43,7 +43,10 @@ def ema(df: DataFrame, column: str, spans: Sequence[int] = (12, 26), keys: Keys
     rows = df.withColumns({"_x": F.when(known, value).otherwise(0.0), "_one": F.when(known, 1.0).otherwise(0.0),
                            **{f"_keep_{n}": F.lit(1 - 2 / (n + 1)) for n in spans}})
     maps = {f"_{part}_{n}": (f"_keep_{n}", b) for n in spans for part, b in (("num", "_x"), ("den", "_one"))}
-    scanned = affine_scans(rows, keys, [ts], maps, F.date_trunc("month", F.col(ts)) if bucket is None else bucket, chunk_rows)
+    if bucket is None:
+        dated = df.schema[ts].dataType.typeName() in ("date", "timestamp", "timestamp_ntz")
+        bucket = F.date_trunc("month", F.col(ts)) if dated else F.floor(F.col(ts) / chunk_rows)
+    scanned = affine_scans(rows, keys, [ts], maps, bucket, chunk_rows)
 
     def now(part: str, n: int, b: str) -> Column:
         return F.col(f"_keep_{n}") * F.col(f"_{part}_{n}") + F.col(b)

@@ -92,6 +92,8 @@ def test_exponential_mean_and_moments_match_pandas(spark):
     got = series.ema(df, "ret", (12, 26), "k").orderBy("ts").toPandas()
     for span in (12, 26):
         np.testing.assert_allclose(got[f"ema_{span}"], pd.Series(values).ewm(span=span).mean(), rtol=1e-12)
+    cut = series.ema(df, "ret", (12,), "k", chunk_rows=37).orderBy("ts").toPandas()  # across the edges of chunks
+    np.testing.assert_allclose(cut["ema_12"], got["ema_12"], rtol=1e-12)
     moments = series.rolling_moments(df, "ret", 20, "k").orderBy("ts").toPandas()
     roll = pd.Series(values).rolling(20)
     np.testing.assert_allclose(moments["skew_20"], roll.skew(), atol=1e-8)

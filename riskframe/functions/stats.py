@@ -82,6 +82,11 @@ def safe_ratio(a: Column, b: Column, otherwise: float | None = 0.0) -> Column:
     return F.when(b.isNotNull() & (b != 0), a / b).otherwise(F.lit(otherwise).cast("double"))
 
 
+def ieee_ratio(a: Column | str, b: Column | str) -> Column:
+    """a / b as floating point has it: over zero infinite, 0 / 0 not a number; null only where a or b is."""
+    return F.coalesce(F.try_divide(col(a), col(b)), col(a) * F.pow(col(b), F.lit(-1.0)))
+
+
 def sign_of(c: Column | str) -> Column:
     return F.signum(col(c)).cast("int")
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskframe.functions.stats import ieee_ratio
 from riskframe.plans.quantiles import exact_quantiles
 from riskframe.plans.windows import Keys, as_list, by, following, running, trailing, whole
 
@@ -15,8 +16,8 @@ FREQUENCIES = ("daily", "weekly", "monthly", "quarterly", "yearly")
 
 def simple_returns(df: DataFrame, keys: Keys = "symbol", price: str = "close", ts: str = "ts",
                    out: str = "ret") -> DataFrame:
-    """price / previous price - 1; the first row of each series is dropped."""
-    return df.withColumn(out, F.try_divide(F.col(price), F.lag(price).over(by(keys, ts))) - 1).where(F.col(out).isNotNull())
+    """price / previous price - 1, infinite after a price of zero; the first row of each series is dropped."""
+    return df.withColumn(out, ieee_ratio(price, F.lag(price).over(by(keys, ts))) - 1).where(F.col(out).isNotNull())
 
 
 def change_over(df: DataFrame, periods: int, keys: Keys = "symbol", column: str = "close", ts: str = "ts",

@@ -22,7 +22,7 @@ def simple_returns(df: DataFrame, keys: Keys = "symbol", price: str = "close", t
 
 def change_over(df: DataFrame, periods: int, keys: Keys = "symbol", column: str = "close", ts: str = "ts",
                 out: str = "change") -> DataFrame:
-    return df.withColumn(out, F.try_divide(F.col(column), F.lag(column, periods).over(by(keys, ts))) - 1)
+    return df.withColumn(out, ieee_ratio(column, F.lag(column, periods).over(by(keys, ts))) - 1)
 
 
 def cross_section_mean(df: DataFrame, columns: Mapping[str, str | Column], ts: str = "ts") -> DataFrame:

@@ -87,6 +87,12 @@ def ieee_ratio(a: Column | str, b: Column | str) -> Column:
     return F.coalesce(F.try_divide(col(a), col(b)), col(a) * F.pow(col(b), F.lit(-1.0)))
 
 
+def ieee_corr(a: Column, b: Column) -> Column:
+    """Correlation that is not a number where a side does not vary; ``F.corr`` stops there under ANSI rules."""
+    both = a.isNotNull() & b.isNotNull()
+    return ieee_ratio(F.covar_pop(a, b), F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b)))
+
+
 def sign_of(c: Column | str) -> Column:
     return F.signum(col(c)).cast("int")
 

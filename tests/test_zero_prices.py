@@ -9,7 +9,8 @@ import pytest
 from oracle import TABLES, compare, connect
 from riskframe.queries import load_all
 
-NAMES = ["simple_returns", "rolling_momentum", "rolling_volatility", "change_over_periods", "consecutive_losses", "price_checks"]
+NAMES = ["simple_returns", "rolling_momentum", "rolling_volatility", "change_over_periods", "consecutive_losses",
+         "price_checks", "volume_checks"]
 
 
 @pytest.fixture(scope="module")

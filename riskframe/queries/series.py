@@ -331,9 +331,10 @@ def _(t):
 SELECT symbol, ts, price / max(price) OVER (PARTITION BY symbol ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - 1 AS drawdown
 FROM ticks""")
 def _(t):
+    from riskframe.functions.stats import ieee_ratio
     from riskframe.plans.chunked import Chunks
     chunks = Chunks([S], ["ts", "event_id"], F.date_trunc("day", F.col("ts")))
-    return chunks.running(t.ticks, {"_peak": ("max", "price")}).withColumn("drawdown", F.try_divide("price", "_peak") - 1)
+    return chunks.running(t.ticks, {"_peak": ("max", "price")}).withColumn("drawdown", ieee_ratio("price", "_peak") - 1)
 
 
 @query("tick_rolling_mean", "E3", "symbol:s ts:t event_id:i mean_20", "ticks", f"""

@@ -10,7 +10,8 @@ from oracle import TABLES, compare, connect
 from riskframe.queries import load_all
 
 NAMES = ["simple_returns", "rolling_momentum", "rolling_volatility", "change_over_periods", "consecutive_losses",
-         "price_checks", "volume_checks", "source_agreement", "quality_scores"]
+         "price_checks", "volume_checks", "source_agreement", "quality_scores", "realised_volatility",
+         "realised_bipower", "realised_two_scale", "tick_drawdown"]
 
 
 @pytest.fixture(scope="module")

@@ -34,6 +34,8 @@ from riskframe.session import cut_lineage
 
 #: Buckets of trigrams, by hash.
 BUCKETS = 1 << 14
+#: Text that a task turns into trigrams at once; the arrays of each byte take some sixty times as much.
+HELD_BYTES = 1 << 20
 #: Share of all rows' trigrams in those of each language.
 SMOOTHING = 0.1
 #: Rows a language needs for half of its weight.
@@ -81,7 +83,7 @@ def text_counts(rows: DataFrame, languages: list[str]) -> tuple[np.ndarray, np.n
     def run(batches):
         sums, rows_of = {}, np.zeros(len(languages), np.int64)
         place = pa.array(languages, pa.string())
-        for batch in bounded(batches, "text", 4 << 20, 8192):
+        for batch in bounded(batches, "text", HELD_BYTES, 8192):
             known = pc.index_in(batch.column("declared"), value_set=place)
             at = np.asarray(pc.fill_null(known, -1))
             bucket, doc = trigrams(batch.column("text"))
@@ -123,7 +125,7 @@ def read_texts(rows: DataFrame, languages: list[str], counts: np.ndarray, rows_o
         counts, rows_of, totals, common = shared.value
         logs = log_model(counts, rows_of[:, None], totals[:, None], common)
         place = pa.array(languages, pa.string())
-        for batch in bounded(batches, "text", 4 << 20, 8192):
+        for batch in bounded(batches, "text", HELD_BYTES, 8192):
             bucket, doc = trigrams(batch.column("text"))
             n = len(batch.column("text"))
             each = np.stack([np.bincount(doc, row[bucket], n) for row in logs], axis=1)

@@ -13,6 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskframe.session import cut_lineage
+
+#: Wanted ranks (of all groups together) that are broadcast at most.
+BROADCAST_ROWS = 100_000
+
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], column: str, probs: Sequence[float],
                     out: str = "quantiles", accuracy: int = 100_000) -> DataFrame:
@@ -21,9 +26,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], column: str, probs: Sequ
     slack = 2.0 / accuracy
     rows = df.select(*keys, F.col(column).cast("double").alias("_v")).where("_v IS NOT NULL")
     bounds = [min(max(p + s, 0.0), 1.0) for p in probs for s in (-slack, slack)]
-    sketch = rows.groupBy(*keys).agg(
+    sketch = cut_lineage(rows.groupBy(*keys).agg(
         F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.percentile_approx("_v", bounds, accuracy).alias("_b"))
+        F.percentile_approx("_v", bounds, accuracy).alias("_b")))
     band = [F.struct(
         F.lit(i).alias("slot"),
         F.floor(F.lit(p) * (F.col("_n") - 1)).alias("pos"),
@@ -32,6 +37,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], column: str, probs: Sequ
         (F.col("_max") if p >= 1 - slack else F.get("_b", F.lit(2 * i + 1))).alias("high"),
     ) for i, p in enumerate(probs)]
     wanted = sketch.select(*keys, F.explode(F.array(*band)).alias("_w")).select(*keys, "_w.*")
+    # Few groups go to the rows, or a group's rows would meet in one task to be sorted; many leave each small or to AQE.
+    if sketch.count() * len(probs) <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     # A row meets each wanted rank of its key (a handful), and is combined with equals before the shuffle.
     zone = F.when(F.col("_v") < F.col("low"), -1).when(F.col("_v") > F.col("high"), 1).otherwise(0)
     counted = (rows.join(wanted, keys).withColumn("_z", zone)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,22 +142,30 @@ def _(t):
     return alerts.where(F.col("batch") == alerts.agg(F.max("batch")).scalar())  # what holds after the last update
 
 
-def landed(t, folder: str, part: str) -> None:
-    """Land the events of the eighths ``part`` (a condition) as one file each, in order of time."""
-    e = t.read("events")
-    edges = e.agg(F.percentile("event_id", F.lit([i / 8 for i in range(1, 8)]))).first()[0]  # seven numbers
-    eighth = sum((F.col("event_id") > q).cast("int") for q in edges).alias("eighth")
-    e = e.select("*", eighth).where(part)
-    for i in sorted(r[0] for r in e.select("eighth").distinct().collect()):
-        e.where(F.col("eighth") == i).drop("eighth").coalesce(1).write.mode("append").parquet(folder)
+def eighth_edges(t) -> list[int]:
+    """The seven event_ids that end all eighths of the events but the last."""
+    from riskframe.plans.quantiles import exact_quantiles
+    ids = t.read("events").select(F.lit(1).alias("_k"), "event_id")
+    return [math.floor(q) for q in exact_quantiles(ids, ["_k"], "event_id", [i / 8 for i in range(1, 8)]).first()["quantiles"]]
+
+
+def landed(t, folder: str, edges: list[int], eighths: range) -> None:
+    """Land the events of the ``eighths`` (from 0) that have any as one file each, in order of time."""
+    at = F.col("event_id")
+    for i in eighths:
+        # Conditions on the plain column let the reader skip what lies outside.
+        part = t.read("events").where((at > edges[i - 1] if i else F.lit(True)) & (at <= edges[i] if i < len(edges) else at.isNotNull()))
+        if not part.isEmpty():
+            part.repartition(1).write.mode("append").parquet(folder)
 
 
 def refreshed(t, refit, after: int = 3) -> DataFrame:
     """The model after eight files, one for each trigger, refitted after each ``after`` of them, with a restart after the fifth;
     from the table of models."""
     folder = scratch_folder(t.spark, "refresh")
-    for part in ("eighth < 5", "eighth >= 5"):
-        landed(t, f"{folder}/in", part)
+    edges = eighth_edges(t)
+    for eighths in (range(5), range(5, 8)):
+        landed(t, f"{folder}/in", edges, eighths)
         stream = t.spark.readStream.schema(t.read("events").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
         run.start(stream, run.refresh_handler(f"{folder}/out", after, refit, after), f"{folder}/state").awaitTermination()
     return run.latest_model(t.spark, f"{folder}/out")

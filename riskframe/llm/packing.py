@@ -40,6 +40,8 @@ from riskframe.session import scratch_folder
 
 #: Windows whose documents are put in order in one group: at most so many times ``window`` tokens.
 GROUP_WINDOWS = 1024
+#: Bytes of text, or of ids, that a task works on at a time.
+HELD_BYTES = 1 << 20
 
 
 def weighted_time(totals: dict[str, int], weights: dict[str, float], window: int):
@@ -64,7 +66,7 @@ def encode_rows(docs: DataFrame, vocabulary_path: str, end_id: int, id: str, tex
     def run(batches):
         own, part, number = encoder(vocabulary_path), TaskContext.get().partitionId(), count()
         end = np.array([end_id], own.dtype).tobytes()
-        for batch in bounded(batches, "text", 3 << 20, 8192):
+        for batch in bounded(batches, "text", HELD_BYTES, 8192):
             flat, ends = own.batch(batch.column("text"))
             ids = [flat[a:b].tobytes() + end for a, b in zip(ends, ends[1:])]
             yield record_batch(
@@ -125,7 +127,7 @@ def pack(docs: DataFrame, vocabulary_path: str, end_id: int, length: int = 4096,
 
     def run(batches):
         dtype = encoder(vocabulary_path).dtype
-        for batch in bounded(batches, "ids"):
+        for batch in bounded(batches, "ids", HELD_BYTES):
             out = []
             for doc, n, ids, at in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "ids", "place"))):
                 start, ids = 0, np.frombuffer(ids, dtype).astype("<u4").tobytes()

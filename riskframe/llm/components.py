@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.llm.batches import record_batch
 from riskframe.session import cut_lineage
 
 #: Rows of a few numbers that one task holds easily (2 MB of links).
@@ -18,17 +21,57 @@ def gathered(df: DataFrame) -> DataFrame:
     return df.coalesce(1) if df.count() <= SMALL else df
 
 
+def stars_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of the links but the smallest of its component, and that smallest one."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, root = place[:len(a)], place[len(a):], np.arange(len(nodes))
+    while len(a):  # roots point to the smallest root they are linked with, paths are halved to their ends, loops go
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root != root[root]).any():
+            root = root[root]
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+    apart = root != np.arange(len(nodes))
+    return nodes[apart], nodes[root[apart]]
+
+
+def contracted(links: DataFrame) -> DataFrame:
+    """``(a, b)``: stars in place of the links, ``SMALL`` of them at a time within each task."""
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append((np.asarray(batch.column("a")), np.asarray(batch.column("b"))))
+            size += batch.num_rows
+            if size >= SMALL:
+                yield star_batch(held)
+                held, size = [], 0
+        if held:
+            yield star_batch(held)
+
+    def star_batch(held):
+        a, b = stars_of(*map(np.concatenate, zip(*held)))
+        return record_batch(a=pa.array(a, pa.int64()), b=pa.array(b, pa.int64()))
+
+    return links.mapInArrow(run, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``(node, component)`` for each node of the links ``(a long, b long)``; a component is its smallest node.
 
-    Alternating large and small stars: each round every node sends its larger, then its smaller neighbours to the
+    Tasks contract their own links to stars first, so that at most ``SMALL`` links are done at once.  Of more, alternating
+    large and small stars: each round every node sends its larger, then its smaller neighbours to the
     smallest one, until nothing moves.  Smallest neighbours are aggregated before they are shuffled; where they meet
     the links, the links of one node may be any share of all: adaptive execution splits them, as the other side
     has one row for each node.  The number of rounds grows with the
-    logarithm of the number of nodes; each is cut by a checkpoint.  Few links stay in one partition (``gathered``).
+    logarithm of the number of nodes; each is cut by a checkpoint.
     """
     links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links, state = gathered(links), None
+    links = cut_lineage(links)
+    if links.count() <= SMALL:
+        return labels(cut_lineage(contracted(links.coalesce(1))))
+    links, state = gathered(contracted(links).distinct()), None
     while True:
         # Large star: larger neighbours of u, to the smallest of u and its neighbours.
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a"))
@@ -46,5 +89,10 @@ def components(links: DataFrame) -> DataFrame:
                 links.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count() == 0):
             break
         state = now
+    return labels(links)
+
+
+def labels(links: DataFrame) -> DataFrame:
+    """``(node, component)`` of stars ``(a, b)``."""
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         links.select("b", "b").distinct())

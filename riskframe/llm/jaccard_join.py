@@ -2,12 +2,13 @@
 
 Two documents link when ``100 * intersection >= percent * union``.  Equal sets are one node from the start.
 
-1. Blocks.  Shingles are put in one order, rare ones first.  Sets that link have ``percent`` of the larger one in
-   common, so the first ``n - ceil(n percent / 100) + 1`` shingles of either have one in common; sets with such a
-   shingle in common, and sizes of one grade, and what hangs together by that, are a block.  The order follows counts
-   of all shingles by hash bucket: any order is right, and the better it is, the fewer sets meet that do not link.  Sizes are
-   graded so that sets that link have a grade in common.  No pair is lost, and no pair is listed: the sets with a first
-   shingle in common only point to the smallest of them.
+1. Blocks.  Shingles are dealt into buckets; what a set has in a bucket is a token.  Sets that link differ in few
+   shingles, d at most, and so in d tokens at most: the first d + 1 tokens of either, in one order, have one in common
+   (``first_tokens``).  Sets with such a token in common, and sizes of one grade, and what hangs together by that, are a
+   block.  The order follows counts of all shingles by hash bucket: any order is right, and the better it is, the fewer
+   sets meet that do not link.  Sizes are graded so that sets that link have a grade in common.  No pair is lost, and
+   no pair is listed: the sets with a token in common only point to the smallest of them.  Under ``LEAST_TOKENS`` percent
+   single shingles take the place of tokens.
 2. Leaves.  A block is cut into leaves of about ``LEAF`` sets.  Every leaf is searched together with a few pivots of
    its block, which ties most of a family of copies together, over all leaves.
 3. Trees.  Where a block is still in several parts, sets are cut into leaves again, large parts by themselves.  Nodes of a
@@ -50,12 +51,16 @@ MOST_MAP = 1 << 16
 DENSE = 24
 #: Rows of a search that are compared at a time.
 STRIP = 256
+#: Buckets for each shingle in which sets that link may differ; percents from which on shingles are compared by buckets.
+SPREAD, LEAST_TOKENS = 2, 70
 #: The part of leaves that hold sets of several small parts.
 MIXED = -1
-#: First shingles that are compared in one task, about.
+#: Bytes of text that a task turns into shingles at a time, and keys that it combines before they are shuffled.
+HELD_BYTES, HELD_KEYS = 1 << 20, 1 << 18
+#: Keys that are compared in one task, about.
 BUCKET_KEYS = 2_000_000
 #: The table of how common shingles are has at most two to this power entries, of a byte: what it costs does not grow.
-MOST_BITS = 22
+MOST_BITS = 20
 #: Sets in blocks up to which their documents are found by a broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -140,7 +145,7 @@ def bucket_counts(rows: DataFrame, words: int, bits: int) -> np.ndarray:
 
     def count(batches):
         total = np.zeros(1 << bits, np.uint32)
-        for batch in bounded(batches, "text", 4 << 20, 4096):
+        for batch in bounded(batches, "text", HELD_BYTES, 4096):
             found, _ = shingle_sets(batch.column("text"), words)
             np.add(total, np.bincount((found >> _U(64 - bits)).astype(np.int64), minlength=1 << bits), out=total, casting="unsafe")
         if total.any():
@@ -195,6 +200,60 @@ def first_shingles(found, owner, sizes, ids, percent: int, common: np.ndarray) -
     return np.concatenate(keys), np.concatenate([ids[owner]] * 2)
 
 
+def first_tokens(found, owner, sizes, ids, percent: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of which sets that link have one in common, and the set each belongs to.
+
+    Shingles are dealt by hash into buckets, about ``SPREAD`` for each shingle in which linking sets may differ and one more;
+    all that a set has in a bucket is a token.  Sets that differ in d shingles have all tokens but d in common, so the first
+    d + 1 tokens of either, in one order, have one in common: those of rare shingles, and of many, come first.  The number of
+    buckets is that of a grade of the smaller set; a set has the tokens of its own grade and, as the larger one, of the grade below.
+    """
+    bits = int(len(common)).bit_length() - 1
+    rarity = int(common.max()) + 1 - common[(found >> _U(64 - bits)).astype(np.int64)].astype(np.int64)
+    low, keys, sets = grades(percent), [], []
+
+    def most_apart(a, b):  # sets of these sizes that link differ in so many shingles at most
+        return (a + b) * (100 - percent) // (100 + percent)
+
+    grade = np.searchsorted(low, sizes, "right")  # from 1
+    for below in (0, 1):
+        own, least = np.maximum(grade - below, 0), low[np.maximum(grade, 1) - 1]
+        apart = most_apart(sizes, least - 1 if below else 100 * sizes // percent)
+        some = (own > 0) & (apart > 0) & (100 * (least - 1) >= percent * sizes if below else True)
+        top = low[own] - 1
+        width = SPREAD * (most_apart(top, 100 * top // percent) + 1)
+        salt = mix(own.astype(_U) + _U(1))
+        inside = some[owner]
+        of, shingle = owner[inside], found[inside]
+        place = of << 32 | (shingle % width.astype(_U)[of]).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        place = place[order]
+        starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.empty(0, np.int64)
+        if len(starts):
+            of = of[order][starts]
+            token = mix(np.add.reduceat(mix(shingle[order] + _U(0x8cb92ba72f3d8dd7)), starts) + salt[of])
+            weight = np.add.reduceat(rarity[inside][order], starts)
+            order = np.lexsort((token, -weight, of))
+            of, token = of[order], token[order]
+        else:
+            of, token = np.empty(0, np.int64), np.empty(0, _U)
+        number = np.bincount(of, minlength=len(sizes))
+        first = np.arange(len(of)) - np.repeat(np.cumsum(number) - number, number) <= apart[of]
+        keys.append(token[first])
+        sets.append(ids[of[first]])
+        for s in np.flatnonzero(some & (number <= apart)):  # empty buckets are tokens too, the last ones
+            lo, hi = np.searchsorted(place, [s << 32, (s + 1) << 32])
+            empty = np.setdiff1d(np.arange(width[s]), place[lo:hi] & 0xffffffff).astype(_U)
+            keys.append(np.sort(mix(mix(empty + _U(0x2545f4914f6cdd1d)) + salt[s]))[:apart[s] + 1 - number[s]])
+            sets.append(np.full(len(keys[-1]), ids[s]))
+    return np.concatenate(keys), np.concatenate(sets)
+
+
+def first_keys(found, owner, sizes, ids, percent: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of either kind: where sets that link may differ in nearly all shingles, buckets would hold less than one."""
+    return (first_tokens if percent >= LEAST_TOKENS else first_shingles)(found, owner, sizes, ids, percent, common)
+
+
 def stars(keys: np.ndarray, sets: np.ndarray):
     """Links of all sets with a key to the smallest, once each; and each key with its smallest set."""
     order = np.lexsort((sets, keys))
@@ -207,28 +266,38 @@ def stars(keys: np.ndarray, sets: np.ndarray):
 
 
 def candidate_links(rows: DataFrame, words: int, percent: int, buckets: int, common: np.ndarray) -> DataFrame:
-    """``(a, b)``: sets with a first shingle in common, each linked to the smallest of them.  Within a batch of texts a key is
-    combined before it is shuffled, so even one in all sets moves once for each batch."""
+    """``(a, b)``: sets with a key in common, each linked to the smallest of them.  A task combines its keys before they
+    are shuffled, so even one in all sets moves once for each ``HELD_KEYS`` of them."""
 
     shared = rows.sparkSession.sparkContext.broadcast(common)
 
     def deal(batches):
-        for batch in bounded(batches, "text", 4 << 20, 4096):
+        held, size = [], 0
+        for batch in bounded(batches, "text", HELD_BYTES, 4096):
             found, owner = shingle_sets(batch.column("text"), words)
             sizes, ids = set_ids(found, owner, batch.num_rows)
-            links, keys, sets = stars(*first_shingles(found, owner, sizes, ids, percent, shared.value))
-            bucket = (keys >> _U(33)).astype(np.int64) % buckets
-            order = np.argsort(bucket, kind="stable")
-            bucket, keys, sets = bucket[order], keys[order], sets[order]
-            starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, int)
-            ends = np.append(starts[1:], len(bucket))
-            out = [(int(bucket[a]), "keys", keys[a:b].tobytes(), sets[a:b].tobytes()) for a, b in zip(starts, ends)]
-            if len(links):
-                out.append((int(abs(links[0, 0])) % buckets, "links", np.ascontiguousarray(links[:, 0]).tobytes(),
-                            np.ascontiguousarray(links[:, 1]).tobytes()))
-            for i in range(0, len(out), 64):
-                names, kinds = ("bucket", "kind", "x", "y"), (pa.int32(), pa.string(), pa.binary(), pa.binary())
-                yield record_batch(**{n: pa.array(c, k) for n, c, k in zip(names, zip(*out[i:i + 64]), kinds)})
+            held.append(first_keys(found, owner, sizes, ids, percent, shared.value))
+            size += len(held[-1][0])
+            if size >= HELD_KEYS:
+                yield from dealt_out(held)
+                held, size = [], 0
+        if held:
+            yield from dealt_out(held)
+
+    def dealt_out(held):
+        links, keys, sets = stars(*map(np.concatenate, zip(*held)))
+        bucket = (keys >> _U(33)).astype(np.int64) % buckets
+        order = np.argsort(bucket, kind="stable")
+        bucket, keys, sets = bucket[order], keys[order], sets[order]
+        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, int)
+        ends = np.append(starts[1:], len(bucket))
+        out = [(int(bucket[a]), "keys", keys[a:b].tobytes(), sets[a:b].tobytes()) for a, b in zip(starts, ends)]
+        if len(links):
+            out.append((int(abs(links[0, 0])) % buckets, "links", np.ascontiguousarray(links[:, 0]).tobytes(),
+                        np.ascontiguousarray(links[:, 1]).tobytes()))
+        for i in range(0, len(out), 64):
+            names, kinds = ("bucket", "kind", "x", "y"), (pa.int32(), pa.string(), pa.binary(), pa.binary())
+            yield record_batch(**{n: pa.array(c, k) for n, c, k in zip(names, zip(*out[i:i + 64]), kinds)})
 
     def meet(batches):
         keys, sets, links = [], [], []
@@ -378,12 +447,11 @@ def leaves_of(sets: DataFrame, keys: list[str]) -> DataFrame:
     """Adds ``leaf``: sets of equal ``keys`` and about equal size, dealt by hash into leaves of about ``LEAF`` sets.
     The numbers of sets meet them over salted keys, since a block may hold any share of them."""
     band = F.floor(F.log("n") / F.log(F.lit(1.1))).cast("int")
-    total = sets.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
+    total = sets.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all")).where(F.col("_all") > LEAF)
     counts = sets.groupBy(*keys, band.alias("_band")).agg(F.count(F.lit(1)).alias("_n")).join(total, keys)
-    few = F.col("_all") <= LEAF
-    joined = salted_join(sets.withColumn("_band", band), counts, [*keys, "_band"], "set", how="inner")
+    joined = salted_join(sets.withColumn("_band", band), counts, [*keys, "_band"], "set")
     number = F.pmod(F.xxhash64("set"), F.ceil(F.col("_n") / LEAF))
-    return joined.withColumn("leaf", F.when(few, -1).otherwise(F.col("_band").cast("long") * (1 << 32) + number)).drop("_band", "_n", "_all")
+    return joined.withColumn("leaf", F.when(F.col("_n").isNull(), -1).otherwise(F.col("_band").cast("long") * (1 << 32) + number)).drop("_band", "_n", "_all")
 
 
 def forest(groups: DataFrame, keys: list[str], percent: int) -> DataFrame:
@@ -530,7 +598,7 @@ def join(docs: DataFrame, words: int, percent: int, id: str = "doc_id", text: st
     kinds = "".join(f", {k} {rows.schema[k].dataType.simpleString()}" for k in kept)
 
     def sizes(batches):
-        for batch in bounded(batches, "text", 4 << 20, 4096):
+        for batch in bounded(batches, "text", HELD_BYTES, 4096):
             found, owner = shingle_sets(batch.column("text"), words)
             n, ids = set_ids(found, owner, batch.num_rows)
             yield record_batch(id=batch.column("id"), n=pa.array(n, pa.int64()), set=pa.array(ids, pa.int64()),
@@ -538,7 +606,8 @@ def join(docs: DataFrame, words: int, percent: int, id: str = "doc_id", text: st
 
     members = cut_lineage(rows.mapInArrow(sizes, f"id long, n long, set long{kinds}"))
     rows = rows.select("id", "text")
-    nodes = cut_lineage(members.where("n > 0").groupBy("set").agg(F.min("id").alias("rep"), F.first("n").alias("n")))
+    nodes = cut_lineage(members.where("n > 0").groupBy("set").agg(F.min("id").alias("rep"), F.first("n").alias("n"),
+                                                                F.count(F.lit(1)).alias("k")))
     tied = link_sets(rows, nodes, words, percent)
     # Ids with several texts tie their sets together.
     several = members.where("n > 0 AND id IS NOT NULL").groupBy("id").agg(
@@ -548,7 +617,8 @@ def join(docs: DataFrame, words: int, percent: int, id: str = "doc_id", text: st
     if several.limit(1).count():
         tied = components(tied.select(F.col("set").alias("a"), F.col("part").alias("b")).union(ties)).toDF("set", "part")
     least = nodes.join(tied, "set").groupBy("part").agg(F.min("rep").alias("component"))
-    of_set = nodes.select("set", "rep").join(tied.join(least, "part"), "set", "left").select(
+    # A set of one row that nothing is tied to is its own component.
+    of_set = nodes.select("set", "rep", "k").join(tied.join(least, "part"), "set", "left").where("k > 1 OR component IS NOT NULL").select(
         "set", F.coalesce("component", "rep").alias("component"))
     joined = salted_join(members, of_set, ["set"], "id")
     return joined.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce(
@@ -595,7 +665,7 @@ def link_sets(rows: DataFrame, nodes: DataFrame, words: int, percent: int) -> Da
     wanted = gathered(leaves_of(blocks_of(rows, nodes, words, percent), ["block"]))
 
     def sets_of(batches):
-        for batch in bounded(batches, "text", 4 << 20, 4096):
+        for batch in bounded(batches, "text", HELD_BYTES, 4096):
             found, owner = shingle_sets(batch.column("text"), words)
             n, ids = set_ids(found, owner, batch.num_rows)
             ends = np.cumsum(n)
